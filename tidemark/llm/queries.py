@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .license_scan import op5_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP4_SQL, op4_mix_sources
+from .quality import op10_quality_classifier
 from .token_output import op3_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_output": op3_token_output,
     "op4_mix_sources": op4_mix_sources,
+    "op5_license_scan": op5_license_scan,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL}

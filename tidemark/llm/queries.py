@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .license_scan import op5_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .media import op8_media_chunks
 from .mixing import OP4_SQL, op4_mix_sources
 from .quality import op10_quality_classifier
+from .token_counts import op2_token_counts
 from .token_output import op3_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
     "op4_mix_sources": op4_mix_sources,
     "op5_license_scan": op5_license_scan,
+    "op2_token_counts": op2_token_counts,
+    "op8_media_chunks": op8_media_chunks,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL}

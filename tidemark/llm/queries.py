@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op9_decontaminate
 from .license_scan import op5_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .media import op8_media_chunks
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op2_token_counts": op2_token_counts,
     "op8_media_chunks": op8_media_chunks,
+    "op9_decontaminate": op9_decontaminate,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL}

@@ -11,6 +11,7 @@ from .license_scan import op5_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .media import op8_media_chunks
 from .mixing import OP4_SQL, op4_mix_sources
+from .near_dup import op7_ngram_jaccard_join
 from .quality import op10_quality_classifier
 from .token_counts import op2_token_counts
 from .token_output import op3_token_output
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op8_media_chunks": op8_media_chunks,
     "op9_decontaminate": op9_decontaminate,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL}

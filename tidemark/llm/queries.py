@@ -13,6 +13,7 @@ from .media import op8_media_chunks
 from .mixing import OP4_SQL, op4_mix_sources
 from .near_dup import op7_ngram_jaccard_join
 from .quality import op10_quality_classifier
+from .suffix_dedup import op6_suffix_dedup
 from .token_counts import op2_token_counts
 from .token_output import op3_token_output
 
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_chunks": op8_media_chunks,
     "op9_decontaminate": op9_decontaminate,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL}

@@ -11,6 +11,7 @@ digits one space. Items go to the tasks in blocks of bounded size, a pass over t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -168,14 +169,15 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     yield block
 
 
-_built: dict[int, Matcher] = {}
+_built: dict[str, Matcher] = {}
 
 
-def _matcher(held: Broadcast) -> Matcher:
-    if held.id not in _built:
+def _matcher(name: str, held: Broadcast) -> Matcher:
+    """The automaton of a block, built once in a worker."""
+    if name not in _built:
         _built.clear()
-        _built[held.id] = Matcher(held.value)
-    return _built[held.id]
+        _built[name] = Matcher(held.value)
+    return _built[name]
 
 
 FOUND = "doc_id long, item_id long, distance int, n_places int"
@@ -188,10 +190,10 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     items or documents gives no rows."""
     out = None
     for block in _blocks(items):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+        held, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(held)
+        def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held, name: str = name) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, held)
             for batch in batches:
                 rows: list[tuple] = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
@@ -212,10 +214,10 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, in which no item occurs."""
     for block in _blocks(items):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+        held, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(held)
+        def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held, name: str = name) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, held)
             for batch in batches:
                 kept = [not matcher.matches(text) for text in texts(batch)]
                 yield batch.filter(pa.array(kept, pa.bool_()))

@@ -30,7 +30,7 @@ def source_targets(sizes: DataFrame, weights: list[float], total_share: float, m
     Sources in ascending code-point order, null last, take the weights in turn. Together they take total_share of
     all sizes; none takes more than most times its size. What a capped source leaves is shared by weight among the
     rest: with sources in order of cap/weight, the first k are capped for the least k such that the others' share
-    for a unit of weight, (total - caps of the first k) / (weights of the others), is under the next one's ratio.
+    for a unit of weight, (total - caps of the first k) / (weights of the others), isn't above the next one's ratio.
     The windows run over one row a source, not over documents."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").isNull(), F.encode(F.col("source"), "utf-8"))
@@ -45,7 +45,8 @@ def source_targets(sizes: DataFrame, weights: list[float], total_share: float, m
         .withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", F.col("left") / F.col("open"))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+        .withColumn("rank", F.row_number().over(rising))
+        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("rank", "level"))).over(every)["level"])
     )
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
     return planned.select("source", "source_size", F.round(target, 6).alias("target"))
@@ -79,25 +80,32 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
+#: Reshares step by step: each round caps the sources whose share is above their cap and deals the rest anew.
 OP4_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS weight
   FROM d GROUP BY source
+), r(round, source, source_size, weight, capped) AS (
+  SELECT 0, source, source_size, weight, false FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, weight,
+         capped OR weight * (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) FILTER (capped) OVER (), 0))
+                   / nullif(sum(weight) FILTER (NOT capped) OVER (), 0) > 2.0 * source_size
+  FROM r WHERE round < (SELECT count(*) FROM s)
+), e AS (SELECT * FROM r WHERE round = (SELECT count(*) FROM s)),
+t AS (
+  SELECT source, source_size,
+         round(CASE WHEN capped THEN 2.0 * source_size
+                    ELSE weight * (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) FILTER (capped) OVER (), 0))
+                         / sum(weight) FILTER (NOT capped) OVER () END, 6) AS target
+  FROM e
 ), c AS (
-  SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / weight AS ratio, 1.5 * sum(source_size) OVER () AS total FROM s
-), l AS (
-  SELECT *, (total - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS lev
-  FROM c WINDOW w AS (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), t AS (
-  SELECT source, source_size, round(CASE WHEN m IS NULL THEN cap ELSE least(cap, m * weight) END, 6) AS target
-  FROM (SELECT *, min(CASE WHEN lev <= ratio THEN lev END) OVER () AS m FROM l)
-), r AS (
   SELECT doc_id, size, source_size, target, coalesce(target / nullif(source_size, 0), 0) AS rate,
          CAST('0x' || substr(md5('mix-' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), k AS (SELECT *, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM r)
+), k AS (SELECT *, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM c)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, size * copies AS taken, copies FROM k
 """

@@ -62,35 +62,37 @@ class Exposures:
         return solvers.positive_definite((self.beta @ self.cov @ self.beta.T + np.diag(self.residual)) * year)
 
 
-def cross_products(returns: DataFrame, factors: DataFrame) -> DataFrame:
-    """Normal equations as rows: a, b and the sum of their products over dates that all have; a and b are factor names,
-    asset names (prefixed @) or const."""
-    wide = complete_dates(factors, "value").select("date", F.col("factor").alias("name"), F.col("value").alias("v"))
-    const = wide.select("date").distinct().select("date", F.lit("const").alias("name"), F.lit(1.0).alias("v"))
-    x = wide.unionByName(const)
-    y = returns.select("date", F.concat(F.lit("@"), "asset").alias("name"), F.col("ret").alias("v"))
-    a = x.unionByName(y).select("date", F.col("name").alias("a"), F.col("v").alias("va"))
-    b = x.select("date", F.col("name").alias("b"), F.col("v").alias("vb"))
-    squares = y.join(x.select("date").distinct(), "date", "left_semi").groupBy(F.col("name").alias("a"), F.col("name").alias("b")).agg(F.sum(F.col("v") * F.col("v")).alias("s"))
-    return a.join(b, "date").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s")).unionByName(squares)
+def cross_products(returns: DataFrame, factors: DataFrame) -> tuple[list[str], DataFrame]:
+    """Factor names (a constant first), and for each asset the normal equations over dates that all factors have: the
+    products of every two factors (xx_i_j, i <= j), of each with the return (xy_i), and the return's square (yy)."""
+    names = ["const", *sorted(r["factor"] for r in factors.select("factor").distinct().collect())]  # a name a factor
+    wide = factors.groupBy("date").pivot("factor", names[1:]).agg(F.first("value")).na.drop().withColumn("const", F.lit(1.0))
+    x = [F.col(f"`{k}`") for k in names]
+    pairs = [F.sum(x[i] * x[j]).alias(f"xx_{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
+    own = [F.sum(a * F.col("ret")).alias(f"xy_{i}") for i, a in enumerate(x)]
+    return names, returns.join(wide, "date").groupBy("asset").agg(*pairs, *own, F.sum(F.col("ret") * F.col("ret")).alias("yy"))
 
 
 def estimate(returns: DataFrame, factors: DataFrame) -> Exposures:
     """Least squares with a constant, of least norm where factors are dependent; residual variance over the rows less
-    the rank. Sums are Spark's; the matrices are assets by factors."""
-    s = {(r["a"], r["b"]): r["s"] for r in cross_products(returns, factors).collect()}
-    names = ["const", *sorted({b for _, b in s if b != "const" and not b.startswith("@")})]
-    assets = sorted({a[1:] for a, _ in s if a.startswith("@")})
-    xx = np.array([[s[a, b] for b in names] for a in names])
-    xy = np.array([[s[f"@{k}", b] for b in names] for k in assets])
-    yy = np.array([s[f"@{k}", f"@{k}"] for k in assets])
-    n = xx[0, 0]
-    inverse = np.linalg.pinv(xx, rcond=1e-10, hermitian=True)
-    beta = xy @ inverse
-    rank = np.linalg.matrix_rank(xx, hermitian=True, tol=1e-10 * np.linalg.norm(xx, 2))
-    residual = np.maximum(yy - (beta * xy).sum(1), 0) / (n - rank)
-    mean = xx[0] / n
-    return Exposures(assets, names, beta, mean, (xx - n * np.outer(mean, mean)) / (n - 1), residual)
+    the rank. Sums are Spark's, a row an asset; the matrices are of factors. Factor moments are those of the asset with
+    the most rows."""
+    names, sums = cross_products(returns, factors)
+    rows = sorted(sums.collect(), key=lambda r: r["asset"])
+    k = len(names)
+    assets, beta, residual, best = [], [], [], None
+    for row in rows:
+        xx = np.array([[row[f"xx_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        xy = np.array([row[f"xy_{i}"] for i in range(k)])
+        own = np.linalg.pinv(xx, rcond=1e-10, hermitian=True) @ xy
+        rank = np.linalg.matrix_rank(xx, hermitian=True, tol=1e-10 * np.linalg.norm(xx, 2))
+        assets.append(row["asset"])
+        beta.append(own)
+        residual.append(max(row["yy"] - own @ xy, 0.0) / (xx[0, 0] - rank))
+        best = xx if best is None or xx[0, 0] > best[0, 0] else best
+    n = best[0, 0]
+    mean = best[0] / n
+    return Exposures(assets, names, np.array(beta), mean, (best - n * np.outer(mean, mean)) / (n - 1), np.array(residual))
 
 
 def optimise(returns: DataFrame, model: Exposures, objective: str = "sharpe", aversion: float = 1.0, target: float | None = None, rf: float = config.RISK_FREE_RATE, low: float = config.MIN_WEIGHT, high: float = config.MAX_WEIGHT, equal: list[tuple[dict[str, float], float]] = ()) -> DataFrame:

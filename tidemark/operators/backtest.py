@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from .. import config
 
-BY = W.partitionBy("strategy").orderBy("date")
-UPTO = BY.rowsBetween(W.unboundedPreceding, 0)
+def by():
+    return W.partitionBy("strategy").orderBy("date")
+
+
+def upto():
+    return by().rowsBetween(W.unboundedPreceding, 0)
 
 
 def month_end_dates(dates: DataFrame) -> DataFrame:
@@ -43,7 +47,7 @@ def rebalanced(prices: DataFrame, weights: DataFrame, rebalances: DataFrame, ini
     flags = rebalances.withColumn("flag", F.lit(1))
     on = [c for c in ("strategy", "date") if c in rebalances.columns]
     days = dates.crossJoin(names).join(flags, on, "left").withColumn("flag", F.coalesce("flag", F.lit(0)))
-    days = days.withColumn("segment", F.coalesce(F.sum("flag").over(BY.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    days = days.withColumn("segment", F.coalesce(F.sum("flag").over(by().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # the close at which a segment starts is the last date of the one before; the first starts at the first date
     starts = days.groupBy("strategy", (F.col("segment") + 1).alias("segment")).agg(F.max("date").alias("start"))
     first = days.groupBy("strategy").agg(F.min("date").alias("start")).withColumn("segment", F.lit(0).cast("long"))
@@ -59,16 +63,16 @@ def rebalanced(prices: DataFrame, weights: DataFrame, rebalances: DataFrame, ini
     done = F.product("end").over(W.partitionBy("strategy").orderBy("segment").rowsBetween(W.unboundedPreceding, -1))
     chained = ends.select("strategy", "segment", F.coalesce(done, F.lit(1.0)).alias("done"))
     valued = growth.join(chained, ["strategy", "segment"]).withColumn("value", initial * F.col("done") * F.col("growth"))
-    ruined = F.coalesce(F.min("value").over(BY.rowsBetween(W.unboundedPreceding, -1)) <= ruin * initial, F.lit(False))
+    ruined = F.coalesce(F.min("value").over(by().rowsBetween(W.unboundedPreceding, -1)) <= ruin * initial, F.lit(False))
     valued = valued.withColumn("value", F.when(ruined, 0.0).otherwise(F.col("value")))
-    before = F.lag("value").over(BY)
+    before = F.lag("value").over(by())
     return valued.select("strategy", "date", "value", F.when(before > 0, F.col("value") / before - 1).otherwise(0.0).alias("ret"))
 
 
 def backtest_metrics(values: DataFrame, rf: float = config.RISK_FREE_RATE) -> DataFrame:
     """total_return, annual_return (over calendar years, a tenth at least), annual_vol, sharpe, max_drawdown, final_value."""
-    level = F.product(1 + F.col("ret")).over(UPTO)
-    dd = values.withColumn("level", level).withColumn("dd", F.try_divide("level", F.max("level").over(UPTO)) - 1)
+    level = F.product(1 + F.col("ret")).over(upto())
+    dd = values.withColumn("level", level).withColumn("dd", F.try_divide("level", F.max("level").over(upto())) - 1)
     base = dd.groupBy("strategy").agg(
         F.min_by("value", "date").alias("first"), F.max_by("value", "date").alias("final_value"), F.datediff(F.max("date"), F.min("date")).alias("days"),
         (F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("annual_vol"), F.min("dd").alias("max_drawdown"),
@@ -81,18 +85,18 @@ def backtest_metrics(values: DataFrame, rf: float = config.RISK_FREE_RATE) -> Da
 
 def rolling_metrics(values: DataFrame, rows: int = 252) -> DataFrame:
     """date, strategy and rolling yearly return, volatility and their ratio over full windows."""
-    w = BY.rowsBetween(1 - rows, 0)
+    w = by().rowsBetween(1 - rows, 0)
     full = F.count("ret").over(w) == rows
     rolled = values.withColumns({"rolling_return": F.when(full, F.avg("ret").over(w) * 252), "rolling_vol": F.when(full, F.stddev_samp("ret").over(w) * F.sqrt(F.lit(252.0)))})
     return rolled.filter("rolling_vol IS NOT NULL").select("strategy", "date", "rolling_return", "rolling_vol", F.try_divide("rolling_return", "rolling_vol").alias("rolling_sharpe"))
 
 
 def growth_of_one(values: DataFrame) -> DataFrame:
-    return values.select("strategy", "date", F.try_divide("value", F.first("value").over(UPTO)).alias("growth"))
+    return values.select("strategy", "date", F.try_divide("value", F.first("value").over(upto())).alias("growth"))
 
 
 def strategy_drawdowns(values: DataFrame) -> DataFrame:
-    return values.select("strategy", "date", (F.try_divide("value", F.max("value").over(UPTO)) - 1).alias("drawdown"))
+    return values.select("strategy", "date", (F.try_divide("value", F.max("value").over(upto())) - 1).alias("drawdown"))
 
 
 def monthly_heatmap(values: DataFrame) -> DataFrame:

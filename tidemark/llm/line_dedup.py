@@ -218,7 +218,7 @@ SALTS = 16
 def _probe_streamed(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: int) -> DataFrame:
     asked = docs.select("doc_id", "text").mapInArrow(lambda it: _hash_rows(it, min_chars, shards), "low long, high long, doc_id long, shard long")
     asked = asked.withColumn("salt", F.pmod(F.col("doc_id"), F.lit(SALTS)))
-    held = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    held = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     both = asked.unionByName(held, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,8 @@ def _probe_streamed(docs: DataFrame, arrays: DataFrame, shards: int, min_chars:
                     found, keeper = probe(opened, low, high)
                     doc = rows["doc_id"].to_numpy().astype(np.int64)
                     drop = found & (keeper != doc)
-                    yield pa.RecordBatch.from_pydict({"doc_id": doc[drop], "hash": [a.tobytes() + b.tobytes() for a, b in zip(low[drop], high[drop], strict=True)]})
+                    hashes = [a.tobytes() + b.tobytes() for a, b in zip(low[drop], high[drop], strict=True)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[drop], pa.int64()), "hash": pa.array(hashes, pa.binary())})
 
     key = ["shard", "salt"]
     asked_first = both.repartition(*key).sortWithinPartitions(*key, F.col("arrays").isNull())

@@ -144,6 +144,7 @@ def macro_changes(panel: DataFrame, levels: tuple[str, ...] = config.LEVEL_FACTO
 
 
 def clean_prices(panel: DataFrame) -> DataFrame:
-    """The whole sequence for prices: coverage, filling, outliers, business days."""
-    cells = complete_dates(fill(keep_covered(scaffold(panel))))
+    """The whole sequence for prices: coverage, filling, outliers, business days. The filled cells, a row a series and
+    date, are cached, as outliers and the rebuilding read them again."""
+    cells = complete_dates(fill(keep_covered(scaffold(panel.cache())))).cache()
     return business_days(rebuilt(cells, winsorized(simple_returns(cells))))

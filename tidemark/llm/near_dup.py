@@ -88,8 +88,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
         )
 
 
-def _part(key: Column, count: Column, size: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.ceil(count / size).cast("long"))
+def _part(key: Column, count: Column, size: int, deal: int = 0) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(deal)), F.ceil(count / size).cast("long"))
 
 
 def _sieve(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -148,16 +148,16 @@ def _parts(sets: DataFrame, percent: int) -> DataFrame:
     tokens = sets.select("set", "n", F.col("shared.token").alias("tokens"))
     current = sets.select("set", F.array_min("shared.token").alias("group"))
     rounds: list[DataFrame] = []
-    while True:
+    before = after = None
+    while not rounds or 0 < after <= before / 2:
         counts = current.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1")
-        dealt = current.join(counts, "group").withColumn("part", _part(F.col("set"), F.col("members"), PART))
+        dealt = current.join(counts, "group").withColumn("part", _part(F.col("set"), F.col("members"), PART, len(rounds)))
         dealt = dealt.withColumn("parts", F.ceil(F.col("members") / PART).cast("long")).join(tokens, "set")
         linked = dealt.groupBy("group", "part").applyInArrow(lambda t: _link_part(t, percent), "set long, root long, group long, parts long")
         linked = scratch(linked, "linked-parts")
         rounds.append(linked)
         current = linked.filter("set = root AND parts > 1").select("set", "group")
-        if current.isEmpty():
-            break
+        before, after = linked.filter("parts > 1").count(), current.count()
     comp = rounds[0].select("set", F.col("root").alias("comp"))
     for later in rounds[1:]:
         step = later.select(F.col("set").alias("comp"), F.col("root").alias("_next"))

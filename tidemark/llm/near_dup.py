@@ -6,13 +6,13 @@ similarity reaches a percentage. Equal sets are one set from the start. Then:
 1. Sieve. A set that has a partner shares with it the first tokens of their intersection, in hash order, and these lie
    in a prefix of both. Spark counts prefix tokens; sets with too few shared ones go. Over the full sets of those left,
    the share of tokens held by any other set must itself reach the percentage.
-2. Groups. Sets with the same least shared token form a group, dealt into parts of bounded size. Each part is linked
-   within; one representative of each part's components goes to the next round until a group has one part. That makes
-   most components, at one comparison a set or so.
+2. Groups. Sets with the same least shared token, in any of KEYS orders, form a group, dealt into parts of bounded
+   size. Each part is linked within; one representative of each part's components goes to the next round while that
+   pays. That makes most components, at one comparison a set or so.
 3. Matrix. For components found so far the sets are grouped again, each group with the union of its tokens. A token
    that one component alone holds can't make a link and is left out. A set of the smaller component queries the matrix
-   with its rarest tokens; groups whose overlap with it is under the bound stay closed, the others are opened and
-   compared, pair by pair.
+   with its rarest tokens; of the components it meets, groups whose union overlaps it under the bound stay closed, the
+   others are opened and compared.
 4. Links between components are joined by pointer jumping over Spark tables.
 
 No step makes the pairs within a component, and no part or group that one task holds grows with the input."""
@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, shingle_sets, slices, texts
+from .common import scratch, shingle_sets, slices, small, texts
 
-#: Sets that one task compares with each other; the extra prefix, as a divisor of a set's size.
-PART, EXTRA = 128, 20
+#: Sets that one task compares with each other; the extra prefix, as a divisor of a set's size; orders of grouping.
+PART, EXTRA, KEYS = 128, 20, 3
 
 
 def least(n, percent: int):
@@ -94,19 +94,24 @@ def _part(key: Column, count: Column, size: int, deal: int = 0) -> Column:
 
 def _sieve(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """set, n and shared (tokens that another set holds too, with how many hold it) of sets that may have a partner."""
-    tokens = rows.filter("set IS NOT NULL").select("set", "doc_id", "n", F.explode("prefix").alias("token"))
+    owned = rows.filter("set IS NOT NULL")
+    tokens = owned.select("set", F.explode("prefix").alias("token"))
     held = tokens.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high"))
     shared = scratch(held.filter("low != high").select("token"), "shared-prefix")
-    hits = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("set", "doc_id", "n").agg(F.count("*").alias("hits"))
+    hits = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("set").agg(F.count("*").alias("hits"))
+    # rows of one text count its hits again and again
+    sets = owned.groupBy("set").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     few = F.floor(least(F.col("n"), percent) / EXTRA) + 1
-    likely = hits.filter(F.col("hits") >= few).groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    likely = scratch(likely.select("set", "doc_id"), "likely-sets")
-    picked = docs.select("doc_id", "text").join(likely, "doc_id").select("set", "text")
+    likely = scratch(hits.join(sets, "set").filter(F.col("hits") >= few * F.col("copies")).select("set", "doc_id"), "likely-sets")
+    picked = docs.select("doc_id", "text").join(small(likely, 24), "doc_id").select("set", "text")
     full = picked.mapInArrow(lambda it: _full_sets(it, words), f"wanted long, {SETS.replace('set long, ', '')}, set long")
     full = scratch(full.filter("wanted = set").select("set", "n", "tokens").dropDuplicates(["set"]), "likely-tokens")
-    each = full.select("set", "n", F.explode("tokens").alias("token"))
-    holders = scratch(each.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1"), "shared-tokens")
-    shared_of = each.join(holders.hint("shuffle_hash"), "token").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "token"))).alias("shared"))
+    each = full.select("set", F.explode("tokens").alias("token"))
+    holders = each.groupBy("token").agg(F.count("*").cast("int").alias("holders")).filter("holders > 1")
+    holders = scratch(holders, "shared-tokens")
+    # two lists of one group are in one order
+    lists = each.join(holders.hint("shuffle_hash"), "token").groupBy("set").agg(F.collect_list("holders").alias("h"), F.collect_list("token").alias("t"))
+    shared_of = lists.join(full.select("set", "n"), "set").select("set", "n", F.array_sort(F.arrays_zip(F.col("h").alias("holders"), F.col("t").alias("token"))).alias("shared"))
     return scratch(shared_of.filter(F.size("shared") >= least(F.col("n"), percent)), "candidate-sets")
 
 
@@ -144,9 +149,13 @@ def _link_part(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _parts(sets: DataFrame, percent: int) -> DataFrame:
-    """set, comp: components by rounds of bounded parts; sets that are alone in their group aren't listed."""
+    """a, b: links found by rounds of bounded parts.
+
+    A round's roots in groups of several parts are dealt anew, while that halves them; what is left to link is the
+    matrix's."""
     tokens = sets.select("set", "n", F.col("shared.token").alias("tokens"))
-    current = sets.select("set", F.array_min("shared.token").alias("group"))
+    keys = [F.array_min(F.transform("shared.token", lambda t, k=k: F.xxhash64(t, F.lit(k)))) for k in range(KEYS)]
+    current = sets.select("set", F.explode(F.array(*keys)).alias("group"))
     rounds: list[DataFrame] = []
     before = after = None
     while not rounds or 0 < after <= before / 2:
@@ -158,15 +167,15 @@ def _parts(sets: DataFrame, percent: int) -> DataFrame:
         rounds.append(linked)
         current = linked.filter("set = root AND parts > 1").select("set", "group")
         before, after = linked.filter("parts > 1").count(), current.count()
-    comp = rounds[0].select("set", F.col("root").alias("comp"))
+    found = rounds[0]
     for later in rounds[1:]:
-        step = later.select(F.col("set").alias("comp"), F.col("root").alias("_next"))
-        comp = comp.join(step, "comp", "left").select("set", F.coalesce("_next", "comp").alias("comp"))
-    return scratch(comp, "components") if len(rounds) > 1 else comp
+        found = found.unionByName(later)
+    return found.filter("set != root").select(F.col("set").alias("a"), F.col("root").alias("b"))
 
 
 def _open(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
-    """Links between the components of some queries and of a group's sets."""
+    """Links between the components of some queries and of a group's sets. The bound comes first: a query whose overlap
+    with the union of the group's tokens is too small isn't compared with its sets."""
     both = pa.concat_tables([x.select(["tokens", "n"]) for x in (queries, members)])
     if not len(queries) or not len(members):
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -174,8 +183,12 @@ def _open(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
     q = len(queries)
     comp = queries.column("comp").to_numpy()
     other = members.column("comp")[0].as_py()
+    union = np.zeros(len(sets.kinds), np.int64)
+    union[sets.ids[sets.starts[q] :]] = 1
+    sums = np.concatenate([[0], np.cumsum(union[sets.ids])])
+    overlap = (sums[sets.starts[1:]] - sums[sets.starts[:-1]])[:q]
     linked: set[int] = set()
-    for k in range(q):
+    for k in np.flatnonzero(overlap >= least(sets.sizes[:q], percent)).tolist():
         if comp[k] not in linked and links(sets.sizes[k], sets.sizes[q:], sets.common(k)[q:], percent).any():
             linked.add(comp[k])
     return pa.table({"a": pa.array(sorted(linked), pa.int64()), "b": pa.array([other] * len(linked), pa.int64())})
@@ -183,7 +196,7 @@ def _open(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
 
 def _matrix_links(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """a, b: components that are linked by some pair of their sets, found through the token-group matrix."""
-    known = sets.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    known = scratch(sets.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set")), "labelled-sets")
     sizes = known.groupBy("comp").agg(F.count("*").alias("size"))
     known = scratch(known.join(sizes, "comp").withColumn("part", _part(F.col("set"), F.col("size"), PART)), "component-sets")
     # rarest tokens first: the first common token of a pair lies within both prefixes
@@ -192,17 +205,12 @@ def _matrix_links(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     holders = probes.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     contested = holders.filter("low != high").select("token")
     probes = scratch(probes.join(contested, "token"), "contested")
-    matrix = probes.groupBy("token", "comp", "part").agg(F.first("size").alias("size"))
-    matrix = matrix.select("token", F.col("comp").alias("other"), F.col("part").alias("other_part"), F.col("size").alias("other_size"))
+    matrix = probes.groupBy("token", "comp").agg(F.first("size").alias("size"))
+    matrix = matrix.select("token", F.col("comp").alias("other"), F.col("size").alias("other_size"))
     ahead = F.struct("size", "comp") < F.struct("other_size", "other")
-    # the bound over prefixes is one token; over whole unions it is least(n)
-    met = probes.join(matrix, "token").filter(ahead).select("set", "other", "other_part").distinct()
-    whole = known.select("set", "n", F.explode("shared.token").alias("token"))
-    asked = scratch(met, "asked")
-    union = known.join(asked.select(F.col("other").alias("comp"), F.col("other_part").alias("part")).distinct(), ["comp", "part"])
-    union = union.select(F.col("comp").alias("other"), F.col("part").alias("other_part"), F.explode("shared.token").alias("token")).distinct()
-    overlap = asked.join(whole, "set").join(union, ["other", "other_part", "token"]).groupBy("set", "n", "other", "other_part").agg(F.count("*").alias("overlap"))
-    opened = scratch(overlap.filter(F.col("overlap") >= least(F.col("n"), percent)).select("set", "other", "other_part"), "opened")
+    met = probes.join(matrix, "token").filter(ahead).select("set", "other").distinct()
+    groups = known.select(F.col("comp").alias("other"), F.col("part").alias("other_part")).distinct()
+    opened = scratch(met.join(groups, "other"), "asked")
     # a group that many sets query is compared with PART of them at a time
     asking = opened.groupBy("other", "other_part").agg(F.count("*").alias("asking"))
     lots = F.ceil(F.col("asking") / PART).cast("long")
@@ -244,7 +252,7 @@ def classes(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     hashed = docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = scratch(hashed.mapInArrow(lambda it: _digests(it, words, percent), DIGESTS), "set-digests")
     sets = _sieve(docs, rows, words, percent)
-    comp = _parts(sets, percent)
+    comp = connected(_parts(sets, percent)).select(F.col("node").alias("set"), F.col("label").alias("comp"))
     labels = connected(_matrix_links(sets, comp, percent))
     final = sets.select("set").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     final = final.join(labels.withColumnRenamed("node", "comp"), "comp", "left").select("set", F.coalesce("label", "comp").alias("class"))

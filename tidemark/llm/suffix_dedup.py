@@ -29,7 +29,7 @@ from .common import joined, mix, powers, prefix_hash, scratch, texts
 
 LENGTH, K = 50, 22
 #: Bytes of text in a slice, the unit of exchange, and in a segment, the unit of NumPy work; names in a shard.
-SLICE, SEGMENT, SHARD = 8 << 20, 1 << 20, 500_000
+SLICE, SEGMENT, SHARD = 4 << 20, 512 << 10, 500_000
 NONE = -(1 << 63)
 _LOW = np.uint64((1 << 28) - 1)
 
@@ -223,7 +223,7 @@ def _merged(table: pa.Table, domains: bool) -> pa.Table:
     keep = told[back]
     slices, names, own = slices[keep], names[keep], back[keep]
     edge = np.flatnonzero(np.append(True, slices[1:] != slices[:-1])) if len(slices) else np.zeros(0, np.int64)
-    stops = np.append(edge[1:], len(slices))
+    stops = np.append(edge[1:], len(slices)) if len(slices) else edge
     rows: dict[str, list] = {"slice": [], "names": [], "least": [], "split": []}
     for a, b in zip(edge.tolist(), stops.tolist(), strict=True):
         unique, first = np.unique(names[a:b], return_index=True)

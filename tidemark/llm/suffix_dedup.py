@@ -29,7 +29,7 @@ from .common import joined, mix, powers, prefix_hash, scratch, texts
 
 LENGTH, K = 50, 22
 #: Bytes of text in a slice, the unit of exchange, and in a segment, the unit of NumPy work; names in a shard.
-SLICE, SEGMENT, SHARD = 4 << 20, 512 << 10, 500_000
+SLICE, SEGMENT, SHARD = 2 << 20, 256 << 10, 150_000
 NONE = -(1 << 63)
 _LOW = np.uint64((1 << 28) - 1)
 
@@ -171,6 +171,7 @@ def _sent(number: int, keys: np.ndarray, names: np.ndarray | None, docs: np.ndar
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row by row, so that one slice is open at a time."""
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]

@@ -16,7 +16,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Largest table, by estimate, that is sent to every executor.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text that are turned into NumPy arrays at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, scratch_path
-from .tokens import TOKENIZER, TokenCache
+from .common import scratch, scratch_path, slices
+from .tokens import ENCODE_BYTES, TOKENIZER, TokenCache
 
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -96,7 +96,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = TokenCache(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, "text", ENCODE_BYTES):
             counts = [len(x) // 4 for x in cache.encode_all(batch.column("text").fill_null("").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int64())], names=[*kept, "n_tokens"])
 

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_path
-from .tokens import TOKENIZER, TokenCache
+from .common import scratch_path, slices
+from .tokens import ENCODE_BYTES, TOKENIZER, TokenCache
 
 #: The dictionary is trained on this many documents, those with the least hash of doc_id, and so many bytes of each.
 DICT_DOCS, DICT_DOC_BYTES, DICT_BYTES = 1500, 8_192, 65_536
@@ -31,7 +31,10 @@ FORMAT = 1
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A zstandard dictionary from the serialized id arrays of a bounded sample; empty if there is too little."""
-    sample = docs.filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "text").select(F.substring("text", 1, DICT_DOC_BYTES).alias("text")).limit(DICT_DOCS)
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    picked = docs.filter(F.length("text") > 0).select("doc_id").distinct().orderBy(*order).limit(DICT_DOCS)
+    prefixes = docs.join(F.broadcast(picked), "doc_id").select(F.substring("text", 1, DICT_DOC_BYTES).alias("text"))
+    sample = prefixes.filter(F.length("text") > 0).orderBy("text").limit(DICT_DOCS)
     cache = TokenCache(tokenizer)
     serialized = [cache.encode(r["text"].encode())[:DICT_DOC_BYTES] for r in sample.collect()]
     try:
@@ -59,7 +62,7 @@ def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, dictionary: bytes
             names=["shard", "block", "doc_ids", "n_tokens", "ends", "data", "dict_hash"],
         )
 
-    for batch in batches:
+    for batch in slices(batches, "text", ENCODE_BYTES):
         own = batch.column("doc_id").to_pylist()
         for doc_id, encoded in zip(own, cache.encode_all(batch.column("text").fill_null("").to_pylist()), strict=True):
             encoded += END_ID.to_bytes(4, "little")

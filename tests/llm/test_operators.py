@@ -259,6 +259,14 @@ def test_keep_one(docs):
     assert sorted(got) == sorted(want)
 
 
+def test_keep_one_of_unlike_texts_under_null_and_repeated_ids(spark):
+    """Two classes stay apart where they share their least doc_id, or have none."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (1, text["c"]), (7, text["d"]), (7, text["e"]), (8, text["e"] + " tail"), (9, text["f"])]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert bag(kept, "doc_id", "text") == sorted([(None, text["a"]), (None, text["b"]), (1, text["c"]), (7, text["d"]), (7, text["e"]), (9, text["f"])], key=repr)
+
+
 # --- 8: media
 
 

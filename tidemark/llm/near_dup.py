@@ -243,11 +243,12 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """doc_id, digest (of the text), n_shingles and component_id for each row of docs.
+    """doc_id, digest (of the text), n_shingles, component_id and class for each row of docs.
 
     Sets are taken after A-Z are lower-cased; a text of fewer words than words has its whole sequence as one shingle;
     null, empty and blank texts have no shingles and are classes of their own. Rows that repeat a doc_id or a text
-    each get a row. A class whose doc_ids are all null has a null component_id."""
+    each get a row. A class whose doc_ids are all null has a null component_id, and a repeated doc_id can be the least
+    of several classes: class (the name of one of its sets; null without shingles) tells those apart."""
     docs = docs.select("doc_id", "text")
     hashed = docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = scratch(hashed.mapInArrow(lambda it: _digests(it, words, percent), DIGESTS), "set-digests")
@@ -259,7 +260,7 @@ def classes(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     owned = scratch(rows.drop("prefix").join(final, "set", "left").withColumn("class", F.coalesce("class", "set")), "classed")
     heads = owned.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     alone = owned.filter("class IS NULL").withColumn("component_id", F.col("doc_id"))
-    out = ["doc_id", "digest", F.col("n").alias("n_shingles"), "component_id"]
+    out = ["doc_id", "digest", F.col("n").alias("n_shingles"), "component_id", "class"]
     return owned.join(heads, "class").select(*out).unionByName(alone.select(*out))
 
 
@@ -268,7 +269,7 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     Texts without words are classes of their own; rows alike in doc_id and text are one row."""
     found = classes(docs, percent, words)
     single = found.filter("n_shingles = 0").select("doc_id", "digest")
-    heads = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("head"))
+    heads = found.filter("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("head"))
     kept = scratch(heads.select("head.doc_id", "head.digest").unionByName(single).distinct(), "kept-rows")
     kept = kept.select(F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_digest"))
     hashed = docs.withColumn("_own_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -277,4 +278,4 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("digest")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("digest", "class")

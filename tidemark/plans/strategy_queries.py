@@ -305,6 +305,41 @@ def simulate_sample(spark: SparkSession, d: str) -> DataFrame:
     return M.sampled_paths(_paths(spark, d), 20).select("path", "day", "value")
 
 
+def _full(method: str):
+    """The operator's own defaults: 1000 paths of 1260 days."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return getattr(M, method)(history(spark, d))
+
+    run.__name__ = f"simulate_full_{method}"
+    return run
+
+
+# without SQL: values reach 1e15, where two engines' sixth decimals differ; a test holds them against SQL by ratio
+for _method in DRAWS:
+    query()(_full(_method))
+
+
+@query()
+def simulate_full_final_stats(spark: SparkSession, d: str) -> DataFrame:
+    return M.final_stats(M.parametric(history(spark, d)))
+
+
+@query()
+def simulate_full_targets(spark: SparkSession, d: str) -> DataFrame:
+    return M.target_table(M.final_stats(M.parametric(history(spark, d))))
+
+
+@query()
+def simulate_full_bands(spark: SparkSession, d: str) -> DataFrame:
+    return M.bands(M.parametric(history(spark, d)))
+
+
+@query()
+def simulate_full_sample(spark: SparkSession, d: str) -> DataFrame:
+    return M.sampled_paths(M.parametric(history(spark, d)))
+
+
 def _scenario_sql(scenarios: dict[str, list[float]]) -> str:
     return " UNION ALL ".join(f"SELECT '{k}' AS scenario, unnest(range(1, {len(v) + 1})) AS step, unnest({v!r}::DOUBLE[]) AS ret" for k, v in scenarios.items())
 

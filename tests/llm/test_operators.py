@@ -251,6 +251,20 @@ def test_classes_of_chains_and_large_groups(spark, monkeypatch):
     assert bag(got, "doc_id", "n_shingles", "component_id") == plain_classes(rows)
 
 
+def test_classes_of_near_copies_without_ids(spark):
+    """A text with a null doc_id links with its near copies, and carries a chain whose ends don't link."""
+    w = [[f"w{k}x{i}" for i in range(60)] for k in range(3)]
+    changed = [[*x[:4], "new", *x[5:]] for x in w]
+    twice = [[*x[:50], "newer", *x[51:]] for x in changed]
+    rows = [(1, w[0]), (None, changed[0]), (2, w[1]), (None, changed[1]), (3, twice[1]), (None, w[2]), (None, changed[2])]
+    rows = [(k, " ".join(x)) for k, x in rows]
+    want = plain_classes(rows)
+    assert {(None, 56, 1), (3, 56, 2)} <= set(want) and (3, 56, 3) in plain_classes([rows[2], rows[4]])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(near_dup.classes(docs), "doc_id", "n_shingles", "component_id") == want
+    assert bag(near_dup.keep_one(docs), "doc_id")[:2] == [(1,), (2,)] and near_dup.keep_one(docs).count() == 3
+
+
 def test_keep_one(docs):
     kept = near_dup.keep_one(docs)
     assert kept.columns == docs.columns

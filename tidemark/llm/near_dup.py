@@ -100,10 +100,12 @@ def _sieve(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFr
     shared = scratch(held.filter("low != high").select("token"), "shared-prefix")
     hits = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("set").agg(F.count("*").alias("hits"))
     # rows of one text count its hits again and again
-    sets = owned.groupBy("set").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    sets = owned.groupBy("set").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.min("doc_id").alias("own_id"), F.coalesce(F.min_by("digest", "doc_id"), F.min("digest")).alias("own_digest"))
     few = F.floor(least(F.col("n"), percent) / EXTRA) + 1
-    likely = scratch(hits.join(sets, "set").filter(F.col("hits") >= few * F.col("copies")).select("set", "doc_id"), "likely-sets")
-    picked = docs.select("doc_id", "text").join(small(likely, 24), "doc_id").select("set", "text")
+    likely = scratch(hits.join(sets, "set").filter(F.col("hits") >= few * F.col("copies")).select("set", "own_id", "own_digest"), "likely-sets")
+    # one row's text stands for a set; its doc_id may be null
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
+    picked = docs.join(small(likely, 32), same).select("set", "text")
     full = picked.mapInArrow(lambda it: _full_sets(it, words), f"wanted long, {SETS.replace('set long, ', '')}, set long")
     full = scratch(full.filter("wanted = set").select("set", "n", "tokens").dropDuplicates(["set"]), "likely-tokens")
     each = full.select("set", F.explode("tokens").alias("token"))
@@ -252,7 +254,7 @@ def classes(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     docs = docs.select("doc_id", "text")
     hashed = docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = scratch(hashed.mapInArrow(lambda it: _digests(it, words, percent), DIGESTS), "set-digests")
-    sets = _sieve(docs, rows, words, percent)
+    sets = _sieve(hashed, rows, words, percent)
     comp = connected(_parts(sets, percent)).select(F.col("node").alias("set"), F.col("label").alias("comp"))
     labels = connected(_matrix_links(sets, comp, percent))
     final = sets.select("set").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))

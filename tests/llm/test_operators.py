@@ -428,3 +428,21 @@ def test_pipeline_stages(spark):
     assert len(pipeline.STAGES) == 5 and expected
     assert bag(pipeline.run(spark, d), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(expected, key=repr)
     assert json.dumps([n for n, _ in pipeline.STAGES])
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, docs):
+    import corpus_pipeline as pipeline
+
+    d = "/root/testdata/sf0.001"
+    names = ("predicted", "source_size", "target", "Copies", "_copy", "_digest")
+    docs = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    rows = set(bag(docs, *docs.columns))
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    good = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels)).filter("predicted = 1").count()
+    plain = docs.select("doc_id", "text", "source")
+    counts = [good, near_dup.keep_one(plain).count(), docs.count(), mixing.mix(plain).agg(F.sum("copies")).first()[0]]
+    for (name, stage), want in zip(pipeline.STAGES, counts, strict=False):
+        got = stage(spark, docs, d)
+        assert got.columns == docs.columns, name
+        found = bag(got, *got.columns)
+        assert set(found) <= rows and len(found) == want, name

@@ -1,9 +1,9 @@
-"""Removal of repeated substrings by distributed prefix doubling.
+"""Removal of repeated substrings by anchors and exact window names, in place of prefix doubling.
 
-Ranks are names: equal strings of one length have one 64-bit name, and the name of a string twice as long is made of
-the pair of names at a position and at an offset from it. In each round Spark deals the names to range shards, which
-sort them together with the documents that hold them; positions whose name is unique leave, the others go on to the
-next length, until it reaches the threshold.
+Prefix doubling sorts a row for every byte in every round, over twenty times the input on disk. Here there are three
+fixed exchanges instead: of 22-byte anchors, of the stretches they cover, and of 50-byte windows. No name made in one is
+an input of the next: all are 64-bit hashes of the bytes, and equal strings have one name. Spark deals the names to
+shards, which sort them together with the documents that hold them; what is unique or settled takes no part in the next.
 
 Three things keep the rounds small. A window of LENGTH bytes is entered by its anchor, the least K-byte name in it, so
 the first round sorts one position in about fourteen. The windows of one anchor are next to each other: the stretch they

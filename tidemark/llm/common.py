@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +21,14 @@ SLICE_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or the one set by setCheckpointDir. A single-process
+    session without either gets one of its own; a cluster must name it, as no folder of one machine would do."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     context = spark.sparkContext
     if not (found := context.getCheckpointDir()):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = context.getCheckpointDir()
     return found
@@ -48,11 +52,12 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables of this application; DataFrames that read them end to work."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(df: DataFrame) -> None:
+    """Deletes the files of a scratch table that no later step reads."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -62,11 +67,34 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+#: Rows with one key beyond which a join takes the key apart from the others, and the tasks that then share it.
+HOT_ROWS, SALTS = 4_096, 16
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, deal_by: str) -> DataFrame:
+    """left joined by keys with right, a scratch table with one row a key whose column rows (dropped) says how many rows
+    of left the key has.
+
+    Keys of over HOT_ROWS rows, at most one for so many rows of left, meet left without a shuffle while they are few;
+    beyond that each is dealt to SALTS tasks by the column deal_by of left."""
+    cold = F.col(rows) <= HOT_ROWS
+    hot = right.filter(~cold).drop(rows)
+    if hot.isEmpty():
+        return left.join(right.drop(rows), keys)
+    hot = scratch(hot, "hot-keys")
+    names = small(hot.select(*keys), 16 * len(keys))
+    plain = left.join(names, keys, "left_anti").join(right.filter(cold).drop(rows), keys)
+    if hot.count() * 100 <= BROADCAST_BYTES:
+        return plain.unionByName(left.join(F.broadcast(hot), keys))
+    salted = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = left.join(names, keys, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(deal_by), F.lit(SALTS)).cast("int"))
+    return plain.unionByName(dealt.join(salted, [*keys, "_salt"]).drop("_salt"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that column's bytes stay near limit; a longer text stays whole, alone."""
     for batch in batches:
-        sizes = np.asarray(batch.column(column).cast(pa.binary()).fill_null(b"").to_numpy(zero_copy_only=False), dtype=object)
-        ends = np.cumsum(np.fromiter(map(len, sizes), np.int64, len(sizes)))
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < len(ends):
             base = ends[start - 1] if start else 0

@@ -1,17 +1,25 @@
-"""Removal of repeated substrings by anchors and exact window names, in place of prefix doubling.
+"""Removal of repeated substrings by distributed prefix doubling over a sparse set of positions.
 
-Prefix doubling sorts a row for every byte in every round, over twenty times the input on disk. Here there are three
-fixed exchanges instead: of 22-byte anchors, of the stretches they cover, and of 50-byte windows. No name made in one is
-an input of the next: all are 64-bit hashes of the bytes, and equal strings have one name. Spark deals the names to
-shards, which sort them together with the documents that hold them; what is unique or settled takes no part in the next.
+Ranks are tables that Spark sorts: a round takes rows of (rank of a shorter string, name of the bytes it grows by,
+least and greatest doc_id), reduces them to classes, drops the classes of one document, and numbers the others in sort
+order. That number is the rank that the next round pairs. Positions whose class is unique leave for good.
 
-Three things keep the rounds small. A window of LENGTH bytes is entered by its anchor, the least K-byte name in it, so
-the first round sorts one position in about fourteen. The windows of one anchor are next to each other: the stretch they
-cover, their domain, is named in the second round, and a domain seen before in a smaller document is settled whole.
-Only where an anchor stands in different domains are single windows sorted, and of equal domains only the first.
+Sorting a row for every byte would need over twenty times the input on disk, so not every position is ranked:
 
-Names and documents travel packed, one row for each shard and slice (some megabytes of whole documents), each name once
-a slice, so a string that a third of all documents hold is sent once from each slice."""
+0. Positions. Each window of LENGTH bytes holds one anchor, its least K-byte string by hash; equal windows have equal
+   anchors at equal places. Only anchors are ranked at first, about one position in ten. A sieve goes ahead: names of
+   anchors that no second row holds are unique strings, whose windows are unique; it keeps every other one.
+1. K/2 to K bytes: the rank at an anchor comes from the pair of strings of half its length, at the anchor and at offset
+   K/2.
+2. K to past LENGTH: the windows of one anchor stand next to each other and cover a stretch of LENGTH bytes or more. Its
+   rank comes from the pair (rank of the anchor, the bytes around it up to the stretch's ends). A stretch that a smaller
+   document holds is past the threshold, and all its windows are settled.
+3. K to LENGTH: where an anchor's class stands in several stretches, the windows of each stretch's first document are
+   ranked one by one, from the pair (rank of the anchor, the bytes up to the window's ends).
+
+The offsets at which strings start and the bytes that aren't ranked yet are named by 64-bit hashes of themselves. Rows
+are reduced within a slice (some megabytes of whole documents) before they are sent: a string that a third of all
+documents hold is one row a slice, and Spark's partial aggregation makes it one row a task."""
 
 from __future__ import annotations
 
@@ -25,13 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, mix, powers, prefix_hash, scratch, texts
+from .common import join_hot, joined, mix, powers, prefix_hash, release, scratch, texts
 
-LENGTH, K = 50, 22
-#: Bytes of text in a slice, the unit of exchange, and in a segment, the unit of NumPy work; names in a shard.
-SLICE, SEGMENT, SHARD = 2 << 20, 256 << 10, 150_000
+LENGTH, K = 50, 32
+#: Bytes of text in a slice, the unit of exchange, and in a segment, the unit of NumPy work; names in a shard of the sieve.
+SLICE, SEGMENT, SHARD = 2 << 20, 256 << 10, 500_000
 NONE = -(1 << 63)
 _LOW = np.uint64((1 << 28) - 1)
+_ONE = np.uint64(1)
 
 SLICES = "slice long, doc_ids array<long>, ends array<long>, text binary, size long"
 
@@ -63,22 +72,30 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield full()
 
 
+def _paired(*names: np.ndarray) -> np.ndarray:
+    """One name for each tuple of names."""
+    out = mix(names[-1])
+    for name in reversed(names[:-1]):
+        out = mix(name + out * np.uint64(0x9E3779B97F4A7C15) + _ONE)
+    return out
+
+
 class Segment:
-    """Some documents, or a piece of a long one, with the anchors of their windows."""
+    """Some documents, or a piece of a long one, with the anchors of their windows: for each the first and last window
+    (low, high), the anchor's place (at) and its document."""
 
     def __init__(self, parts: list[bytes], docs: list[int], base: int, length: int):
-        self.docs, self.base, self.length = np.array(docs), base, length
+        self.docs, self.base, self.length, self.k = np.array(docs), base, length, min(K, length)
         data, self.offsets = joined(parts)
         self.sums = prefix_hash(data)
         self.down = powers(len(data) + 1)[1]
-        n = len(data) - length + 1
-        self.keys = self.names = np.zeros(0, np.uint64)
-        self.low = self.high = self.doc = np.zeros(0, np.int64)
+        n, k = len(data) - length + 1, self.k
+        self.low = self.high = self.at = self.doc = np.zeros(0, np.int64)
+        self.keys = np.zeros(0, np.uint64)
         if n <= 0:
             return
-        k = min(K, length)
+        # the order of anchors is that of the upper bits, of equal ones the left first; the lower bits say where
         hashes = self.name(np.arange(len(data) - k + 1), k)
-        # the order is that of the upper bits, of equal ones the left first; the lower bits say where
         least, width, span = hashes & ~_LOW | np.arange(len(hashes), dtype=np.uint64), 1, length - k + 1
         while width * 2 <= span:
             least = np.minimum(least[:-width], least[width:])
@@ -86,34 +103,37 @@ class Segment:
         if rest := span - width:
             least = np.minimum(least[:-rest], least[rest:])
         at = (least & _LOW).astype(np.int64)
-        doc = np.searchsorted(self.offsets, np.arange(n), "right") - 1 if len(parts) > 1 else np.zeros(n, np.int64)
-        whole = np.arange(n) + length <= self.offsets[doc + 1]
         edge = np.ones(n + 1, bool)
-        edge[1:-1] = (at[1:] != at[:-1]) | (whole[1:] != whole[:-1]) | (doc[1:] != doc[:-1])
+        edge[1:-1] = at[1:] != at[:-1]
+        # windows that reach into the next document are cut off from those that don't
+        ends = self.offsets[1:-1]
+        for cut in (ends - length + 1, ends):
+            edge[cut[(cut > 0) & (cut < n)]] = True
         starts = np.flatnonzero(edge)
         low, high = starts[:-1], starts[1:] - 1
-        own = whole[low]
-        self.low, self.high = low[own], high[own]
-        self.doc = self.docs[doc[self.low]]
-        self.keys = hashes[at[self.low]]
-        self.names = mix(self.name(self.low, self.high - self.low + length) + (at[self.low] - self.low).astype(np.uint64) + self.keys)
+        doc = np.searchsorted(self.offsets, low, "right") - 1
+        own = low + length <= self.offsets[doc + 1]
+        self.low, self.high, self.at, self.doc = low[own], high[own], at[low[own]], self.docs[doc[own]]
+        self.keys = hashes[self.at]
 
     def name(self, at: np.ndarray, size) -> np.ndarray:
         """Names of the stretches of size bytes at some places."""
         return mix((self.sums[at + size] - self.sums[at]) * self.down[at])
 
+    def around(self, low: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Names of the bytes from low to stop without the anchor at at, and of the anchor's place among them."""
+        return _paired(self.name(low, at - low), self.name(at + self.k, stop - at - self.k), (at - low).astype(np.uint64))
+
+    def anchored(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pair of half anchors of some stretches, and the name of the bytes around the anchor."""
+        at, half = self.at[which], (self.k + 1) // 2
+        return self.name(at, half), self.name(at + self.k - half, half), self.around(self.low[which], at, self.high[which] + self.length)
+
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The windows of some domains, by start and number of the domain."""
+        """The windows of some stretches, by start and number of the stretch."""
         counts = self.high[which] - self.low[which] + 1
         of = np.repeat(which, counts)
-        start = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + self.low[of]
-        return start, of
-
-    def doubled(self, start: np.ndarray) -> np.ndarray:
-        """The names of windows, from the pairs of names of half their length: at the start and at the offset that
-        brings the second half to the window's end."""
-        half = (self.length + 1) // 2
-        return mix(self.name(start, half) + mix(self.name(start + self.length - half, half) + np.uint64(1)))
+        return np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + self.low[of], of
 
 
 def segments(parts: list[bytes], length: int) -> Iterator[Segment]:
@@ -141,51 +161,19 @@ def _opened(row: dict) -> tuple[list[bytes], np.ndarray]:
     return parts, np.array([NONE if x is None else x for x in row["doc_ids"]], np.int64)
 
 
-SENT = "shard int, slice long, keys binary, names binary, docs binary"
-
-
-def _sent(number: int, keys: np.ndarray, names: np.ndarray | None, docs: np.ndarray, shards: int) -> pa.RecordBatch:
-    """A slice's keys (with names of a second kind, or none) and documents as one row a shard. Of the documents that
-    hold a name the least and the greatest are sent."""
-    last = keys if names is None else names
-    order = np.lexsort((docs, last, keys))
-    keys, last, docs = keys[order], last[order], docs[order]
-    edge = np.ones(len(keys) + 1, bool)
-    edge[1:-1] = (keys[1:] != keys[:-1]) | (last[1:] != last[:-1])
-    firsts = np.flatnonzero(edge[:-1])
-    lasts = np.append(firsts[1:], len(keys)) - 1 if len(keys) else firsts
-    kept = edge[:-1].copy()
-    kept[lasts[docs[lasts] != docs[firsts]]] = True
-    keys, last, docs = keys[kept], last[kept], docs[kept]
-    shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    used = np.unique(shard)
-    low, high = np.searchsorted(shard, used, "left"), np.searchsorted(shard, used, "right")
-
-    def cut(values: np.ndarray) -> pa.Array:
-        return pa.array([values[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary())
-
-    return pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), pa.array([number] * len(used), pa.int64()), cut(keys), cut(last if names is not None else last[:0]), cut(docs)],
-        names=["shard", "slice", "keys", "names", "docs"],
-    )
-
-
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Row by row, so that one slice is open at a time."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+def _first(table: pa.Table) -> dict:
+    return table.slice(0, 1).to_pylist()[0]
 
 
-def _blob(blobs: list[bytes], kind: str = "<u8") -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind)
-
-
-def _held(found: list | None, fields: tuple[str, ...]) -> list[np.ndarray]:
-    """What came back to a slice, by ascending name."""
-    columns = [_blob([x[f] for x in found or []], "<i8" if f == "least" else "u1" if f == "split" else "<u8") for f in fields]
-    order = np.argsort(columns[0], kind="stable")
-    return [c[order] for c in columns]
+def _grouped(key: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, the place of one row of each, and their least and greatest document."""
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    starts = np.flatnonzero(new)
+    if not len(starts):
+        return key, order, docs, docs
+    return key[order[starts]], order[starts], np.minimum.reduceat(docs[order], starts), np.maximum.reduceat(docs[order], starts)
 
 
 def _find(names: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -196,130 +184,151 @@ def _find(names: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[at] == names, at, -1)
 
 
-def _merged(table: pa.Table, domains: bool) -> pa.Table:
-    """For each slice the names of a shard that it must know: those of several documents, with the least; of domains,
-    those that a smaller document holds or whose anchor stands in other domains too (split)."""
-    blobs = [_blob(table.column(c).to_pylist(), k) for c, k in (("keys", "<u8"), ("names", "<u8"), ("docs", "<i8"))]
-    keys, names, docs = blobs[0], blobs[1] if domains else blobs[0], blobs[2]
-    counts = np.array([len(x) // 8 for x in table.column("keys").to_pylist()])
-    slices = np.repeat(table.column("slice").to_numpy(), counts)
-    order = np.lexsort((names, keys)) if domains else np.argsort(keys, kind="stable")
-    k, m, d = keys[order], names[order], docs[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
-    starts = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    least, most = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
-    if domains:
-        # a key with several names: its first and last group differ
-        key_new = np.ones(len(starts), bool)
-        key_new[1:] = k[starts][1:] != k[starts][:-1]
-        per_key = np.diff(np.append(np.flatnonzero(key_new), len(starts)))
-        split = np.repeat(per_key > 1, per_key)
-        told = split | (least < most)
-    else:
-        split, told = np.zeros(len(starts), bool), least < most
-    back = np.empty(len(order), np.int64)
-    back[order] = group
-    keep = told[back]
-    slices, names, own = slices[keep], names[keep], back[keep]
-    edge = np.flatnonzero(np.append(True, slices[1:] != slices[:-1])) if len(slices) else np.zeros(0, np.int64)
-    stops = np.append(edge[1:], len(slices)) if len(slices) else edge
-    rows: dict[str, list] = {"slice": [], "names": [], "least": [], "split": []}
-    for a, b in zip(edge.tolist(), stops.tolist(), strict=True):
-        unique, first = np.unique(names[a:b], return_index=True)
-        at = own[a:b][first]
-        for field, value in (("slice", int(slices[a])), ("names", unique.tobytes()), ("least", least[at].tobytes()), ("split", split[at].tobytes())):
-            rows[field].append(value)
-    kinds = {"slice": pa.int64(), "names": pa.binary(), "least": pa.binary(), "split": pa.binary()}
-    return pa.table({f: pa.array(v, kinds[f]) for f, v in rows.items()})
-
-
-def _exchange(sent: DataFrame, domains: bool, name: str) -> DataFrame:
-    """slice, and what came back to it from all shards."""
-    back = sent.groupBy("shard").applyInArrow(lambda t: _merged(t, domains), "slice long, names binary, least binary, split binary")
-    back = scratch(back, name)
-    return back.groupBy("slice").agg(F.collect_list(F.struct("names", "least", "split")).alias(name))
+def _gathered(found: list[tuple[np.ndarray, ...]], kinds: tuple) -> list[np.ndarray]:
+    return [np.concatenate([np.zeros(0, kind), *(f[i] for f in found)]) for i, kind in enumerate(kinds)]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary) for each row of docs.
+# --- the sieve
 
-    Each byte goes that is covered by a string of length bytes (UTF-8) which also starts in a row with a smaller doc_id,
-    judged on the input. Null text is empty; texts under length bytes stay; rows that repeat a doc_id don't judge each
-    other; a null doc_id is smaller than any other; no rows give no rows."""
-    table = scratch(docs.select("doc_id", "text").mapInArrow(_slices, SLICES), "slices")
-    total = table.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total * 2 // (length - min(K, length) + 2) // SHARD))
+ASKED = "shard int, slice long, keys binary, several binary"
+HELD = "slice long, shard int, n int, held binary"
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            parts, ids = _opened(row)
-            found = [(s.keys, ids[s.doc]) for s in segments(parts, length)]
-            if found:
-                yield _sent(row["slice"], *(np.concatenate(x) if x else None for x in ([a for a, _ in found], [], [b for _, b in found])), shards)
-
-    by_anchor = _exchange(table.mapInArrow(anchors, SENT), False, "anchors")
-
-    def domains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            parts, ids = _opened(row)
-            (known,) = _held(row["anchors"], ("names",))
-            found = []
-            for s in segments(parts, length):
-                at = _find(s.keys, known) >= 0
-                found.append((s.keys[at], s.names[at], ids[s.doc[at]]))
-            if found:
-                yield _sent(row["slice"], *map(np.concatenate, zip(*found, strict=True)), shards)
-
-    by_domain = _exchange(table.join(by_anchor, "slice").mapInArrow(domains, SENT), True, "domains")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            parts, ids = _opened(row)
-            known, least, split = _held(row["domains"], ("names", "least", "split"))
-            found = []
-            for s in segments(parts, length):
-                start, of = s.windows(_open_domains(s, ids, known, least, split))
-                found.append((s.doubled(start), ids[s.doc[of]]))
-            if found:
-                keys, owners = map(np.concatenate, zip(*found, strict=True))
-                yield _sent(row["slice"], keys, None, owners, shards)
-
-    by_window = _exchange(table.join(by_domain, "slice").mapInArrow(windows, SENT), False, "windows")
-    judged = table.join(by_domain, "slice", "left").join(by_window, "slice", "left")
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            parts, ids = _opened(row)
-            known, least, split = _held(row["domains"], ("names", "least", "split"))
-            names, first = _held(row["windows"], ("names", "least"))
-            covered: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for s in segments(parts, length):
-                at = _find(s.names, known)
-                whole = np.flatnonzero((at >= 0) & (least[at] < ids[s.doc])) if len(known) else np.zeros(0, np.int64)
-                start, of = s.windows(_open_domains(s, ids, known, least, split))
-                near = _find(s.doubled(start), names)
-                hit = np.flatnonzero((near >= 0) & (first[near] < ids[s.doc[of]])) if len(names) else np.zeros(0, np.int64)
-                low = np.concatenate([s.low[whole], start[hit]])
-                high = np.concatenate([s.high[whole], start[hit]]) + length
-                doc = np.concatenate([s.doc[whole], s.doc[of[hit]]])
-                shift = s.base - s.offsets[np.searchsorted(s.docs, doc)]
-                order = np.argsort(doc, kind="stable")
-                doc, low, high = doc[order], (low + shift)[order], (high + shift)[order]
-                for i in np.unique(doc).tolist():
-                    a, b = np.searchsorted(doc, [i, i + 1])
-                    covered.setdefault(i, []).append((low[a:b], high[a:b]))
-            yield _emit(row["doc_ids"], parts, covered, keep_text)
-
-    return judged.mapInArrow(cut, out)
-
-
-def _open_domains(s: Segment, ids: np.ndarray, known: np.ndarray, least: np.ndarray, split: np.ndarray) -> np.ndarray:
-    """The domains whose windows must be looked at one by one: seen here first, by an anchor of several domains."""
-    at = _find(s.names, known)
-    return np.flatnonzero((at >= 0) & (split[at] > 0) & (least[at] == ids[s.doc])) if len(known) else np.zeros(0, np.int64)
+def _asked(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """A slice's distinct anchors as one row a shard: the lower halves of their names, ascending, and as bits whether
+    two of its documents hold them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = _first(pa.Table.from_batches([batch.slice(i, 1)]))
+            parts, _ = _opened(row)
+            keys, docs = _gathered([(s.keys, s.doc) for s in segments(parts, length)], (np.uint64, np.int64))
+            names, _, low, high = _grouped(keys, docs)
+            shard = ((names >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+            used, begin = np.unique(shard, return_index=True)
+            cuts = list(zip(begin.tolist(), [*begin.tolist()[1:], len(names)], strict=True))
+            lower, several = names.astype(np.uint32), low < high
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(used, pa.int32()),
+                    pa.array([row["slice"]] * len(used), pa.int64()),
+                    pa.array([lower[a:b].tobytes() for a, b in cuts], pa.binary()),
+                    pa.array([np.packbits(several[a:b]).tobytes() for a, b in cuts], pa.binary()),
+                ],
+                names=["shard", "slice", "keys", "several"],
+            )
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """For each row asked, as bits, which of its anchors another document may hold. Names that agree in the shard and
+    the lower half pass too: the ranks tell them apart."""
+    blobs = table.column("keys").to_pylist()
+    counts = [len(x) // 4 for x in blobs]
+    keys = np.frombuffer(b"".join(blobs), np.uint32)
+    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("several").to_pylist(), counts, strict=True)]).astype(bool)
+    order = np.argsort(keys, kind="stable")
+    same = np.zeros(len(keys) + 1, bool)
+    same[1:-1] = keys[order[1:]] == keys[order[:-1]]
+    held = several
+    held[order[same[1:] | same[:-1]]] = True
+    ends = np.cumsum([0, *counts])
+    bits = [np.packbits(held[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.table({"slice": table.column("slice"), "shard": table.column("shard"), "n": pa.array(counts, pa.int32()), "held": pa.array(bits, pa.binary())})
+
+
+# --- the rounds
+
+ANCHORS = "slice long, a long, b long, around long, low long, high long"
+WINDOWS = "slice long, rank long, around long, low long, high long"
+BACK = "slice long, a long, b long, around long, rank long, least long, kind byte"
+#: Kinds of BACK's rows: a stretch that is settled; one whose first document's windows are ranked; a window.
+SETTLED, OPEN, WINDOW = 0, 1, 2
+
+
+def _table(columns: list, schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "byte": pa.int8()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({name: pa.array(c.view(np.int64) if kind == "long" else c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
+
+
+def _anchors(one: pa.Table, answers: pa.Table, length: int) -> pa.Table:
+    """The anchors of a slice that the sieve has kept, with what is around them; each combination once."""
+    row = _first(one)
+    parts, ids = _opened(row)
+    whole = list(segments(parts, length))
+    names = np.unique(_gathered([(s.keys,) for s in whole], (np.uint64,))[0])
+    bits, counts = answers.column("held").to_pylist(), answers.column("n").to_pylist()
+    parts_of = [np.unpackbits(np.frombuffer(bits[i], np.uint8), count=counts[i]) for i in np.argsort(answers.column("shard").to_numpy())]
+    held = np.concatenate([np.zeros(0, np.uint8), *parts_of])
+    known = names[held.astype(bool)]
+    found = []
+    for s in whole:
+        which = np.flatnonzero(_find(s.keys, known) >= 0)
+        found.append((*s.anchored(which), ids[s.doc[which]]))
+    a, b, around, docs = _gathered(found, (np.uint64, np.uint64, np.uint64, np.int64))
+    _, at, low, high = _grouped(_paired(a, b, around), docs)
+    return _table([np.full(len(at), row["slice"]), a[at], b[at], around[at], low, high], ANCHORS)
+
+
+class _Back:
+    """What came back to a slice: stretches and windows by ascending name."""
+
+    def __init__(self, back: pa.Table):
+        values = {c: back.column(c).to_numpy() for c in ("rank", "least", "kind")}
+        a, b, around, rank = (np.ascontiguousarray(back.column(c).to_numpy()).view(np.uint64) for c in ("a", "b", "around", "rank"))
+        window = values["kind"] == WINDOW
+        names = np.where(window, _paired(rank, around), _paired(a, b, around))
+        order = np.argsort(names, kind="stable")
+        of_window, of_stretch = order[window[order]], order[~window[order]]
+        self.windows, self.window_least = names[of_window], values["least"][of_window]
+        self.names, self.least, self.kind, self.rank = names[of_stretch], values["least"][of_stretch], values["kind"][of_stretch], rank[of_stretch]
+
+    def firsts(self, s: Segment, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a segment's stretches those that a smaller document holds; the windows, by start and number of the stretch,
+        of those that are open and here first; and the ranks of all."""
+        at = _find(_paired(*s.anchored(np.arange(len(s.low)))), self.names)
+        known = np.flatnonzero(at >= 0)
+        at, own = at[known], ids[s.doc[known]]
+        seen = known[self.least[at] < own]
+        first = (self.kind[at] == OPEN) & (self.least[at] == own)
+        start, of = s.windows(known[first])
+        ranks = np.zeros(len(s.low), np.uint64)
+        ranks[known] = self.rank[at]
+        return seen, start, of, ranks
+
+    def hit(self, names: np.ndarray, own: np.ndarray) -> np.ndarray:
+        near = _find(names, self.windows)
+        return np.flatnonzero((near >= 0) & (self.window_least[near] < own)) if len(self.windows) else np.zeros(0, np.int64)
+
+
+def _windows(one: pa.Table, back: pa.Table, length: int) -> pa.Table:
+    """The windows of the stretches that are open and here first, each combination once."""
+    row, held, found = _first(one), _Back(back), []
+    parts, ids = _opened(row)
+    for s in segments(parts, length):
+        _, start, of, ranks = held.firsts(s, ids)
+        found.append((ranks[of], s.around(start, s.at[of], start + length), ids[s.doc[of]]))
+    rank, around, docs = _gathered(found, (np.uint64, np.uint64, np.int64))
+    _, at, low, high = _grouped(_paired(rank, around), docs)
+    return _table([np.full(len(at), row["slice"]), rank[at], around[at], low, high], WINDOWS)
+
+
+def _cut(one: pa.Table, back: pa.Table, length: int, keep_text: bool) -> pa.Table:
+    row, held = _first(one), _Back(back)
+    parts, ids = _opened(row)
+    covered: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for s in segments(parts, length) if len(back) else ():
+        seen, start, of, ranks = held.firsts(s, ids)
+        hit = held.hit(_paired(ranks[of], s.around(start, s.at[of], start + length)), ids[s.doc[of]])
+        low = np.concatenate([s.low[seen], start[hit]])
+        high = np.concatenate([s.high[seen], start[hit]]) + length
+        doc = np.concatenate([s.doc[seen], s.doc[of[hit]]])
+        shift = s.base - s.offsets[np.searchsorted(s.docs, doc)]
+        order = np.argsort(doc, kind="stable")
+        doc, low, high = doc[order], (low + shift)[order], (high + shift)[order]
+        for i in np.unique(doc).tolist():
+            a, b = np.searchsorted(doc, [i, i + 1])
+            covered.setdefault(i, []).append((low[a:b], high[a:b]))
+    return pa.Table.from_batches([_emit(row["doc_ids"], parts, covered, keep_text)])
 
 
 def _emit(ids: list, parts: list[bytes], covered: dict, keep_text: bool) -> pa.RecordBatch:
@@ -344,5 +353,59 @@ def _emit(ids: list, parts: list[bytes], covered: dict, keep_text: bool) -> pa.R
     return pa.RecordBatch.from_arrays(columns[:n], names=names[:n])
 
 
+def _classes(rows: DataFrame, *pair: str) -> DataFrame:
+    """The classes of a pair of names that several documents hold: the least, the greatest, and how many rows ask."""
+    sums = F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("n")
+    split = (F.min("around") != F.max("around")).alias("split")
+    return rows.groupBy(*pair).agg(*sums, split).filter("least < most").drop("most")
+
+
+def _ranked(classes: DataFrame, *pair: str) -> DataFrame:
+    """Classes numbered in the order of their pairs; a number is the partition's and the place in it, so it needs no
+    pass of its own, and a task that runs again gives the same."""
+    ordered = classes.repartitionByRange(*pair).sortWithinPartitions(*pair)
+    return scratch(ordered.withColumn("rank", F.monotonically_increasing_id()), "ranks")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary) for each row of docs.
+
+    Each byte goes that is covered by a string of length bytes (UTF-8) which also starts in a row with a smaller doc_id,
+    judged on the input. Null text is empty; texts under length bytes stay; rows that repeat a doc_id don't judge each
+    other; a null doc_id is smaller than any other; other columns are not read; no rows give no rows."""
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    table = scratch(docs.select("doc_id", "text").mapInArrow(_slices, SLICES), "slices")
+    total = table.agg(F.sum("size")).first()[0] or 0
+    shards = max(1, -(-total * 2 // (length - min(K, length) + 2) // SHARD))
+
+    def with_slices(rows: DataFrame, run, schema: str) -> DataFrame:
+        return table.groupBy("slice").cogroup(rows.groupBy("slice")).applyInArrow(run, schema)
+
+    held = table.mapInArrow(lambda it: _asked(it, length, shards), ASKED).groupBy("shard").applyInArrow(_answered, HELD)
+    held = scratch(held, "sieve")
+    rows = scratch(with_slices(held, lambda one, answers: _anchors(one, answers, length), ANCHORS), "anchors")
+    release(held)
+    # K/2 to K bytes
+    ranks = _ranked(_classes(rows, "a", "b"), "a", "b")
+    known = scratch(join_hot(rows, ranks, ["a", "b"], "n", "slice"), "known")
+    release(rows)
+    # K bytes to a stretch: of a class with one stretch, its least document holds that
+    single = known.filter("NOT split").select("slice", "a", "b", "around", "rank", "least", F.lit(SETTLED).cast("byte").alias("kind"))
+    several = known.filter("split").drop("least", "split")
+    least = scratch(several.groupBy("rank", "around").agg(F.min("low").alias("least"), F.count("*").alias("n")), "stretches")
+    several = join_hot(several, least, ["rank", "around"], "n", "slice").select("slice", "a", "b", "around", "rank", "least", F.lit(OPEN).cast("byte").alias("kind"))
+    stretches = scratch(single.unionByName(several), "stretches-of-slices")
+    for done in (ranks, least, known):
+        release(done)
+    # K bytes to length, window by window
+    rows = scratch(with_slices(stretches.filter(F.col("kind") == OPEN), lambda one, back: _windows(one, back, length), WINDOWS), "windows")
+    repeated = scratch(_classes(rows, "rank", "around").drop("split"), "window-classes")
+    none = F.lit(0).cast("long")
+    found = join_hot(rows, repeated, ["rank", "around"], "n", "slice").filter("least < high")
+    found = scratch(found.select("slice", none.alias("a"), none.alias("b"), "around", "rank", "least", F.lit(WINDOW).cast("byte").alias("kind")), "windows-of-slices")
+    release(rows)
+    return with_slices(stretches.unionByName(found), lambda one, back: _cut(one, back, length, keep_text), out)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices
+from .common import scratch, scratch_path, slices, small
 from .tokens import ENCODE_BYTES, TOKENIZER, TokenCache
 
 #: The dictionary is trained on this many documents, those with the least hash of doc_id, and so many bytes of each.
@@ -32,7 +32,7 @@ FORMAT = 1
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """A zstandard dictionary from the serialized id arrays of a bounded sample; empty if there is too little."""
     order = F.xxhash64("doc_id"), F.col("doc_id")
-    picked = docs.filter(F.length("text") > 0).select("doc_id").distinct().orderBy(*order).limit(DICT_DOCS)
+    picked = docs.select("doc_id").distinct().orderBy(*order).limit(DICT_DOCS)  # ids alone: no text is read for it
     prefixes = docs.join(F.broadcast(picked), "doc_id").select(F.substring("text", 1, DICT_DOC_BYTES).alias("text"))
     sample = prefixes.filter(F.length("text") > 0).orderBy("text").limit(DICT_DOCS)
     cache = TokenCache(tokenizer)
@@ -80,8 +80,9 @@ def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, dictionary: bytes
 def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shards: int | None = None, block_bytes: int = BLOCK_BYTES) -> None:
     """Writes docs (doc_id, text) to path in ascending doc_id order (null first; equal ids by text).
 
-    Documents are range-partitioned by doc_id before they are encoded, so each is encoded once and a task's blocks
-    are in order; null text is empty; an empty table gives a store without blocks."""
+    Documents are range-partitioned by doc_id before they are encoded, so each is encoded once and a task's
+    blocks are in order. Null text is empty; rows that repeat a doc_id or a text are documents of their own, next to each
+    other; other columns are not read; an empty table gives a store without blocks."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     dictionary = train_dictionary(docs, tokenizer)
@@ -92,7 +93,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shards:
     spark.createDataFrame(meta, "dictionary binary, dict_hash string, format int").coalesce(1).write.parquet(f"{path}/meta")
 
 
-DECODED = "shard int, block int, slot int, doc_id long, n_tokens long, ids_crc32 long"
+DECODED = "shard int, block int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
 
 def _decode(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
@@ -112,8 +113,15 @@ def _decode(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa
                 raise ValueError("a frame holds another number of ids than the index says")
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())],
-                names=["shard", "block", "slot", "doc_id", "n_tokens", "ids_crc32"],
+                [
+                    pa.array([row["shard"]] * n, pa.int32()),
+                    pa.array([row["block"]] * n, pa.int32()),
+                    pa.array(row["doc_ids"], pa.int64()),
+                    pa.array(np.cumsum([0, *sizes[:-1]], dtype=np.int64)),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(sums, pa.int64()),
+                ],
+                names=["shard", "block", "doc_id", "before", "n_tokens", "ids_crc32"],
             )
 
 
@@ -128,7 +136,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32, from the files.
 
     Starts are sums in three steps: over shards (one row a shard in the only window without a key), over the blocks
-    of a shard, over the documents of a block."""
+    of a shard, and over the documents of a block as it is decoded. Blocks' sums, a row for a megabyte of frames, are
+    broadcast while small; documents are shuffled for them only beyond that."""
     dictionary = _meta(spark, path)
     frames = spark.read.parquet(f"{path}/frames")
     sizes = frames.select("shard", "block", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
@@ -137,9 +146,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     in_shard = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = sizes.withColumn("offset", F.coalesce(F.sum("n").over(in_shard), F.lit(0))).join(shards, "shard").select("shard", "block", (F.col("base") + F.col("offset")).alias("base"))
     docs = frames.mapInArrow(lambda it: _decode(it, dictionary), DECODED)
-    in_block = W.partitionBy("shard", "block").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("base") + F.coalesce(F.sum("n_tokens").over(in_block), F.lit(0))
-    return docs.join(blocks, ["shard", "block"]).select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
+    found = docs.join(small(scratch(blocks, "token-blocks"), 40), ["shard", "block"])
+    return found.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:

@@ -13,8 +13,8 @@ from array import array
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that a worker remembers, the first it meets; the others are encoded each time, so its memory stays bounded.
 CACHED = 400_000
-#: Bytes of text that are split at once.
-ENCODE_BYTES = 4 << 20
+#: Bytes of text that are split at once: few, so that the pieces stay in the processor's cache.
+ENCODE_BYTES = 256 << 10
 _ODD = ["  ", " \n", "\n ", "\n\n", "\0", *(chr(x) for x in range(0x110000) if chr(x).isspace() and chr(x) not in " \n")]
 _loaded: dict[str, object] = {}
 

@@ -68,7 +68,7 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
 
 
 #: Rows with one key beyond which a join takes the key apart from the others, and the tasks that then share it.
-HOT_ROWS, SALTS = 4_096, 16
+HOT_ROWS, SALTS = 1_024, 16
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, deal_by: str) -> DataFrame:

@@ -7,15 +7,18 @@ similarity reaches a percentage. Equal sets are one set from the start. Then:
    in a prefix of both. Spark counts prefix tokens; sets with too few shared ones go. Over the full sets of those left,
    the share of tokens held by any other set must itself reach the percentage.
 2. Groups. Sets with the same least shared token, in any of KEYS orders, form a group, dealt into parts of bounded
-   size. Each part is linked within; one representative of each part's components goes to the next round while that
-   pays. That makes most components, at one comparison a set or so.
-3. Matrix. For components found so far the sets are grouped again, each group with the union of its tokens. A token
-   that one component alone holds can't make a link and is left out. A set of the smaller component queries the matrix
-   with its rarest tokens; of the components it meets, groups whose union overlaps it under the bound stay closed, the
-   others are opened and compared.
+   sets and tokens. A set's own group always qualifies, so it is opened at once: the members are compared from the most
+   popular one on, whose tokens most other sets hold and to which most near copies link. One root of each part's
+   components goes to the next round while that pays.
+3. Matrix. The components found so far are the groups, in parts of bounded sets and tokens. The union of each part's
+   tokens is a table of (group, token); tokens that one component alone holds can't make a link and are left out. A set
+   of the smaller component queries it with its rarest tokens, as many as can't all be missing from a partner; for the
+   groups met, the overlap with the stored union is summed, and only where it reaches the percentage is the group opened:
+   its members are fetched and compared.
 4. Links between components are joined by pointer jumping over Spark tables.
 
-No step makes the pairs within a component, and no part or group that one task holds grows with the input."""
+No step makes the pairs within a component, and no part or group that one task holds grows with the input. A token that
+many sets hold is dealt by set to as many tasks as it needs."""
 
 from __future__ import annotations
 
@@ -27,10 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, shingle_sets, slices, small, texts
+from .common import HOT_ROWS, join_hot, release, scratch, shingle_sets, slices, small, texts
 
-#: Sets that one task compares with each other; the extra prefix, as a divisor of a set's size; orders of grouping.
-PART, EXTRA, KEYS = 128, 20, 3
+#: Sets, and about how many tokens, that one task compares with each other; the extra prefixes of the sieve and of the
+#: matrix's queries, as divisors of a set's size; orders of grouping.
+PART, PART_TOKENS, EXTRA, MORE, KEYS = 256, 1 << 18, 20, 5, 3
 
 
 def least(n, percent: int):
@@ -88,8 +92,13 @@ def _full_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
         )
 
 
-def _part(key: Column, count: Column, size: int, deal: int = 0) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(deal)), F.ceil(count / size).cast("long"))
+def _parts_of(count: Column, tokens: Column) -> Column:
+    """Into how many parts so many sets with so many tokens are dealt."""
+    return F.ceil(F.greatest(count / PART, tokens / PART_TOKENS)).cast("long")
+
+
+def _part(key: Column, parts: Column, deal: int = 0) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(deal)), parts)
 
 
 def _sieve(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -140,14 +149,19 @@ def _link_part(table: pa.Table, percent: int) -> pa.Table:
     sets = _Sets(table.column("tokens"), table.column("n"))
     n = len(sets.sizes)
     root = np.arange(n)
-    for k in np.argsort(-sets.sizes, kind="stable"):
+    for k in np.lexsort((table.column("set").to_numpy(), -table.column("popular").to_numpy())):
         if (root == root[0]).all():
             break
         near = links(sets.sizes[k], sets.sizes, sets.common(k), percent)
         joined = np.unique(root[near | (np.arange(n) == k)])
         root[np.isin(root, joined)] = root[k]
     names = table.column("set").to_numpy()
-    return pa.table({"set": names, "root": names[root], "group": table.column("group"), "parts": table.column("parts")})
+    return pa.table({"set": names, "root": names[root], "n": table.column("n"), "group": table.column("group"), "parts": table.column("parts")})
+
+
+def _least_by(tokens: str, order: int) -> Column:
+    """The least of some tokens in one of several orders; equal sets of tokens have equal ones."""
+    return F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, F.lit(order))))
 
 
 def _parts(sets: DataFrame, percent: int) -> DataFrame:
@@ -155,19 +169,20 @@ def _parts(sets: DataFrame, percent: int) -> DataFrame:
 
     A round's roots in groups of several parts are dealt anew, while that halves them; what is left to link is the
     matrix's."""
-    tokens = sets.select("set", "n", F.col("shared.token").alias("tokens"))
-    keys = [F.array_min(F.transform("shared.token", lambda t, k=k: F.xxhash64(t, F.lit(k)))) for k in range(KEYS)]
-    current = sets.select("set", F.explode(F.array(*keys)).alias("group"))
+    popular = F.aggregate("shared.holders", F.lit(0).cast("long"), lambda a, x: a + x) / F.col("n")
+    tokens = sets.select("set", popular.alias("popular"), F.col("shared.token").alias("tokens"))
+    keys = [_least_by("shared.token", k) for k in range(KEYS)]
+    current = sets.select("set", "n", F.explode(F.array(*keys)).alias("group"))
     rounds: list[DataFrame] = []
     before = after = None
     while not rounds or 0 < after <= before / 2:
-        counts = current.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1")
-        dealt = current.join(counts, "group").withColumn("part", _part(F.col("set"), F.col("members"), PART, len(rounds)))
-        dealt = dealt.withColumn("parts", F.ceil(F.col("members") / PART).cast("long")).join(tokens, "set")
-        linked = dealt.groupBy("group", "part").applyInArrow(lambda t: _link_part(t, percent), "set long, root long, group long, parts long")
+        counts = current.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("all_tokens")).filter("members > 1")
+        counts = scratch(counts.select("group", "members", _parts_of(F.col("members"), F.col("all_tokens")).alias("parts")), "groups")
+        dealt = join_hot(current, counts, ["group"], "members", "set").withColumn("part", _part(F.col("set"), F.col("parts"), len(rounds))).join(tokens, "set")
+        linked = dealt.groupBy("group", "part").applyInArrow(lambda t: _link_part(t, percent), "set long, root long, n long, group long, parts long")
         linked = scratch(linked, "linked-parts")
         rounds.append(linked)
-        current = linked.filter("set = root AND parts > 1").select("set", "group")
+        current = linked.filter("set = root AND parts > 1").select("set", "n", "group")
         before, after = linked.filter("parts > 1").count(), current.count()
     found = rounds[0]
     for later in rounds[1:]:
@@ -176,55 +191,65 @@ def _parts(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
-    """Links between the components of some queries and of a group's sets. The bound comes first: a query whose overlap
-    with the union of the group's tokens is too small isn't compared with its sets."""
-    both = pa.concat_tables([x.select(["tokens", "n"]) for x in (queries, members)])
-    if not len(queries) or not len(members):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    sets = _Sets(both.column("tokens"), both.column("n"))
-    q = len(queries)
-    comp = queries.column("comp").to_numpy()
-    other = members.column("comp")[0].as_py()
-    union = np.zeros(len(sets.kinds), np.int64)
-    union[sets.ids[sets.starts[q] :]] = 1
-    sums = np.concatenate([[0], np.cumsum(union[sets.ids])])
-    overlap = (sums[sets.starts[1:]] - sums[sets.starts[:-1]])[:q]
+    """Links between the components of some queries and that of a group's members."""
     linked: set[int] = set()
-    for k in np.flatnonzero(overlap >= least(sets.sizes[:q], percent)).tolist():
-        if comp[k] not in linked and links(sets.sizes[k], sets.sizes[q:], sets.common(k)[q:], percent).any():
-            linked.add(comp[k])
+    if len(queries) and len(members):
+        both = pa.concat_tables([x.select(["tokens", "n"]) for x in (queries, members)])
+        sets, q = _Sets(both.column("tokens"), both.column("n")), len(queries)
+        for k, comp in enumerate(queries.column("comp").to_pylist()):
+            if comp not in linked and links(sets.sizes[k], sets.sizes[q:], sets.common(k)[q:], percent).any():
+                linked.add(comp)
+    other = members.column("other")[0].as_py() if linked else None
     return pa.table({"a": pa.array(sorted(linked), pa.int64()), "b": pa.array([other] * len(linked), pa.int64())})
 
 
 def _matrix_links(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """a, b: components that are linked by some pair of their sets, found through the token-group matrix."""
     known = scratch(sets.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set")), "labelled-sets")
-    sizes = known.groupBy("comp").agg(F.count("*").alias("size"))
-    known = scratch(known.join(sizes, "comp").withColumn("part", _part(F.col("set"), F.col("size"), PART)), "component-sets")
-    # rarest tokens first: the first common token of a pair lies within both prefixes
-    slack = F.size("shared") - least(F.col("n"), percent) + 1
-    probes = known.select("set", "comp", "size", "part", F.explode(F.slice("shared.token", F.lit(1), slack.cast("int"))).alias("token"))
-    holders = probes.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    contested = holders.filter("low != high").select("token")
-    probes = scratch(probes.join(contested, "token"), "contested")
-    matrix = probes.groupBy("token", "comp").agg(F.first("size").alias("size"))
-    matrix = matrix.select("token", F.col("comp").alias("other"), F.col("size").alias("other_size"))
+    sizes = known.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("all_tokens"))
+    sizes = scratch(sizes.select("comp", "size", _parts_of(F.col("size"), F.col("all_tokens")).alias("parts")), "components")
+    # the matrix: each group's union, without tokens that one component alone holds
+    dealt = join_hot(known.select("set", "comp", "n", "shared"), sizes.withColumn("rows", F.col("size")), ["comp"], "rows", "set")
+    dealt = scratch(dealt.withColumn("part", _part(F.col("set"), F.col("parts"))), "component-sets")
+    tokens = dealt.select("set", "comp", "size", "part", "n", F.explode("shared").alias("s")).select("set", "comp", "size", "part", "n", "s.token", "s.holders")
+    union = scratch(tokens.groupBy("comp", "part", "token").agg(F.first("size").alias("size"), F.first("holders").alias("holders")), "unions")
+    spread = union.groupBy("token").agg(F.count("*").alias("spread"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
+    spread = scratch(spread.select("token", "spread"), "contested")
+    matrix = union.join(spread.select("token"), "token", "left_semi").select("token", F.col("comp").alias("other"), F.col("part").alias("other_part"), F.col("size").alias("other_size"), "holders")
+    matrix = scratch(matrix, "matrix")
+    # queries: of a set's contested tokens the rarest, so many that a partner must hold 1 + extra of them
+    asks = scratch(tokens.join(spread, "token").groupBy("set", "comp", "size", "part", "n").agg(F.sort_array(F.collect_list(F.struct("spread", "token", "holders"))).alias("own")), "queries")
+    asks = asks.filter(F.size("own") >= least(F.col("n"), percent))
+    extra = F.floor(F.col("n") / MORE).cast("int")
+    first = F.slice("own", F.lit(1), F.least(F.size("own"), (F.size("own") - least(F.col("n"), percent) + 1 + extra).cast("int")))
+    salts = F.ceil(F.col("holders") / HOT_ROWS).cast("int")
+    probes = asks.select("set", "comp", "size", "n", F.explode(first).alias("s")).select("set", "comp", "size", "n", "s.token", "s.holders")
+    probes = probes.withColumn("salt", F.pmod(F.xxhash64("set"), salts).cast("int")).drop("holders")
+    salted = matrix.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("holders")
     ahead = F.struct("size", "comp") < F.struct("other_size", "other")
-    met = probes.join(matrix, "token").filter(ahead).select("set", "other").distinct()
-    groups = known.select(F.col("comp").alias("other"), F.col("part").alias("other_part")).distinct()
-    opened = scratch(met.join(groups, "other"), "asked")
-    # a group that many sets query is compared with PART of them at a time
-    asking = opened.groupBy("other", "other_part").agg(F.count("*").alias("asking"))
-    lots = F.ceil(F.col("asking") / PART).cast("long")
-    plain = known.select("set", "comp", "n", F.col("shared.token").alias("tokens"), "part")
-    left = opened.join(asking, ["other", "other_part"]).withColumn("lot", _part(F.col("set"), F.col("asking"), PART)).join(plain.drop("part"), "set")
-    right = asking.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1)))
-    right = right.join(plain.withColumnRenamed("comp", "other").withColumnRenamed("part", "other_part"), ["other", "other_part"])
-    key = ["other", "other_part", "lot"]
-    names = [*key, "comp", "n", "tokens"]
-    left, right = left.select(*names).toDF(*names), right.select(*key, "other", "n", "tokens").toDF(*names)
+    met = probes.join(salted, ["token", "salt"]).filter(ahead).groupBy("set", "n", "other", "other_part").agg(F.count("*").alias("hits"))
+    # a prefix of all tokens has fewer to find than 1 + extra
+    met = scratch(met.filter(F.col("hits") >= F.least(F.lit(1) + extra, least(F.col("n"), percent))).select("set", "n", "other", "other_part"), "met")
+    # the bound, on the stored unions; only what reaches it is opened
+    full = met.join(asks.select("set", F.explode("own.token").alias("token")), "set").join(matrix.select("token", "other", "other_part"), ["token", "other", "other_part"])
+    qualifying = full.groupBy("set", "n", "other", "other_part").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= least(F.col("n"), percent))
+    qualifying = scratch(qualifying.select("set", "n", "other", "other_part"), "qualifying")
+    # a group that many sets query is compared with a bounded lot of them at a time
+    group = ["other", "other_part"]
+    asking = qualifying.groupBy(*group).agg(_parts_of(F.count("*"), F.sum("n")).alias("lots"), F.count("*").alias("rows"))
+    asking = scratch(asking, "asking")
+    plain = scratch(asks.select("set", "comp", "n", "part", F.sort_array("own.token").alias("tokens")), "contested-sets")
+    members = dealt.select(F.col("comp").alias("other"), F.col("part").alias("other_part"), "set").join(plain.select("set", "n", "tokens"), "set")
+    left = join_hot(qualifying.drop("n"), asking, group, "rows", "set").withColumn("lot", _part(F.col("set"), F.col("lots"))).join(plain.select("set", "comp", "n", "tokens"), "set")
+    right = asking.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).select(*group, "lot").join(members, group)
+    key = [*group, "lot"]
+    left = left.select(*key, "comp", "n", "tokens").toDF(*key, "comp", "n", "tokens")
+    right = right.select(*key, "n", "tokens").toDF(*key, "n", "tokens")
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _open(a, b, percent), "a long, b long")
-    return scratch(found.distinct(), "component-links")
+    found = scratch(found.distinct(), "component-links")
+    for done in (known, sizes, dealt, union, spread, matrix, asks, met, qualifying, asking, plain):
+        release(done)
+    return found
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -260,10 +285,10 @@ def classes(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     final = sets.select("set").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     final = final.join(labels.withColumnRenamed("node", "comp"), "comp", "left").select("set", F.coalesce("label", "comp").alias("class"))
     owned = scratch(rows.drop("prefix").join(final, "set", "left").withColumn("class", F.coalesce("class", "set")), "classed")
-    heads = owned.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    heads = scratch(owned.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")), "class-heads")
     alone = owned.filter("class IS NULL").withColumn("component_id", F.col("doc_id"))
     out = ["doc_id", "digest", F.col("n").alias("n_shingles"), "component_id", "class"]
-    return owned.join(heads, "class").select(*out).unionByName(alone.select(*out))
+    return join_hot(owned.filter("class IS NOT NULL"), heads, ["class"], "rows", "digest").select(*out).unionByName(alone.select(*out))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:

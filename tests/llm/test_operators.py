@@ -195,6 +195,29 @@ def test_substrings(docs):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got.collect())
 
 
+def test_removal_in_long_texts_and_of_passages_in_every_document(spark):
+    """A text of several segments, whose repeats lie across their borders; a passage that all documents hold, with other
+    bytes around it in each; runs of copies with changes; and the small tables' documents."""
+    rng = np.random.default_rng(11)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage = " ".join(word(6) for _ in range(20))
+    long = " ".join(word(7) for _ in range(150_000))
+    assert len(long) > 4 * suffix_dedup.SEGMENT
+    rows = [(5, long), (9, long[suffix_dedup.SEGMENT - 400 : suffix_dedup.SEGMENT + 300] + word(80) + long[:60])]
+    rows += [(20 + k, word(40) + passage + word(30 + k)) for k in range(60)]
+    copy = long[100_000:104_000]
+    for k in range(12):
+        at = int(rng.integers(0, 3_900))
+        rows.append((100 + k, copy[:at] + word(3) + copy[at + 3 :]))
+    rows.append((4, "ß" * 30 + passage[:49] + "ü" + passage[60:]))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert bag(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_removal(rows)
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = plain_removal(rows_of(small))
+    assert bag(suffix_dedup.remove_repeats(small, keep_text=False), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert sum(w[2] > 0 for w in want) > 50
+
+
 def test_windows_of_long_documents_are_each_in_one_segment(monkeypatch):
     rng = np.random.default_rng(3)
     text = bytes(rng.integers(97, 100, 700, dtype=np.uint8))

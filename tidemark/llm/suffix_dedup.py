@@ -8,7 +8,10 @@ Sorting a row for every byte would need over twenty times the input on disk, so
 
 0. Positions. Each window of LENGTH bytes holds one anchor, its least K-byte string by hash; equal windows have equal
    anchors at equal places. Only anchors are ranked at first, about one position in ten. A sieve goes ahead: names of
-   anchors that no second row holds are unique strings, whose windows are unique; it keeps every other one.
+   anchors that no second row holds are unique strings, whose windows are unique; it keeps every other one. Of what is
+   left, most stands in passages much longer than LENGTH. Runs of neighbouring windows, cut by content about every
+   hundred bytes, are classed first by their whole bytes: a run that a smaller document holds is far past the
+   threshold, and none of its positions is ranked.
 1. K/2 to K bytes: the rank at an anchor comes from the pair of strings of half its length, at the anchor and at offset
    K/2.
 2. K to past LENGTH: the windows of one anchor stand next to each other and cover a stretch of LENGTH bytes or more. Its
@@ -28,9 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_hot, joined, mix, powers, prefix_hash, release, scratch, texts
@@ -40,6 +44,8 @@ LENGTH, K = 50, 32
 SLICE, SEGMENT, SHARD = 2 << 20, 256 << 10, 500_000
 NONE = -(1 << 63)
 _LOW = np.uint64((1 << 28) - 1)
+#: Bits of an anchor's name, apart from those that order anchors, that are all zero where a run begins: one in four.
+_CUT = np.uint64(3)
 _ONE = np.uint64(1)
 
 SLICES = "slice long, doc_ids array<long>, ends array<long>, text binary, size long"
@@ -129,6 +135,19 @@ class Segment:
         at, half = self.at[which], (self.k + 1) // 2
         return self.name(at, half), self.name(at + self.k - half, half), self.around(self.low[which], at, self.high[which] + self.length)
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of stretches next to each other: the first stretch of each, how many they are, the end of its bytes, and
+        their name."""
+        if not len(self.low):
+            none = np.zeros(0, np.int64)
+            return none, none, none, self.keys
+        new = np.ones(len(self.low), bool)
+        new[1:] = (self.doc[1:] != self.doc[:-1]) | (self.low[1:] != self.high[:-1] + 1) | (self.keys[1:] & _CUT == 0)
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(self.low)))
+        low, stop = self.low[first], self.high[first + counts - 1] + self.length
+        return first, counts, stop, _paired(self.name(low, stop - low), (stop - low).astype(np.uint64))
+
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows of some stretches, by start and number of the stretch."""
         counts = self.high[which] - self.low[which] + 1
@@ -237,11 +256,12 @@ def _answered(table: pa.Table) -> pa.Table:
 
 # --- the rounds
 
+RUNS = "slice long, a long, low long, high long"
 ANCHORS = "slice long, a long, b long, around long, low long, high long"
 WINDOWS = "slice long, rank long, around long, low long, high long"
 BACK = "slice long, a long, b long, around long, rank long, least long, kind byte"
-#: Kinds of BACK's rows: a stretch that is settled; one whose first document's windows are ranked; a window.
-SETTLED, OPEN, WINDOW = 0, 1, 2
+#: Kinds of BACK's rows: a stretch that is settled; one whose first document's windows are ranked; a window; a run.
+SETTLED, OPEN, WINDOW, RUN = 0, 1, 2, 3
 
 
 def _table(columns: list, schema: str) -> pa.Table:
@@ -250,29 +270,74 @@ def _table(columns: list, schema: str) -> pa.Table:
     return pa.table({name: pa.array(c.view(np.int64) if kind == "long" else c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
 
 
-def _anchors(one: pa.Table, answers: pa.Table, length: int) -> pa.Table:
-    """The anchors of a slice that the sieve has kept, with what is around them; each combination once."""
+def _sieved(answers: pa.Table, names: np.ndarray) -> np.ndarray:
+    """Of a slice's anchor names, ascending and distinct, those that the sieve has kept."""
+    bits, counts = answers.column("held").to_pylist(), answers.column("n").to_pylist()
+    parts = [np.unpackbits(np.frombuffer(bits[i], np.uint8), count=counts[i]) for i in np.argsort(answers.column("shard").to_numpy())]
+    held = np.concatenate([np.zeros(0, np.uint8), *parts])
+    if len(held) != len(names):
+        raise ValueError("the sieve's answer is not that of this slice")
+    return names[held.astype(bool)]
+
+
+def _runs(one: pa.Table, answers: pa.Table, length: int) -> pa.Table:
+    """The runs of a slice all of whose anchors the sieve has kept, each once."""
     row = _first(one)
     parts, ids = _opened(row)
     whole = list(segments(parts, length))
-    names = np.unique(_gathered([(s.keys,) for s in whole], (np.uint64,))[0])
-    bits, counts = answers.column("held").to_pylist(), answers.column("n").to_pylist()
-    parts_of = [np.unpackbits(np.frombuffer(bits[i], np.uint8), count=counts[i]) for i in np.argsort(answers.column("shard").to_numpy())]
-    held = np.concatenate([np.zeros(0, np.uint8), *parts_of])
-    known = names[held.astype(bool)]
+    known = _sieved(answers, np.unique(_gathered([(s.keys,) for s in whole], (np.uint64,))[0]))
     found = []
     for s in whole:
-        which = np.flatnonzero(_find(s.keys, known) >= 0)
+        first, _, _, names = s.runs()
+        kept = np.logical_and.reduceat(_find(s.keys, known) >= 0, first) if len(first) else np.zeros(0, bool)
+        found.append((names[kept], ids[s.doc[first[kept]]]))
+    names, docs = _gathered(found, (np.uint64, np.int64))
+    name, _, low, high = _grouped(names, docs)
+    return _table([np.full(len(name), row["slice"]), name, low, high], RUNS)
+
+
+def _anchors(one: pa.Table, back: pa.Table, length: int) -> pa.Table:
+    """The anchors of a slice that the sieve has kept and no settled run holds, with what is around them; each
+    combination once."""
+    row = _first(one)
+    parts, ids = _opened(row)
+    whole = list(segments(parts, length))
+    of_sieve = pc.is_valid(back.column("held"))
+    known = _sieved(back.filter(of_sieve), np.unique(_gathered([(s.keys,) for s in whole], (np.uint64,))[0]))
+    settled = _Settled(back.filter(pc.invert(of_sieve)))
+    found = []
+    for s in whole:
+        first, counts, _, names = s.runs()
+        gone = np.repeat(settled.seen(names, ids[s.doc[first]]), counts)
+        which = np.flatnonzero((_find(s.keys, known) >= 0) & ~gone)
         found.append((*s.anchored(which), ids[s.doc[which]]))
     a, b, around, docs = _gathered(found, (np.uint64, np.uint64, np.uint64, np.int64))
     _, at, low, high = _grouped(_paired(a, b, around), docs)
     return _table([np.full(len(at), row["slice"]), a[at], b[at], around[at], low, high], ANCHORS)
 
 
+class _Settled:
+    """Names (column a) with the least document that holds them."""
+
+    def __init__(self, back: pa.Table):
+        names = np.ascontiguousarray(back.column("a").to_numpy()).view(np.uint64)
+        order = np.argsort(names, kind="stable")
+        self.names, self.least = names[order], back.column("least").to_numpy()[order]
+
+    def seen(self, names: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether a smaller document holds each name."""
+        if not len(self.names):
+            return np.zeros(len(names), bool)
+        at = _find(names, self.names)
+        return (at >= 0) & (self.least[at] < own)
+
+
 class _Back:
-    """What came back to a slice: stretches and windows by ascending name."""
+    """What came back to a slice: runs, stretches and windows by ascending name."""
 
     def __init__(self, back: pa.Table):
+        run = pc.equal(back.column("kind"), RUN)
+        self.runs, back = _Settled(back.filter(run)), back.filter(pc.invert(run))
         values = {c: back.column(c).to_numpy() for c in ("rank", "least", "kind")}
         a, b, around, rank = (np.ascontiguousarray(back.column(c).to_numpy()).view(np.uint64) for c in ("a", "b", "around", "rank"))
         window = values["kind"] == WINDOW
@@ -317,11 +382,13 @@ def _cut(one: pa.Table, back: pa.Table, length: int, keep_text: bool) -> pa.Tabl
     parts, ids = _opened(row)
     covered: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for s in segments(parts, length) if len(back) else ():
+        first, _, stop, names = s.runs()
+        run = np.flatnonzero(held.runs.seen(names, ids[s.doc[first]]))
         seen, start, of, ranks = held.firsts(s, ids)
         hit = held.hit(_paired(ranks[of], s.around(start, s.at[of], start + length)), ids[s.doc[of]])
-        low = np.concatenate([s.low[seen], start[hit]])
-        high = np.concatenate([s.high[seen], start[hit]]) + length
-        doc = np.concatenate([s.doc[seen], s.doc[of[hit]]])
+        low = np.concatenate([s.low[first[run]], s.low[seen], start[hit]])
+        high = np.concatenate([stop[run] - length, s.high[seen], start[hit]]) + length
+        doc = np.concatenate([s.doc[first[run]], s.doc[seen], s.doc[of[hit]]])
         shift = s.base - s.offsets[np.searchsorted(s.docs, doc)]
         order = np.argsort(doc, kind="stable")
         doc, low, high = doc[order], (low + shift)[order], (high + shift)[order]
@@ -353,11 +420,10 @@ def _emit(ids: list, parts: list[bytes], covered: dict, keep_text: bool) -> pa.R
     return pa.RecordBatch.from_arrays(columns[:n], names=names[:n])
 
 
-def _classes(rows: DataFrame, *pair: str) -> DataFrame:
-    """The classes of a pair of names that several documents hold: the least, the greatest, and how many rows ask."""
+def _classes(rows: DataFrame, *pair: str, **more: Column) -> DataFrame:
+    """The classes of a pair of names that several documents hold: the least, and how many rows ask."""
     sums = F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("n")
-    split = (F.min("around") != F.max("around")).alias("split")
-    return rows.groupBy(*pair).agg(*sums, split).filter("least < most").drop("most")
+    return rows.groupBy(*pair).agg(*sums, *(c.alias(name) for name, c in more.items())).filter("least < most").drop("most")
 
 
 def _ranked(classes: DataFrame, *pair: str) -> DataFrame:
@@ -383,10 +449,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
 
     held = table.mapInArrow(lambda it: _asked(it, length, shards), ASKED).groupBy("shard").applyInArrow(_answered, HELD)
     held = scratch(held, "sieve")
-    rows = scratch(with_slices(held, lambda one, answers: _anchors(one, answers, length), ANCHORS), "anchors")
+    rows = scratch(with_slices(held, lambda one, answers: _runs(one, answers, length), RUNS), "runs")
+    settled = join_hot(rows, scratch(_classes(rows, "a"), "run-classes"), ["a"], "n", "slice").filter("least < high")
+    settled = scratch(settled.select("slice", "a", "least"), "settled-runs")
+    release(rows)
+    both = held.unionByName(settled, allowMissingColumns=True)
+    rows = scratch(with_slices(both, lambda one, back: _anchors(one, back, length), ANCHORS), "anchors")
     release(held)
     # K/2 to K bytes
-    ranks = _ranked(_classes(rows, "a", "b"), "a", "b")
+    ranks = _ranked(_classes(rows, "a", "b", split=F.min("around") != F.max("around")), "a", "b")
     known = scratch(join_hot(rows, ranks, ["a", "b"], "n", "slice"), "known")
     release(rows)
     # K bytes to a stretch: of a class with one stretch, its least document holds that
@@ -399,12 +470,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
         release(done)
     # K bytes to length, window by window
     rows = scratch(with_slices(stretches.filter(F.col("kind") == OPEN), lambda one, back: _windows(one, back, length), WINDOWS), "windows")
-    repeated = scratch(_classes(rows, "rank", "around").drop("split"), "window-classes")
+    repeated = scratch(_classes(rows, "rank", "around"), "window-classes")
     none = F.lit(0).cast("long")
     found = join_hot(rows, repeated, ["rank", "around"], "n", "slice").filter("least < high")
     found = scratch(found.select("slice", none.alias("a"), none.alias("b"), "around", "rank", "least", F.lit(WINDOW).cast("byte").alias("kind")), "windows-of-slices")
     release(rows)
-    return with_slices(stretches.unionByName(found), lambda one, back: _cut(one, back, length, keep_text), out)
+    runs = settled.select("slice", "a", none.alias("b"), none.alias("around"), none.alias("rank"), "least", F.lit(RUN).cast("byte").alias("kind"))
+    return with_slices(stretches.unionByName(found).unionByName(runs), lambda one, back: _cut(one, back, length, keep_text), out)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,44 @@ def test_rollup_is_additive_and_idempotent(spark, docs):
     assert rollup.totals().count() == 0
 
 
+def test_a_batch_committed_while_others_are_folded_counts_once(spark, monkeypatch):
+    rollup = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
+    row = lambda n: spark.createDataFrame([("a", "en", "v", 1, n)], token_counts.SCHEMA)
+    rollup.commit("one", row(10))
+    sums = rollup._sums
+
+    def meanwhile(*args):
+        monkeypatch.setattr(rollup, "_sums", sums)
+        rollup.commit("two", row(5))
+        return sums(*args)
+
+    monkeypatch.setattr(rollup, "_sums", meanwhile)
+    rollup.compact()
+    assert bag(rollup.totals(), "n_docs", "n_tokens") == [(2, 15)]
+    rollup.compact()
+    assert bag(rollup.totals(), "n_docs", "n_tokens") == [(2, 15)] and len(rollup.names("folds")) == 1
+    assert not rollup.commit("one", row(10)) and not rollup.commit("two", row(5))
+
+
+def test_token_counts_query(spark, docs, empty, tmp_path):
+    """The query's three batches against a plain count of one copy of each text."""
+    tokenizer = load(TOKENIZER)
+    for name, table in (("some", docs), ("none", empty), ("twice", docs.unionByName(docs))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        kept = {}
+        for r in table.collect():
+            key = (r["doc_id"] is None, r["doc_id"] or 0, r["source"] or "", r["lang"] or "")
+            if (r["text"] or "") not in kept or key < kept[r["text"] or ""][0]:
+                kept[r["text"] or ""] = key, r
+        want = defaultdict(lambda: [0, 0])
+        for text, (_, r) in kept.items():
+            cell = want[r["source"], r["lang"]]
+            cell[0] += 1
+            cell[1] += len(tokenizer.encode(text, add_special_tokens=False).ids)
+        got = {(r["source"], r["lang"]): [r["n_docs"], r["n_tokens"]] for r in token_counts.op2_token_counts(spark, f"{tmp_path}/{name}").collect()}
+        assert got == dict(want)
+
+
 # --- 3: token output
 
 

@@ -3,7 +3,9 @@
 A rollup is a folder of committed batches. Each batch holds signed sums by source, language and tokenizer version:
 inserts add, deletes subtract, a revised count subtracts what was counted and adds what is. Totals are the sum of all
 batches, so a batch costs its own rows only. A batch is written aside and committed by one rename to its own name;
-committing a name again changes nothing, whether a driver was lost before or after the rename."""
+committing a name again changes nothing, whether a driver was lost before or after the rename. One driver at a time
+commits to a rollup, and the folder's file system must rename a folder in one step (HDFS and local disks do; over an
+object store, keep the rollup in a table format with commits of its own)."""
 
 from __future__ import annotations
 
@@ -19,8 +21,6 @@ from .tokens import ENCODE_BYTES, TOKENIZER, TokenCache
 
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-#: Batches after which compact() folds them into one.
-COMPACT_AT = 64
 
 
 class Rollup:
@@ -34,12 +34,12 @@ class Rollup:
     def _at(self, *names: str):
         return self._hadoop.Path("/".join([self.path, *names]))
 
-    def _done(self) -> set[str]:
-        """The batches that are committed, those in a compaction too."""
-        names = self.names("batches")
-        for fold in self.names("folds"):
-            names |= {r["name"] for r in self.spark.read.parquet(f"{self.path}/folds/{fold}/names").collect()}
-        return names
+    def _fold(self) -> tuple[str | None, set[str]]:
+        """The newest fold, which holds all before it, and the names of its batches."""
+        folds = sorted(self.names("folds"))
+        if not folds:
+            return None, set()
+        return folds[-1], {r["name"] for r in self.spark.read.parquet(f"{self.path}/folds/{folds[-1]}/names").collect()}
 
     def names(self, kind: str) -> set[str]:
         at = self._at(kind)
@@ -56,7 +56,7 @@ class Rollup:
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Adds deltas (source, lang, tokenizer, n_docs, n_tokens; signed) under the name batch; False, and no change,
         if that name is committed already."""
-        if batch in self._done():
+        if batch in self.names("batches") or batch in self._fold()[1]:
             return False
         aside = f"aside-{uuid.uuid4().hex[:12]}"
         sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -64,28 +64,31 @@ class Rollup:
         return self._publish(aside, "batches", batch)
 
     def totals(self) -> DataFrame:
-        """Sums of all batches; keys whose documents are all gone have no row. Null source or language is a key."""
-        folds, parts = sorted(self.names("folds")), []
-        folded = self._folded(folds)
-        parts += [f"{self.path}/folds/{x}/sums" for x in folds[-1:]]
-        parts += [f"{self.path}/batches/{x}" for x in sorted(self.names("batches") - folded)]
+        """Sums of all batches; keys whose documents are all gone have no row. Null source or language is a key; a
+        rollup without batches has no rows."""
+        fold, folded = self._fold()
+        return self._sums(fold, self.names("batches") - folded)
+
+    def _sums(self, fold: str | None, batches: set[str]) -> DataFrame:
+        parts = [f"{self.path}/folds/{fold}/sums"] * (fold is not None) + [f"{self.path}/batches/{x}" for x in sorted(batches)]
         rows = self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs != 0 OR n_tokens != 0")
 
-    def _folded(self, folds: list[str]) -> set[str]:
-        return {r["name"] for x in folds[-1:] for r in self.spark.read.parquet(f"{self.path}/folds/{x}/names").collect()}
-
     def compact(self) -> None:
-        """Folds all batches into one table, whose names are kept; the newest fold holds all before it."""
-        folds = sorted(self.names("folds"))
-        names = self._done()
+        """Folds the batches that stand now into one table with their names; batches that are committed meanwhile stay
+        outside it. The batches, and the fold before, are deleted once the new one stands."""
+        fold, folded = self._fold()
+        batches = self.names("batches")
+        fresh = batches - folded
         aside = f"aside-{uuid.uuid4().hex[:12]}"
-        self.totals().coalesce(1).write.parquet(f"{self.path}/{aside}/sums")
-        self.spark.createDataFrame([(x,) for x in sorted(names)], "name string").coalesce(1).write.parquet(f"{self.path}/{aside}/names")
-        if self._publish(aside, "folds", f"{len(folds):08d}"):
-            for name in names & self.names("batches"):
+        self._sums(fold, fresh).coalesce(1).write.parquet(f"{self.path}/{aside}/sums")
+        self.spark.createDataFrame([(x,) for x in sorted(folded | fresh)], "name string").coalesce(1).write.parquet(f"{self.path}/{aside}/names")
+        if self._publish(aside, "folds", f"{int(fold or -1) + 1:08d}"):
+            for name in batches:
                 self._fs.delete(self._at("batches", name), True)
+            if fold:
+                self._fs.delete(self._at("folds", fold), True)
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -116,7 +119,8 @@ def revised(old: DataFrame, new: DataFrame, version: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of documents after three batches: all documents with a count guessed from bytes, the revision to real
-    counts, the deletion of all copies of a text but that of the least doc_id; the revision is sent twice."""
+    counts, the deletion of all copies of a text but that of the least doc_id; the revision is sent twice. Null texts
+    count as empty ones; an empty table has no totals."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
     fingerprint = F.xxhash64(F.coalesce("text", F.lit(""))), F.crc32(F.coalesce("text", F.lit("")))
     wide = docs.withColumns({"low": fingerprint[0], "high": fingerprint[1], "guess": F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("long")})
@@ -126,8 +130,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("insert", signed(guessed, 1, TOKENIZER))
     revision = revised(guessed, counted, TOKENIZER)
     rollup.commit("revise", revision)
-    first = counted.groupBy("low", "high").agg(F.min("doc_id").alias("first"))
-    copies = counted.join(first, ["low", "high"]).filter("doc_id > first")
-    rollup.commit("delete-copies", signed(copies, -1, TOKENIZER))
+    # all copies less one of each text: sums alone, without a join on the text's key
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang", "n_tokens")
+    kept = counted.groupBy("low", "high").agg(F.min(row).alias("kept")).select("kept.*")
+    rollup.commit("delete-copies", signed(counted, -1, TOKENIZER).unionByName(signed(kept, 1, TOKENIZER)))
     rollup.commit("revise", revision)
     return rollup.totals()

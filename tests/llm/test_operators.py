@@ -159,7 +159,9 @@ def plain_targets(sizes, weights=(3, 1, 2)):
 
 
 def test_mixing_targets_and_copies(docs):
-    rows = mixing.mix(docs).collect()
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "mix"]
+    rows = mixed.select("doc_id", "text", "source", "mix.*").collect()
     sizes = defaultdict(int)
     for r in rows:
         assert r["size"] == len(WORD.findall(r["text"] or ""))
@@ -171,13 +173,24 @@ def test_mixing_targets_and_copies(docs):
         assert int(rate) <= r["copies"] <= int(rate) + (rate > int(rate))
     assert len(rows) == docs.count()
     again = mixing.mix(docs.repartition(5))
-    assert bag(again, "doc_id", "copies", "text") == sorted(((r["doc_id"], r["copies"], r["text"]) for r in rows), key=repr)
-    assert mixing.repeated(mixing.mix(docs)).count() == sum(r["copies"] for r in rows)
+    assert bag(again.select("doc_id", "mix.copies", "text"), "doc_id", "copies", "text") == sorted(((r["doc_id"], r["copies"], r["text"]) for r in rows), key=repr)
+    clashing = docs.withColumns({n: F.lit(n) for n in ("copies", "target", "source_size", "_source", "mix", "copy", "key", "c0")})
+    several = mixing.repeated(clashing)
+    assert several.columns == clashing.columns
+    copies = defaultdict(int)
+    for r in several.collect():
+        assert (r["copies"], r["mix"], r["c0"]) == ("copies", "mix", "c0")
+        copies[r["doc_id"], r["text"]] += 1
+    want = defaultdict(int)
+    for r in rows:
+        want[r["doc_id"], r["text"]] += r["copies"]
+    assert copies == {k: n for k, n in want.items() if n}
 
 
 def test_mixing_reaches_targets_on_many_documents(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.pmod("id", F.lit(7))).alias("source"), F.repeat(F.lit("w "), (10 + F.pmod("id", F.lit(13))).cast("int")).alias("text"))
-    sums = mixing.mix(docs).groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    mixed = mixing.mix(docs).select("source", "mix.*")
+    sums = mixed.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
     assert all(abs(r["taken"] - r["t"]) < 0.1 * r["t"] for r in sums)
 
 
@@ -385,6 +398,39 @@ def test_media_hot_chunks_and_a_base_store(spark, docs, monkeypatch):
     assert bag(media.read_media(spark, second, (first,)), *columns) == bag(media.read_media(spark, first), *columns)
 
 
+def test_a_missing_chunk_raises(spark, docs):
+    whole, broken = scratch_path(spark, "media"), scratch_path(spark, "media")
+    media.write_media(docs, whole)
+    for part in ("lists", "meta"):
+        spark.read.parquet(f"{whole}/{part}").write.parquet(f"{broken}/{part}")
+    chunks = media.chunk_table(spark, whole)
+    one = chunks.orderBy("digest").first()["digest"]
+    chunks.filter(F.col("digest") != F.lit(one)).write.parquet(f"{broken}/chunks")
+    with pytest.raises(Exception, match="is missing"):
+        media.read_media(spark, broken).collect()
+
+
+def test_media_query_on_copies_nulls_and_no_rows(spark, docs, empty, tmp_path):
+    """op8's own columns against the bytes: equal texts have equal values, features are those of the payload."""
+    docs.write.parquet(f"{tmp_path}/some/documents.parquet")
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert media.op8_media_chunks(spark, f"{tmp_path}/none").count() == 0
+    want = defaultdict(list)
+    for doc_id, text in rows_of(docs):
+        data = media.payload(text.encode())
+        values = np.frombuffer(data, np.uint8).astype(int)
+        shares = [int(((values >= 32 * k) & (values < 32 * k + 32)).sum()) * 1000 // len(values) for k in range(8)]
+        steps = sum(abs(int(b) - int(a)) for a, b in zip(values, values[1:], strict=False)) // (len(values) - 1)
+        want[doc_id].append((len(text.encode()), hashlib.sha256(data).hexdigest(), "-".join(map(str, [*shares, steps]))))
+    got = defaultdict(list)
+    stored = defaultdict(set)
+    for r in media.op8_media_chunks(spark, f"{tmp_path}/some").collect():
+        got[r["doc_id"]].append((r["n_bytes"], r["payload_sha256"], r["feature"]))
+        stored[r["payload_sha256"]].add((r["media_bytes"], r["media_sha256"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert all(len(v) == 1 for v in stored.values())
+
+
 def test_chunks_move_with_their_content():
     rng = np.random.default_rng(2)
     data = bytes(rng.integers(0, 256, 200_000, dtype=np.uint8))
@@ -459,6 +505,55 @@ def test_quality_without_labels_and_of_odd_rows(spark, docs, empty):
     assert quality.score(docs, quality.train(docs, labels.limit(0))).count() == docs.count()
 
 
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    """One picked doc_id with many rows doesn't send more than the bounds to the driver."""
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: seen.append((len(p), len(u))))
+    quality.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), 5, 7)
+    assert seen == [(5, 7)]
+
+
+def plain_risk(w, p, u, prior):
+    """The non-negative risk with logistic loss, term by term."""
+    loss = lambda m: np.log1p(np.exp(-m))
+    margin = lambda x: x @ w[:-1] + w[-1]
+    negative = loss(-margin(u)).mean() - prior * loss(-margin(p)).mean()
+    return prior * loss(margin(p)).mean() + max(0.0, negative), negative
+
+
+def test_fit_minimises_the_risk(monkeypatch):
+    """No plain descent from many starts finds a risk well below that of the fit; the scores order the classes."""
+    rng = np.random.default_rng(3)
+    width = len(quality.NAMES)
+    good, bad = rng.normal(0.8, 1, (900, width)), rng.normal(-0.8, 1, (900, width))
+    positive, unlabelled, prior = good[:300], np.concatenate([good[300:600], bad[:300]]), 0.5
+    model = quality.fit(positive, unlabelled, prior)
+    p, u = model.inputs(positive), model.inputs(unlabelled)
+    own, _ = plain_risk(model.weights, p, u, prior)
+    for seed in range(3):
+        w = np.random.default_rng(seed).normal(0, 0.1, len(model.weights))
+        for _ in range(3000):
+            sp, su = (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) for x in (p, u))
+            if plain_risk(w, p, u, prior)[1] < 0:
+                break
+            g = np.append(p.T @ (sp - 1), (sp - 1).sum()) * prior / len(p) + np.append(u.T @ su, su.sum()) / len(u) - prior * np.append(p.T @ sp, sp.sum()) / len(p)
+            w = w - 0.1 * g
+        assert own <= plain_risk(w, p, u, prior)[0] + 0.02
+    assert (model.scores(good[600:]) > 0.5).mean() > 0.95 and (model.scores(bad[300:]) < 0.5).mean() > 0.95
+
+
+def test_fit_turns_back_where_the_negatives_risk_is_below_zero():
+    """With a prior far too high the unbiased risk would fall without end; the fit keeps the negatives' part near zero
+    and its weights bounded."""
+    rng = np.random.default_rng(5)
+    width = len(quality.NAMES)
+    positive, unlabelled = rng.normal(2, 1, (200, width)), rng.normal(-2, 1, (400, width))
+    model = quality.fit(positive, unlabelled, 0.95)
+    _, negative = plain_risk(model.weights, model.inputs(positive), model.inputs(unlabelled), 0.95)
+    assert negative > -0.5 and np.abs(model.weights).max() < 20
+
+
 # --- all
 
 
@@ -491,7 +586,7 @@ def test_pipeline_stages(spark):
     heads = {c for _, n, c in classes if n} | {k for k, n, _ in classes if not n}
     matcher = decontaminate.Matcher([(r["item_id"], r["text"].encode()) for r in items.collect()])
     clean = [k for k in sorted(heads) if not matcher.matches((rows[k]["text"] or "").encode())]
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(want.filter(F.col("doc_id").isin(clean))).collect()}
+    copies = {r["doc_id"]: r["mix"]["copies"] for r in mixing.mix(want.filter(F.col("doc_id").isin(clean))).collect()}
     tokenizer = load(TOKENIZER)
     expected, start = [], 0
     for k in clean:
@@ -508,13 +603,15 @@ def test_pipeline_stages_keep_clashing_columns(spark, docs):
     import corpus_pipeline as pipeline
 
     d = "/root/testdata/sf0.001"
-    names = ("predicted", "source_size", "target", "Copies", "_copy", "_digest")
+    names = ("predicted", "source_size", "target", "Copies", "_copy", "_digest", "_doc_id", "_own_digest", "mix")
     docs = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), d).count() == 0, name
     rows = set(bag(docs, *docs.columns))
     labels = spark.read.parquet(f"{d}/labels.parquet")
     good = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels)).filter("predicted = 1").count()
     plain = docs.select("doc_id", "text", "source")
-    counts = [good, near_dup.keep_one(plain).count(), docs.count(), mixing.mix(plain).agg(F.sum("copies")).first()[0]]
+    counts = [good, near_dup.keep_one(plain).count(), docs.count(), mixing.mix(plain).agg(F.sum("mix.copies")).first()[0]]
     for (name, stage), want in zip(pipeline.STAGES, counts, strict=False):
         got = stage(spark, docs, d)
         assert got.columns == docs.columns, name

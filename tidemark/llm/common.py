@@ -52,6 +52,14 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores until no column of df has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(df: DataFrame) -> None:
     """Deletes the files of a scratch table that no later step reads."""
     jvm = df.sparkSession.sparkContext._jvm

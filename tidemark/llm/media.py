@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, CLEANUP, joined, mix, scratch, scratch_path, slices, small, texts
+from .common import BROADCAST_BYTES, CLEANUP, SALTS, joined, mix, scratch, scratch_path, slices, small, texts
 
 UNIT, FILL = 576, 255
 #: Chunk sizes in bytes: none is shorter than LEAST (but the last) or longer than MOST; cuts come every 2**BITS bytes.
@@ -171,6 +171,8 @@ def _assembled(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator
     key, frames, rows = None, [], []
 
     def close() -> None:
+        if None in frames:
+            raise ValueError(f"a chunk of payload {key.hex()} is missing")
         data = b"".join(map(unpack.decompress, frames))
         sha, media = hashlib.sha256(data), hashlib.sha256(b"".join(frames))
         if sha.digest() != key:
@@ -199,7 +201,10 @@ def _assembled(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator
 
 def read_media(spark: SparkSession, path: str, bases: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes and, from the payload read back, payload_bytes, payload_sha256, tail_crc32, media_bytes and
-    media_sha256 (of the stored frames in order) and feature. A chunk that is missing or damaged raises."""
+    media_sha256 (of the stored frames in order) and feature.
+
+    A chunk that is missing or damaged raises: references are kept through every join, and a payload with a reference
+    without a frame, or with other bytes than its digest says, isn't given back. A store of no documents has no rows."""
     lists = spark.read.parquet(f"{path}/lists")
     held = chunk_table(spark, path)
     for other in bases:
@@ -210,16 +215,18 @@ def read_media(spark: SparkSession, path: str, bases: tuple[str, ...] = ()) -> D
     cold_refs = refs.join(small(hot, 64), "digest", "left_anti")
     # hot chunks are at most refs / HOT_REFS: broadcast while they are few, else dealt by place in a salted join
     hot_held = scratch(held.join(small(hot, 64), "digest", "left_semi"), "media-hot-frames")
-    salts = 16
+    hot_refs = refs.join(small(hot, 64), "digest", "left_semi")
     if hot_held.count() * MOST <= BROADCAST_BYTES:
-        hot_part = refs.join(F.broadcast(hot_held), "digest")
+        hot_part = hot_refs.join(F.broadcast(hot_held), "digest", "left")
     else:
-        salted = hot_held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        hot_part = refs.join(small(hot, 64), "digest", "left_semi").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(salted, ["digest", "salt"]).drop("salt")
-    parts = cold_refs.join(held, "digest").select("key", "place", "frame").unionByName(hot_part.select("key", "place", "frame"))
+        salted = hot_held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hot_part = hot_refs.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left").drop("salt")
+    parts = cold_refs.join(held, "digest", "left").select("key", "place", "frame").unionByName(hot_part.select("key", "place", "frame"))
     ordered = parts.repartition("key").sortWithinPartitions("key", "place")
     dictionary = _dictionary(spark, path)
     found = scratch(ordered.mapInArrow(lambda it: _assembled(it, dictionary), READ), "media-read")
+    if found.count() != refs.filter("place = 0").count():
+        raise ValueError(f"the store at {path} has other payloads than its lists say")
     return lists.drop("digests").join(found, "key").drop("key")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch, small
+from .common import free_name, scratch, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,7 +31,8 @@ def source_targets(sizes: DataFrame, weights: list[float], total_share: float, m
     all sizes; none takes more than most times its size. What a capped source leaves is shared by weight among the
     rest: with sources in order of cap/weight, the first k are capped for the least k such that the others' share
     for a unit of weight, (total - caps of the first k) / (weights of the others), isn't above the next one's ratio.
-    The windows run over one row a source, not over documents."""
+    The windows run over one row a source, not over documents, in one task: a mix names its sources, so they are at most
+    some hundred thousand rows of five numbers."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").isNull(), F.encode(F.col("source"), "utf-8"))
     turn = F.array(*map(F.lit, map(float, weights)))
@@ -52,32 +53,42 @@ def source_targets(sizes: DataFrame, weights: list[float], total_share: float, m
     return planned.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), total_share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """docs with size, source_size, target and copies.
+#: What mix() says of each document.
+ADDED = ("size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), total_share: float = 1.5, most: float = 2.0, seed: str = "mix", added: str = "mix") -> DataFrame:
+    """docs, all columns as they are, with a struct column, added, of size, source_size, target and copies.
 
     A document's rate is target / source_size; it is taken floor(rate) times, and once more where a uniform number
     hashed from seed and doc_id is under the rate's fraction. Null text has size 0; a null source is a source;
-    rows that repeat a doc_id draw the same number; a source of size 0 has rate 0; no documents give no rows.
-    Columns of docs named size, source_size, target or copies are replaced."""
-    docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col("text")))
-    plan = scratch(source_targets(docs.select("source", "size"), list(weights), total_share, most), "mix")
-    plan = small(plan.withColumnRenamed("source", "_source"), 200)
+    rows that repeat a doc_id draw the same number; a source of size 0 has rate 0; no documents give no rows. Other
+    columns may have any names but added's."""
+    text, source = docs["text"], docs["source"]
+    plan = scratch(source_targets(docs.select(source, word_count(text).alias("size")), list(weights), total_share, most), "mix")
+    plan = small(plan.select(F.col("source").alias("key"), "source_size", "target"), 200)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = docs.select(*docs.columns, word_count(text)).toDF(*names, "size")
+    key, ident = (F.col(names[docs.columns.index(c)]) for c in ("source", "doc_id"))
     rate = F.coalesce(F.try_divide("target", F.col("source_size")), F.lit(0.0))
     whole = F.floor(rate)
-    drawn = F.when(uniform(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)
-    return docs.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("copies", (whole + drawn).cast("long"))
+    copies = whole + F.when(uniform(ident, seed) < rate - whole, 1).otherwise(0)
+    mixed = own.join(plan, key.eqNullSafe(F.col("key"))).withColumn("copies", copies.cast("long"))
+    return mixed.select(*names, F.struct(*ADDED)).toDF(*docs.columns, added)
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """Each row of mix() as often as its copies say, in the columns that its input had."""
-    rows = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.drop("_copy", "size", "source_size", "target", "copies")
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """Each row of docs as often as mix() takes it, all columns as they are."""
+    name = free_name(docs, "mix")
+    rows = mix(docs, added=name, **options).filter(F.col(name)["copies"] > 0)
+    copy = free_name(rows, "copy")
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(name)["copies"].cast("int")))).select(*docs.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    taken = F.col("size") * F.col("copies")
-    return mix(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
+    taken = F.col("mix.size") * F.col("mix.copies")
+    return mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"), "mix.copies")
 
 
 #: Reshares step by step: each round caps the sources whose share is above their cap and deals the rest anew.

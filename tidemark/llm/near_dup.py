@@ -298,10 +298,11 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     single = found.filter("n_shingles = 0").select("doc_id", "digest")
     heads = found.filter("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("head"))
     kept = scratch(heads.select("head.doc_id", "head.digest").unionByName(single).distinct(), "kept-rows")
-    kept = kept.select(F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_digest"))
-    hashed = docs.withColumn("_own_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_own_digest") == F.col("_digest"))
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_own_digest"]).drop("_own_digest")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    ident, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    hashed = docs.toDF(*names).withColumn("own", F.xxhash64(F.coalesce(text, F.lit(""))))
+    same = F.col(ident).eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates([ident, "own"]).drop("own").toDF(*docs.columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

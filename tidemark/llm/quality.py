@@ -4,8 +4,8 @@ Trusted positives are rows labelled 1; unlabelled rows are web text whatever its
 from the share of label 1 among held-in labelled rows. A logistic model over text statistics minimises the
 non-negative unbiased risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
 
-Only the fit sees a sample, bounded by MAX_POSITIVE and MAX_UNLABELLED rows (those with the least hash of doc_id);
-its statistics are computed by executors, and the driver gets one short vector a row. Every document is scored."""
+Only the fit sees a sample, bounded by MAX_POSITIVE and MAX_UNLABELLED rows (those with the least hash of doc_id, of
+rows that repeat one those with the least statistics); its statistics are computed by executors, and the driver gets one short vector a row. Every document is scored."""
 
 from __future__ import annotations
 
@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import release, scratch, slices, texts
 
 #: Rows that the fit may see; the prior is counted over all labelled rows.
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 THRESHOLD, STEPS, RATE, DECAY = 0.7, 600, 0.05, 1e-4
+#: Bytes of text that are looked at together; a longer text stays whole, alone.
+TEXT_BYTES = 4 << 20
 
 _SYMBOLS = b"#$%&*|<>{}[]@^~=+_\\/"
 _UPPERS, _HIGH = bytes(range(65, 91)), bytes(range(128, 256))
@@ -127,9 +129,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text", TEXT_BYTES):
         values = [features(x) for x in texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(values, pa.list_(pa.float64()))], names=["positive", "values"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("positive"), pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "positive", "values"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -144,10 +146,14 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     trusted = trusted.orderBy(*order).limit(max_positive).withColumn("positive", F.lit(True))
     web = docs.select("doc_id").filter(~held_out(F.col("doc_id"))).distinct().orderBy(*order).limit(max_unlabelled).withColumn("positive", F.lit(False))
     picked = F.broadcast(trusted.unionByName(web))  # at most max_positive + max_unlabelled ids
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("positive", "text").mapInArrow(_rows, "positive boolean, values array<double>")
-    values: dict[bool, list] = {True: [], False: []}
-    for row in rows.collect():
-        values[row["positive"]].append(row["values"])
+    out = "doc_id long, positive boolean, values array<double>"
+    rows = scratch(docs.select("doc_id", "text").join(picked, "doc_id").mapInArrow(_rows, out), "quality-sample")
+    values: dict[bool, list] = {}
+    for kind, most in ((True, max_positive), (False, max_unlabelled)):
+        # a repeated doc_id brings more rows than ids: the bound is one of rows
+        found = rows.filter(F.col("positive") == kind).orderBy(*order, "values").limit(most)
+        values[kind] = [r["values"] for r in found.select("values").collect()]
+    release(rows)
     # in an order of their own, so that sums don't depend on how tasks end
     positive, unlabelled = (np.array(sorted(values[k]), float).reshape(-1, len(NAMES)) for k in (True, False))
     return fit(positive, unlabelled, prior)
@@ -161,15 +167,28 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     out = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = np.array([features(x) for x in texts(batch)], float).reshape(-1, len(NAMES))
-            scores = np.round(model.scores(raw), 9)
+        for batch in slices(batches, "text", TEXT_BYTES):
+            scores = _scores(model, batch)
             columns = [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(run, out)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score reaches threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", TEXT_BYTES):
+            yield batch.filter(pa.array(_scores(model, batch) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:
+    return np.round(model.scores(np.array([features(x) for x in texts(batch)], float).reshape(-1, len(NAMES))), 9)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -1,12 +1,14 @@
 """From documents to token files: reject low quality, keep one of each class of near copies, drop documents that hold
 benchmark items, mix sources to target weights, encode.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs."""
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs, whatever their names. Null texts are
+judged as empty ones; a null source is a source; rows that repeat a doc_id are judged each by itself, but for the join,
+which keeps one of rows alike in doc_id and text; of tied copies the least doc_id stays, and a copy without one only where
+no other has one; no documents give no rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,41 +18,25 @@ from tidemark.llm.common import scratch, scratch_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def own_columns(stage: Stage) -> Stage:
-    """The stage with columns of docs that it doesn't read under private names, so that its helpers can't clash."""
-
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        names = docs.columns
-        private = docs.toDF(*(c if c in ("doc_id", "text", "source") else f"_extra_{k}" for k, c in enumerate(names)))
-        return stage(spark, private, sf_dir).toDF(*names)
-
-    return run
-
-
-@own_columns
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on these documents, takes for good ones."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).filter("predicted = 1").select(docs.columns)
+    return quality.accepted(docs, model)
 
 
-@own_columns
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least doc_id of each class of documents linked by similar five-word shingles."""
-    return near_dup.keep_one(docs).select(docs.columns)
+    return near_dup.keep_one(docs)
 
 
-@own_columns
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs, edits within its budget included."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@own_columns
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks: none, once or more."""
-    return mixing.repeated(mixing.mix(docs)).select(docs.columns)
+    return mixing.repeated(docs)
 
 
 def token_id_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -455,6 +455,16 @@ def test_edits_within_budget(spark):
     assert decontaminate.clean(docs, items.limit(0)).count() == len(rows)
 
 
+def test_short_items_are_found_as_words(spark):
+    rows = [(1, "banana bread"), (2, "the catalogue"), (3, "Plan A."), (4, "a"), (5, "cat"), (6, "say CAT, please"), (7, "category"), (8, "seven words of item ate"), (9, "sevn words of item ate")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = lambda text: spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert bag(decontaminate.find(docs, items("a")), "doc_id") == [(3,), (4,)]
+    assert bag(decontaminate.find(docs, items("Cat")), "doc_id") == [(5,), (6,)]
+    assert bag(decontaminate.clean(docs, items("seven words of item")), "doc_id") == [(k,) for k in range(1, 8)]
+    assert [decontaminate.budget(n) for n in (3, 9, 10, 39, 40, 41)] == [0, 0, 1, 3, 4, 4]
+
+
 def test_matcher_agrees_with_edit_distance():
     import random
 

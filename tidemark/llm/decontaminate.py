@@ -7,7 +7,11 @@ h pieces has fewer than h. A hit is therefore verified upwards, from the two pie
 time with Myers' bit-parallel edit distance, and most hits by chance end at the first step.
 
 Texts and items are compared in a plain form: A-Z in lower case, each run of ASCII characters other than letters and
-digits one space. Items go to the tasks in blocks of bounded size, a pass over the documents for each block."""
+digits one space, and one space before and after. The spaces around an item count as bytes of it, so a short item, which
+has no errors to spend, is found as whole words only; from ten bytes on each tenth byte is an error more.
+
+Items go to the tasks in blocks of bounded size, a pass over the documents for each block: this is made for benchmarks
+of some hundred megabytes at most, against documents of any size."""
 
 from __future__ import annotations
 
@@ -20,21 +24,25 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 
-#: Errors for each byte of an item; items under SHORT bytes must occur as they are.
-RATE, SHORT = 0.1, 40
+#: Errors for each byte of an item.
+RATE = 0.1
+#: Bytes of text that are looked at together; a longer text stays whole, alone.
+TEXT_BYTES = 4 << 20
 #: Bytes of items that a task holds at once.
 BLOCK_BYTES = 4 << 20
 _PLAIN = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 
 
 def plain(text: bytes) -> bytes:
-    return b" ".join(text.translate(_PLAIN).split())
+    """The plain form; empty without a letter, digit or other character."""
+    return b" ".join([b"", *found, b""]) if (found := text.translate(_PLAIN).split()) else b""
 
 
 def budget(size: int) -> int:
-    return int(RATE * size) if size >= SHORT else 0
+    """Errors that an item of so many bytes in plain form may have."""
+    return int(RATE * size)
 
 
 def pieces(item: bytes) -> list[tuple[int, bytes]]:
@@ -194,7 +202,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held, name: str = name) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(name, held)
-            for batch in batches:
+            for batch in slices(batches, "text", TEXT_BYTES):
                 rows: list[tuple] = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                     best: dict[int, tuple[int, int]] = {}
@@ -212,13 +220,16 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, in which no item occurs."""
+    """The rows of docs, all columns as they are, in which no item occurs.
+
+    Null or empty texts hold no item and stay, as do all rows where items are null, empty or none; rows that repeat a
+    doc_id are judged each by itself."""
     for block in _blocks(items):
         held, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held, name: str = name) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(name, held)
-            for batch in batches:
+            for batch in slices(batches, "text", TEXT_BYTES):
                 kept = [not matcher.matches(text) for text in texts(batch)]
                 yield batch.filter(pa.array(kept, pa.bool_()))
 

@@ -155,3 +155,16 @@ def test_rebalancing_equals_a_loop(spark):
             units = value * w / row
     got = backtest.rebalanced(frame, weights, backtest.month_end_dates(frame), 1000.0).orderBy("date").collect()
     assert flags and [r["value"] for r in got] == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_max_sharpe_where_nothing_earns_more_than_cash(seed):
+    """With every excess return negative, random portfolios and single assets do no better."""
+    rng = np.random.default_rng(seed)
+    a = rng.normal(size=(4, 4))
+    mu, sigma = -np.abs(rng.normal(0.1, 0.1, 4)), a @ a.T / 4 + 0.05 * np.eye(4)
+    w = solvers.max_sharpe(mu, sigma, 0.03)
+    ratio = lambda x: (x @ mu - 0.03) / math.sqrt(x @ sigma @ x)
+    assert abs(w.sum() - 1) < 1e-8 and (w >= -1e-9).all()
+    others = [*rng.dirichlet(np.full(4, 0.4), 4000), *np.eye(4)]
+    assert ratio(w) >= max(map(ratio, others)) - 1e-6

@@ -9,7 +9,8 @@ import numpy as np
 
 def quadratic(h: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray | None:
     """The x that minimises x'Hx/2 + c'x with Ax = b and low <= x <= high, H positive semidefinite; None if there is
-    none. A primal active-set method from a feasible point, steps by the null space of the working set."""
+    none. A primal active-set method from a feasible point, steps by the null space of the working set; it raises if it
+    doesn't come to an end."""
     n = len(c)
     h = h + 1e-12 * max(1.0, float(np.trace(h)) / n) * np.eye(n)
     x = feasible(a, b, low, high)
@@ -46,7 +47,7 @@ def quadratic(h: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, low: n
             x[k] = high[k] if step[k] > 0 else low[k]
         else:
             x = x + step
-    return np.clip(x, low, high)
+    raise ArithmeticError("the active-set method didn't settle")
 
 
 def _multipliers(a: np.ndarray, g: np.ndarray, work: np.ndarray) -> np.ndarray:
@@ -113,8 +114,12 @@ def utility(mu: np.ndarray, sigma: np.ndarray, aversion: float, low: float = 0.0
 
 
 def max_sharpe(mu: np.ndarray, sigma: np.ndarray, rf: float, low: float = 0.0, high: float = 1.0, extra: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray | None:
-    """Dinkelbach's search over the efficient set: for a return target the least variance is a quadratic program, and the
-    ratio along targets has one peak while some excess return is positive; golden section finds it."""
+    """The weights of the greatest (mu'w - rf) / sqrt(w'Sw); None if no weights fit.
+
+    While some weights earn more than rf, Dinkelbach's steps of the ratio's square: the least w'Sw for a return is a
+    quadratic program, the ratio along returns has one peak, and golden section finds it. Where none do, the ratio is
+    not quasi-concave: a loss is best spread over much variance, so the best weights may be a vertex. Then the search goes
+    over returns from the least to the greatest with the greatest variance at each, by ascent from every vertex."""
     n = len(mu)
     base = extra or (np.zeros((0, n)), np.zeros(0))
     safe = min_variance(sigma, low, high, base)
@@ -122,20 +127,49 @@ def max_sharpe(mu: np.ndarray, sigma: np.ndarray, rf: float, low: float = 0.0, h
         return None
     top = linear_max(mu, low, high, base)
 
-    def at(target: float) -> tuple[float, np.ndarray]:
+    def ratio(w: np.ndarray) -> float:
+        return float((w @ mu - rf) / np.sqrt(max(w @ sigma @ w, 1e-18)))
+
+    if top @ mu <= rf:
+        return max((_ascent(w, mu, sigma, rf, low, high, base) for w in (safe, top, *_vertices(n, low, high, base))), key=ratio)
+
+    def at(target: float) -> np.ndarray:
         w = min_variance(sigma, low, high, (np.vstack([base[0], mu]), np.append(base[1], target)))
-        w = safe if w is None else w
-        return (w @ mu - rf) / np.sqrt(max(w @ sigma @ w, 1e-18)), w
+        return safe if w is None else w
 
     a, b = float(safe @ mu), float(top @ mu)
-    ratio = (5**0.5 - 1) / 2
+    golden = (5**0.5 - 1) / 2
     for _ in range(60):
-        c, d = b - ratio * (b - a), a + ratio * (b - a)
-        if at(c)[0] < at(d)[0]:
+        c, d = b - golden * (b - a), a + golden * (b - a)
+        if ratio(at(c)) < ratio(at(d)):
             a = c
         else:
             b = d
-    return max((at(a), at(b), at(float(safe @ mu))), key=lambda x: x[0])[1]
+    return max((at(a), at(b), safe, top), key=ratio)
+
+
+def _vertices(n: int, low: float, high: float, extra: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """The weights that are greatest in each asset, and in each pair of assets."""
+    goals = [np.eye(n)[i] + (np.eye(n)[j] if j != i else 0) * 0.999 for i in range(n) for j in range(n)]
+    return [w for g in goals if (w := linear_max(g, low, high, extra)) is not None]
+
+
+def _ascent(w: np.ndarray, mu: np.ndarray, sigma: np.ndarray, rf: float, low: float, high: float, extra: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """From w to a local peak of the ratio: along the line to the vertex that its slope points at, as far as it rises."""
+    for _ in range(50):
+        risk = float(np.sqrt(max(w @ sigma @ w, 1e-18)))
+        slope = mu / risk - (w @ mu - rf) * (sigma @ w) / risk**3
+        to = linear_max(slope, low, high, extra)
+        if to is None or slope @ (to - w) <= 1e-12:
+            return w
+        steps = np.linspace(0, 1, 65)
+        line = w + steps[:, None] * (to - w)
+        values = (line @ mu - rf) / np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", line, sigma, line), 1e-18))
+        best = int(np.argmax(values))
+        if best == 0:
+            return w
+        w = line[best]
+    return w
 
 
 def linear_max(mu: np.ndarray, low: float, high: float, extra: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray | None:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
@@ -120,3 +121,34 @@ def capital_market_line(best: DataFrame, highest: float, rf: float = config.RISK
 
 def held(weights: DataFrame, above: float = 0.001) -> DataFrame:
     return weights.filter(F.col("weight") > above)
+
+
+def optimality(weights: DataFrame, mu: DataFrame, cov: DataFrame, slope: Callable[[Column, Column, Column, Column], Column], low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """portfolio, budget (the sum of weights), bounded, gap: what weights between low and high could still gain.
+
+    slope gives the slope of a convex loss in an asset's weight from its mean, its covariance with the portfolio, and the
+    portfolio's mean and variance. No feasible weights lose less than the linear program that fills the assets of the
+    least slope first: the gap is the slope's drop from the weights to those, zero at the optimum."""
+    risk = weights.join(cov, weights.asset == cov.asset_j).groupBy("portfolio", "asset_i").agg(F.sum(F.col("weight") * F.col("cov")).alias("risk"))
+    own = risk.withColumnRenamed("asset_i", "asset").join(mu, "asset").join(weights, ["portfolio", "asset"])
+    of = W.partitionBy("portfolio")
+    sums = {"mean": F.sum(F.col("weight") * F.col("mu")).over(of), "variance": F.sum(F.col("weight") * F.col("risk")).over(of), "n": F.count("*").over(of)}
+    sloped = own.withColumns(sums).withColumn("slope", slope(F.col("mu"), F.col("risk"), F.col("mean"), F.col("variance")))
+    place = F.row_number().over(of.orderBy("slope", "asset")) - 1
+    room = F.lit(1.0) - F.col("n") * low - place * (high - low)
+    best = F.lit(low) + F.greatest(F.lit(0.0), F.least(F.lit(high - low), room))
+    ends = sloped.withColumn("best", best).groupBy("portfolio")
+    bounded = F.min((F.col("weight") >= low - 1e-9) & (F.col("weight") <= high + 1e-9))
+    return ends.agg(F.sum("weight").alias("budget"), bounded.alias("bounded"), F.sum(F.col("slope") * (F.col("weight") - F.col("best"))).alias("gap"))
+
+
+def least_variance_slope(mu: Column, risk: Column, mean: Column, variance: Column) -> Column:
+    return risk / variance
+
+
+def sharpe_slope(rf: float = config.RISK_FREE_RATE) -> Callable[[Column, Column, Column, Column], Column]:
+    return lambda mu, risk, mean, variance: ((mean - rf) * risk / variance - mu) / F.sqrt(variance)
+
+
+def utility_slope(aversion: float) -> Callable[[Column, Column, Column, Column], Column]:
+    return lambda mu, risk, mean, variance: aversion * risk - mu

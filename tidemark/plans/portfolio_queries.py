@@ -1,7 +1,6 @@
 """Moments, frontiers, optimal portfolios, views and factors.
 
-Weights of small programs aren't said in SQL; their queries return rounded invariants beside the weights, and tests hold
-them against optimality conditions."""
+Weights of small programs aren't said in SQL; optimality_queries has what they must satisfy."""
 
 from __future__ import annotations
 
@@ -128,11 +127,23 @@ def bl_posterior_one_view(spark: SparkSession, d: str) -> DataFrame:
     return B.compared(mu, cov, _views(names)).withColumn("difference_pct", F.round(F.col("difference_pct") + 3e-8, 4))
 
 
-@query()
+@query(
+    f"""WITH {MOMENTS}, n AS (SELECT count(*) AS n FROM mu), pi AS (SELECT asset_i AS asset, 2.5 * sum(cov / n) AS prior FROM s CROSS JOIN n GROUP BY 1),
+nm AS (SELECT asset, row_number() OVER (ORDER BY asset) AS i FROM mu), sn AS (SELECT a.i AS i, b.i AS j, cov FROM s JOIN nm a ON a.asset = asset_i JOIN nm b ON b.asset = asset_j),
+cl AS (SELECT i, sum(cov) FILTER (j = 1) AS c0, sum(CASE j WHEN 2 THEN cov WHEN 3 THEN -cov END) AS c1 FROM sn GROUP BY 1),
+vv AS (SELECT max(c0) FILTER (i = 1) AS v00, max(c1) FILTER (i = 1) AS v01, max(c1) FILTER (i = 2) - max(c1) FILTER (i = 3) AS v11 FROM cl),
+pv AS (SELECT max(prior) FILTER (i = 1) AS p0, max(prior) FILTER (i = 2) - max(prior) FILTER (i = 3) AS p1 FROM pi JOIN nm USING (asset)),
+mm AS (SELECT 0.025 * v00 + greatest((1 / 0.7::DOUBLE - 1) * 0.1 * v00, 1e-8) AS m00, 0.025 * v01 AS m01, 0.025 * v11 + greatest((1 / 0.6::DOUBLE - 1) * 0.1 * v11, 1e-8) AS m11, 0.15 - p0 AS d0, 0.03 - p1 AS d1 FROM vv CROSS JOIN pv),
+xx AS (SELECT (m11 * d0 - m01 * d1) / (m00 * m11 - m01 * m01) AS x0, (m00 * d1 - m01 * d0) / (m00 * m11 - m01 * m01) AS x1 FROM mm),
+q AS (SELECT asset, prior, prior + 0.025 * (c0 * x0 + c1 * x1) AS posterior FROM pi JOIN nm USING (asset) JOIN cl USING (i) CROSS JOIN xx)
+SELECT asset, {r('prior', 'prior')}, {r('posterior', 'posterior')}, {r('posterior - prior', 'difference')}, {r('(posterior - prior) / nullif(abs(prior), 0) * 100', 'difference_pct', 4)} FROM q"""
+)
 def bl_posterior_views(spark: SparkSession, d: str) -> DataFrame:
+    """An absolute and a relative view, which SQL solves as two equations."""
     mu, cov = O.moments(weekly_returns(spark, d))
     names = sorted(x["asset"] for x in mu.select("asset").collect())
-    return B.compared(mu, cov, [*_views(names), B.View.relative(names[1], names[2], 0.03, 0.6)])
+    found = B.compared(mu, cov, [*_views(names), B.View.relative(names[1], names[2], 0.03, 0.6)])
+    return found.withColumn("difference_pct", F.round(F.col("difference_pct") + 3e-8, 4))
 
 
 def _optimised(objective: str):
@@ -178,7 +189,17 @@ def _model(spark: SparkSession, d: str) -> tuple[DataFrame, X.Exposures]:
     return returns, X.estimate(returns, X.factor_returns(returns))
 
 
-@query()
+#: Regressions on three factors by determinants; VOL is SMB turned round, and of the least norm each takes half.
+BETAS = f"""{WEEKLY_RETURNS}, {SIDES}, fw AS (SELECT * FROM (SELECT date, max(value) FILTER (factor = 'MKT') AS f1, max(value) FILTER (factor = 'MOM') AS f2, max(value) FILTER (factor = 'SMB') AS f3 FROM fac GROUP BY 1) WHERE f1 + f2 + f3 IS NOT NULL),
+mo AS (SELECT asset, count(*) AS n, avg(ret) AS my, avg(f1) AS m1, avg(f2) AS m2, avg(f3) AS m3, covar_pop(f1, f1) AS a, covar_pop(f1, f2) AS b, covar_pop(f1, f3) AS c, covar_pop(f2, f2) AS d, covar_pop(f2, f3) AS e, covar_pop(f3, f3) AS g,
+  covar_pop(f1, ret) AS y1, covar_pop(f2, ret) AS y2, covar_pop(f3, ret) AS y3 FROM r JOIN fw USING (date) GROUP BY 1),
+dt AS (SELECT *, a * (d * g - e * e) - b * (b * g - e * c) + c * (b * e - d * c) AS t FROM mo),
+be AS (SELECT *, (y1 * (d * g - e * e) - b * (y2 * g - e * y3) + c * (y2 * e - d * y3)) / t AS b1, (a * (y2 * g - e * y3) - y1 * (b * g - e * c) + c * (b * y3 - y2 * c)) / t AS b2, (a * (d * y3 - y2 * e) - b * (b * y3 - y2 * c) + y1 * (b * e - d * c)) / t AS b3 FROM dt),
+bt AS (SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0 FROM be),
+lo AS (SELECT asset, unnest(['const', 'MKT', 'MOM', 'SMB', 'VOL']) AS factor, unnest([b0, b1, b2, b3 / 2, -b3 / 2]) AS beta FROM bt)"""
+
+
+@query(f"WITH {BETAS} SELECT asset, factor, {r('beta', 'beta')} FROM lo")
 def factor_exposures(spark: SparkSession, d: str) -> DataFrame:
     _, m = _model(spark, d)
     rows = [(k, f, float(m.beta[i, j])) for i, k in enumerate(m.assets) for j, f in enumerate(m.factors)]
@@ -192,7 +213,11 @@ def factor_expected_returns(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, float(x)) for k, x in zip(m.assets, m.expected(), strict=True)], "asset string, expected_return double")
 
 
-@query()
+@query(
+    f"""WITH {BETAS}, ft AS (SELECT asset, date, b0 + b1 * f1 + b2 * f2 + b3 * f3 AS fit FROM bt CROSS JOIN fw), rs AS (SELECT asset, sum((ret - fit) * (ret - fit)) / (count(*) - 4) AS v FROM r JOIN ft USING (date, asset) GROUP BY 1),
+sy AS (SELECT x.asset AS asset_i, y.asset AS asset_j, covar_samp(x.fit, y.fit) AS cov FROM ft x JOIN ft y USING (date) GROUP BY 1, 2)
+SELECT asset_i, asset_j, {r('252 * (cov + CASE WHEN asset_i = asset_j THEN v ELSE 0 END)', 'cov')} FROM sy JOIN rs ON rs.asset = asset_i"""
+)
 def factor_covariance(spark: SparkSession, d: str) -> DataFrame:
     _, m = _model(spark, d)
     s = m.covariance()
@@ -227,7 +252,7 @@ for _objective in ("min_tracking_error", "max_return", "min_variance"):
     query()(_tilted(_objective))
 
 
-@query()
+@query(f"WITH {BETAS} SELECT 'equal' AS portfolio, factor, {r('avg(beta)', 'exposure')} FROM lo GROUP BY factor")
 def factor_portfolio_exposures(spark: SparkSession, d: str) -> DataFrame:
     returns, m = _model(spark, d)
     equal = returns.select("asset").distinct().select(F.lit("equal").alias("portfolio"), "asset", F.lit(1.0).alias("weight"))

@@ -174,9 +174,14 @@ def backtest_weights_as_of(spark: SparkSession, d: str) -> DataFrame:
     return T.as_of(prices.select(F.lit("momentum").alias("strategy"), "date").distinct(), one)
 
 
-@query()
+@query(
+    f"""WITH {DAYS}, {MOMENTUM}, dn AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM rx)), mk2 AS (SELECT * FROM dn SEMI JOIN rb USING (date)),
+sv AS (SELECT k.date, asset, stddev_samp(ret) AS s FROM mk2 k JOIN dn p ON p.i BETWEEN k.i - 126 AND k.i - 1 JOIN rx ON rx.date = p.date GROUP BY 1, 2),
+iv AS (SELECT date, asset, CASE WHEN s > 0 THEN 1 / s ELSE 0 END AS part FROM sv WHERE s IS NOT NULL), tt AS (SELECT *, sum(part) OVER (PARTITION BY date) AS total FROM iv)
+SELECT 'callback' AS strategy, date, asset, {r('part / total', 'weight')} FROM tt WHERE total > 0"""
+)
 def backtest_callback(spark: SparkSession, d: str) -> DataFrame:
-    """Inverse volatility by a Python allocator, monthly; tested against its SQL-free rendering."""
+    """Inverse volatility by a Python allocator, monthly."""
     prices = days(spark, d)
     return T.callback_weights(C.simple_returns(prices), T.previous_dates(prices), lambda history, at: (1 / history.std()).replace(float("inf"), 0).dropna().to_dict(), rows=126)
 

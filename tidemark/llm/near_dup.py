@@ -10,14 +10,15 @@ similarity reaches a percentage. Equal sets are one set from the start. Then:
    sets and tokens. A set's own group always qualifies, so it is opened at once: the members are compared from the most
    popular one on, whose tokens most other sets hold and to which most near copies link. One root of each part's
    components goes to the next round while that pays.
-3. Matrix. The components found so far are the groups, in parts of bounded sets and tokens. The union of each part's
-   tokens is a table of (group, token); tokens that one component alone holds can't make a link and are left out. A set
-   of the smaller component queries it with its rarest tokens, as many as can't all be missing from a partner; for the
-   groups met, the overlap with the stored union is summed, and only where it reaches the percentage is the group opened:
-   its members are fetched and compared.
+3. Matrix. The parts of the first order are the groups: similar sets stand together, linked or not. The union of each
+   group's tokens is a table of (group, token), with the components that hold the token there; tokens of one component
+   alone can't make a link and are left out. Sets have been compared within their own group; each queries the groups
+   after it with its rarest tokens, more of them than may be missing from a partner. For the groups met, its overlap
+   with the stored union is counted, and only where that reaches the percentage is the group opened: its members are
+   fetched and compared.
 4. Links between components are joined by pointer jumping over Spark tables.
 
-No step makes the pairs within a component, and no part or group that one task holds grows with the input. A token that
+No step makes the pairs within a group as rows, and no part or group that one task holds grows with the input. A token that
 many sets hold is dealt by set to as many tasks as it needs."""
 
 from __future__ import annotations
@@ -164,6 +165,13 @@ def _least_by(tokens: str, order: int) -> Column:
     return F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, F.lit(order))))
 
 
+def _dealt(grouped: DataFrame, deal: int, least_members: int = 1) -> DataFrame:
+    """grouped (set, n, group) with parts and part, groups of fewer members left out."""
+    counts = grouped.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("all_tokens")).filter(F.col("members") >= least_members)
+    counts = scratch(counts.select("group", "members", _parts_of(F.col("members"), F.col("all_tokens")).alias("parts")), "groups")
+    return join_hot(grouped, counts, ["group"], "members", "set").withColumn("part", _part(F.col("set"), F.col("parts"), deal))
+
+
 def _parts(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links found by rounds of bounded parts.
 
@@ -176,9 +184,7 @@ def _parts(sets: DataFrame, percent: int) -> DataFrame:
     rounds: list[DataFrame] = []
     before = after = None
     while not rounds or 0 < after <= before / 2:
-        counts = current.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("all_tokens")).filter("members > 1")
-        counts = scratch(counts.select("group", "members", _parts_of(F.col("members"), F.col("all_tokens")).alias("parts")), "groups")
-        dealt = join_hot(current, counts, ["group"], "members", "set").withColumn("part", _part(F.col("set"), F.col("parts"), len(rounds))).join(tokens, "set")
+        dealt = _dealt(current, len(rounds), 2).join(tokens, "set")
         linked = dealt.groupBy("group", "part").applyInArrow(lambda t: _link_part(t, percent), "set long, root long, n long, group long, parts long")
         linked = scratch(linked, "linked-parts")
         rounds.append(linked)
@@ -190,64 +196,86 @@ def _parts(sets: DataFrame, percent: int) -> DataFrame:
     return found.filter("set != root").select(F.col("set").alias("a"), F.col("root").alias("b"))
 
 
+def _bounded(queries: pa.Table, union: pa.Table, percent: int) -> pa.Table:
+    """The queries whose overlap with a group's stored union, as far as other components hold it, may make a link."""
+    keep = np.zeros(len(queries), bool)
+    if len(queries) and len(union):
+        order = np.argsort(union.column("token").to_numpy())
+        token, low, high = (union.column(c).to_numpy()[order] for c in ("token", "low", "high"))
+        tokens = queries.column("tokens").combine_chunks()
+        ends = tokens.offsets.to_numpy().astype(np.int64) - tokens.offsets[0].as_py()
+        flat, comp = tokens.flatten().to_numpy(), queries.column("comp").to_numpy()
+        at = np.minimum(np.searchsorted(token, flat), len(token) - 1)
+        of = np.repeat(comp, np.diff(ends))
+        hit = (token[at] == flat) & ~((low[at] == of) & (high[at] == of))
+        sums = np.concatenate([[0], np.cumsum(hit)])
+        keep = sums[ends[1:]] - sums[ends[:-1]] >= least(queries.column("n").to_numpy(), percent)
+    return queries.filter(pa.array(keep))
+
+
 def _open(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
-    """Links between the components of some queries and that of a group's members."""
-    linked: set[int] = set()
+    """Links between the components of some queries and those of a group's members."""
+    linked: set[tuple[int, int]] = set()
     if len(queries) and len(members):
         both = pa.concat_tables([x.select(["tokens", "n"]) for x in (queries, members)])
         sets, q = _Sets(both.column("tokens"), both.column("n")), len(queries)
+        others = members.column("comp").to_numpy()
         for k, comp in enumerate(queries.column("comp").to_pylist()):
-            if comp not in linked and links(sets.sizes[k], sets.sizes[q:], sets.common(k)[q:], percent).any():
-                linked.add(comp)
-    other = members.column("other")[0].as_py() if linked else None
-    return pa.table({"a": pa.array(sorted(linked), pa.int64()), "b": pa.array([other] * len(linked), pa.int64())})
+            near = links(sets.sizes[k], sets.sizes[q:], sets.common(k)[q:], percent) & (others != comp)
+            linked |= {(comp, other) for other in np.unique(others[near]).tolist()}
+    return pa.table({"a": pa.array([a for a, _ in linked], pa.int64()), "b": pa.array([b for _, b in linked], pa.int64())})
+
+
+ASKED = "other long, other_part long, lot long, set long, comp long, n long, tokens array<long>"
 
 
 def _matrix_links(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """a, b: components that are linked by some pair of their sets, found through the token-group matrix."""
-    known = scratch(sets.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set")), "labelled-sets")
-    sizes = known.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("all_tokens"))
-    sizes = scratch(sizes.select("comp", "size", _parts_of(F.col("size"), F.col("all_tokens")).alias("parts")), "components")
+    known = sets.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set")).withColumn("group", _least_by("shared.token", 0))
+    known = scratch(known, "labelled-sets")
+    dealt = _dealt(known.select("set", "n", "group"), 0).select("set", "group", "part")
+    dealt = scratch(known.drop("group").join(dealt, "set"), "grouped-sets")
+    tokens = dealt.select("set", "comp", "group", "part", "n", F.explode("shared.token").alias("token"))
     # the matrix: each group's union, without tokens that one component alone holds
-    dealt = join_hot(known.select("set", "comp", "n", "shared"), sizes.withColumn("rows", F.col("size")), ["comp"], "rows", "set")
-    dealt = scratch(dealt.withColumn("part", _part(F.col("set"), F.col("parts"))), "component-sets")
-    tokens = dealt.select("set", "comp", "size", "part", "n", F.explode("shared").alias("s")).select("set", "comp", "size", "part", "n", "s.token", "s.holders")
-    union = scratch(tokens.groupBy("comp", "part", "token").agg(F.first("size").alias("size"), F.first("holders").alias("holders")), "unions")
-    spread = union.groupBy("token").agg(F.count("*").alias("spread"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-    spread = scratch(spread.select("token", "spread"), "contested")
-    matrix = union.join(spread.select("token"), "token", "left_semi").select("token", F.col("comp").alias("other"), F.col("part").alias("other_part"), F.col("size").alias("other_size"), "holders")
-    matrix = scratch(matrix, "matrix")
+    union = scratch(tokens.groupBy("group", "part", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("holders")), "unions")
+    spread = union.groupBy("token").agg(F.count("*").alias("spread"), F.sum("holders").alias("asking"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
+    spread = scratch(spread.select("token", "spread", "asking"), "contested")
+    renamed = [F.col("group").alias("other"), F.col("part").alias("other_part"), "low", "high"]
+    matrix = scratch(union.join(spread.select("token", "asking"), "token").select("token", *renamed, "asking"), "matrix")
     # queries: of a set's contested tokens the rarest, so many that a partner must hold 1 + extra of them
-    asks = scratch(tokens.join(spread, "token").groupBy("set", "comp", "size", "part", "n").agg(F.sort_array(F.collect_list(F.struct("spread", "token", "holders"))).alias("own")), "queries")
-    asks = asks.filter(F.size("own") >= least(F.col("n"), percent))
+    own = F.sort_array(F.collect_list(F.struct("spread", "token", "asking"))).alias("own")
+    asks = scratch(tokens.join(spread, "token").groupBy("set", "comp", "group", "part", "n").agg(own), "contested-sets")
+    may = asks.filter(F.size("own") >= least(F.col("n"), percent))
     extra = F.floor(F.col("n") / MORE).cast("int")
     first = F.slice("own", F.lit(1), F.least(F.size("own"), (F.size("own") - least(F.col("n"), percent) + 1 + extra).cast("int")))
-    salts = F.ceil(F.col("holders") / HOT_ROWS).cast("int")
-    probes = asks.select("set", "comp", "size", "n", F.explode(first).alias("s")).select("set", "comp", "size", "n", "s.token", "s.holders")
-    probes = probes.withColumn("salt", F.pmod(F.xxhash64("set"), salts).cast("int")).drop("holders")
-    salted = matrix.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("holders")
-    ahead = F.struct("size", "comp") < F.struct("other_size", "other")
-    met = probes.join(salted, ["token", "salt"]).filter(ahead).groupBy("set", "n", "other", "other_part").agg(F.count("*").alias("hits"))
+    salts = F.ceil(F.col("asking") / HOT_ROWS).cast("int")
+    probes = may.select("set", "comp", "group", "part", "n", F.explode(first).alias("s")).select("set", "comp", "group", "part", "n", "s.token", "s.asking")
+    probes = probes.withColumn("salt", F.pmod(F.xxhash64("set"), salts).cast("int")).drop("asking")
+    salted = matrix.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("asking")
+    after = (F.struct("group", "part") < F.struct("other", "other_part")) & ~((F.col("low") == F.col("comp")) & (F.col("high") == F.col("comp")))
+    met = probes.join(salted, ["token", "salt"]).filter(after).groupBy("set", "n", "other", "other_part").agg(F.count("*").alias("hits"))
     # a prefix of all tokens has fewer to find than 1 + extra
     met = scratch(met.filter(F.col("hits") >= F.least(F.lit(1) + extra, least(F.col("n"), percent))).select("set", "n", "other", "other_part"), "met")
-    # the bound, on the stored unions; only what reaches it is opened
-    full = met.join(asks.select("set", F.explode("own.token").alias("token")), "set").join(matrix.select("token", "other", "other_part"), ["token", "other", "other_part"])
-    qualifying = full.groupBy("set", "n", "other", "other_part").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= least(F.col("n"), percent))
-    qualifying = scratch(qualifying.select("set", "n", "other", "other_part"), "qualifying")
-    # a group that many sets query is compared with a bounded lot of them at a time
+    # a group that many sets query meets a bounded lot of them at a time
     group = ["other", "other_part"]
-    asking = qualifying.groupBy(*group).agg(_parts_of(F.count("*"), F.sum("n")).alias("lots"), F.count("*").alias("rows"))
-    asking = scratch(asking, "asking")
-    plain = scratch(asks.select("set", "comp", "n", "part", F.sort_array("own.token").alias("tokens")), "contested-sets")
-    members = dealt.select(F.col("comp").alias("other"), F.col("part").alias("other_part"), "set").join(plain.select("set", "n", "tokens"), "set")
-    left = join_hot(qualifying.drop("n"), asking, group, "rows", "set").withColumn("lot", _part(F.col("set"), F.col("lots"))).join(plain.select("set", "comp", "n", "tokens"), "set")
-    right = asking.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).select(*group, "lot").join(members, group)
     key = [*group, "lot"]
-    left = left.select(*key, "comp", "n", "tokens").toDF(*key, "comp", "n", "tokens")
-    right = right.select(*key, "n", "tokens").toDF(*key, "n", "tokens")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _open(a, b, percent), "a long, b long")
-    found = scratch(found.distinct(), "component-links")
-    for done in (known, sizes, dealt, union, spread, matrix, asks, met, qualifying, asking, plain):
+    asking = scratch(met.groupBy(*group).agg(_parts_of(F.count("*"), F.sum("n")).alias("lots"), F.count("*").alias("rows")), "asking")
+    plain = asks.select("set", "comp", "n", F.sort_array("own.token").alias("tokens"))
+    asked = join_hot(met.drop("n"), asking, group, "rows", "set").withColumn("lot", _part(F.col("set"), F.col("lots"))).join(plain, "set")
+    lots = asking.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).select(*key)
+
+    def each_lot(left: DataFrame, right: DataFrame, run, schema: str) -> DataFrame:
+        right = lots.join(right, group)
+        left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
+
+    # the bound, on the stored unions; only groups that some query reaches are opened, for those queries alone
+    columns = [x.split()[0] for x in ASKED.split(", ")]
+    qualifying = scratch(each_lot(asked.select(*columns), matrix.drop("asking"), lambda a, b: _bounded(a, b, percent), ASKED), "qualifying")
+    members = dealt.select(F.col("group").alias("other"), F.col("part").alias("other_part"), "set").join(plain, "set").drop("set")
+    members = qualifying.select(*group).distinct().join(members, group)
+    found = scratch(each_lot(qualifying, members, lambda a, b: _open(a, b, percent), "a long, b long").distinct(), "component-links")
+    for done in (known, dealt, union, spread, matrix, asks, met, asking, qualifying):
         release(done)
     return found
 

@@ -74,3 +74,15 @@ def test_synthetic_panels(spark):
     for r in macro.orderBy("date").collect():
         by.setdefault(r["factor"], []).append(r["value"])
     assert min(by["rate"]) == 0.0 and len(set(by["cpi"])) == 24
+
+
+def test_each_factor_comes_from_the_first_source_that_has_it(spark):
+    rows = spark.createDataFrame([("2021-01-04", "a", 1.0), ("2021-01-04", "b", 2.0)], "date string, factor string, value double")
+
+    def broken(factor):
+        raise OSError("unreachable")
+
+    readers = [("broken", broken), ("only a", lambda f: rows.filter("factor = 'a'")), ("all", lambda f: rows)]
+    assert sorted((r["factor"], r["source"]) for r in files.each_factor(readers, ["a", "b", "c"]).collect()) == [("a", "only a"), ("b", "all")]
+    with pytest.raises(ValueError):
+        files.each_factor(readers, ["c"])

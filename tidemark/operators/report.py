@@ -30,6 +30,13 @@ def melted(metrics: DataFrame, names: list[str], key: str = "asset") -> DataFram
     return metrics.unpivot([key], names, "metric", "value")
 
 
+def percentiles(stats: DataFrame, key: str = "method") -> DataFrame:
+    """key, percentile, value from the percentile columns of each row."""
+    names = [c for c in stats.columns if c.startswith("percentile_")]
+    long_ = stats.unpivot([key], names, "percentile", "value")
+    return long_.withColumn("percentile", F.regexp_extract("percentile", "([0-9]+)$", 1).cast("int"))
+
+
 def wide(panel: DataFrame, names: list[str] | None = None, key: str = "asset", value: str = "price") -> DataFrame:
     """A column for each series, for export."""
     return panel.groupBy("date").pivot(key, names).agg(F.first(value))

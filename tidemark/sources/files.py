@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,19 +66,40 @@ def write_json(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").json(path)
 
 
-def first_with_rows(readers: list[tuple[str, Callable[[], DataFrame]]], assets: list[str], share: float = 0.5) -> tuple[str, DataFrame]:
-    """The name and panel of the first reader that has at least share of the assets; readers that fail are passed over."""
+def first_with_rows(readers: list[tuple[str, Callable[[], DataFrame]]], names: list[str], share: float = 0.5, key: str = "asset") -> tuple[str, DataFrame]:
+    """The name and panel of the first reader that has at least share of the names of key (asset or factor); readers that
+    fail are passed over. A synthetic panel as the last reader makes a chain that always ends."""
     errors = []
     for name, reader in readers:
         try:
             panel = reader()
-            found = panel.filter(F.col("asset").isin(assets)).agg(F.countDistinct("asset")).first()[0]
+            found = panel.filter(F.col(key).isin(names)).agg(F.countDistinct(key)).first()[0]
         except Exception as error:  # a source that can't be reached is what the chain is for
             errors.append(f"{name}: {error}")
             continue
-        if found and found >= share * len(assets):
+        if found and found >= share * len(names):
             return name, panel
-    raise ValueError(f"no source has {share:.0%} of the assets; {'; '.join(errors)}")
+    raise ValueError(f"no source has {share:.0%} of the names; {'; '.join(errors)}")
+
+
+def each_factor(readers: list[tuple[str, Callable[[str], DataFrame]]], factors: list[str]) -> DataFrame:
+    """date, factor, value, source: each factor from the first reader that has rows of it; factors without are left out."""
+    found = []
+    for factor in factors:
+        try:
+            name, panel = first_with_rows([(n, lambda r=r: r(factor)) for n, r in readers], [factor], 1.0, "factor")
+        except ValueError:
+            continue
+        found.append(panel.filter(F.col("factor") == factor).select("date", "factor", "value", F.lit(name).alias("source")))
+    if not found:
+        raise ValueError(f"no source has any of {factors}")
+    return reduce(DataFrame.unionByName, found)
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/tidemark-files/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def collection_metadata(panel: DataFrame, macro: DataFrame, requested: list[str], source: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """License scans by diagonal voting.
 
-Templates are short word sequences. The rolling word k-gram hashes of every text are joined by Spark to the positions
+Templates are phrases, openings and paragraphs of licence texts. The rolling word k-gram hashes of every text are joined by Spark to the positions
 at which templates hold them; a hit at word p of a text and word t of a template votes for the diagonal p - t.
 Votes are summed by diagonal, neighbouring diagonals (words left out or put in) are merged, and the spans of those
 with enough votes are verified word by word. A sieve of the templates' own hashes, a table of fixed size, goes ahead
@@ -24,7 +24,7 @@ from .common import ALNUM, LOWER, joined, mix, scratch, slices, texts, word_hash
 
 #: Phrases that count wherever their words stand consecutively, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Openings of public licence texts, with labels of this method's own.
+#: Openings and paragraphs of public licence texts, with labels of this method's own.
 TEMPLATES = {
     "licensed under the apache license version 2 0": "apache-2.0",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-2.0",
@@ -40,6 +40,18 @@ TEMPLATES = {
     "this work is licensed under a creative commons attribution": "cc-notice",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability": "mit",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details": "gpl-notice",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-notice",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software": "bsl",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely": "zlib",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense",
 }
 K_BASE, K = 2, 3
 #: Diagonals at most this far apart are one; share of a template's k-grams that must vote; least likeness of a span.
@@ -74,10 +86,20 @@ def template_rows(base: dict[str, str], templates: dict[str, str]) -> list[tuple
     return rows
 
 
+def gram_words(base: dict[str, str], templates: dict[str, str]) -> dict[int, set[tuple[bytes, ...]]]:
+    """The words of each template's k-grams, by their hash."""
+    found: dict[int, set[tuple[bytes, ...]]] = {}
+    phrases = [_word.findall(p.encode().translate(_LOWER)) for p in [*base, *templates]]
+    for gram, number, _, is_base, at, _ in template_rows(base, templates):
+        found.setdefault(gram, set()).add(tuple(phrases[number][at : at + (K_BASE if is_base else K)]))
+    return found
+
+
 HITS = "row long, doc_id long, n_words long, hits array<struct<gram: long, at: int>>, text string"
 
 
-def _hit_rows(batches: Iterator[pa.RecordBatch], grams: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _hit_rows(batches: Iterator[pa.RecordBatch], grams: np.ndarray, own: dict[int, set[tuple[bytes, ...]]]) -> Iterator[pa.RecordBatch]:
+    """The places of templates' k-grams: found by hash, then compared word for word."""
     row = TaskContext.get().partitionId() << 40
     kind = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())]))
     for batch in slices(batches, "text"):
@@ -93,6 +115,9 @@ def _hit_rows(batches: Iterator[pa.RecordBatch], grams: np.ndarray) -> Iterator[
             near = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
             at = np.flatnonzero(grams[near] == keys) if len(keys) else np.zeros(0, np.int64)
             at = at[doc[at] == doc[at + k - 1]]
+            spans = zip(at.tolist(), keys[at].tolist(), strict=True)
+            same = [tuple(data[a:b].tobytes() for a, b in zip(starts[p : p + k].tolist(), ends[p : p + k].tolist(), strict=True)) in own[g] for p, g in spans]
+            at = at[np.array(same, bool)]
             found_at.append(at)
             found.append(keys[at])
         at, keys = np.concatenate(found_at), np.concatenate(found)
@@ -130,7 +155,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str]
     rows = template_rows(base, templates)
     grams = np.unique(np.array([r[0] for r in rows], np.int64))
     table = F.broadcast(spark.createDataFrame(rows, "gram long, template int, label string, is_base boolean, tpos int, size int"))  # a fixed table
-    hits = scratch(docs.select("doc_id", "text").mapInArrow(lambda it: _hit_rows(it, grams), HITS), "license-hits")
+    own = gram_words(base, templates)
+    hits = scratch(docs.select("doc_id", "text").mapInArrow(lambda it: _hit_rows(it, grams, own), HITS), "license-hits")
     votes = hits.select("row", F.explode("hits").alias("hit")).select("row", "hit.gram", "hit.at").join(table, "gram")
     diagonals = votes.groupBy("row", "template", "label", "is_base", "size", (F.col("at") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("votes"))
     places = diagonals.filter(F.col("is_base") & (F.col("votes") == F.col("size")))

@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, texts
+from .common import scratch, slices, texts
 
 ARRAY_BYTES = 64 << 20
 KEYS_PER_SHARD = 20_000
 GAMMA = 2.0
+#: Bytes of text that are looked at together; a longer text stays whole, alone.
+TEXT_BYTES = 4 << 20
 NONE = -(1 << 63)
 
 
@@ -45,16 +47,17 @@ def line_keys(text: bytes, min_chars: int) -> list[tuple[bytes, bytes | None]]:
 
 
 class PerfectHash:
-    """Levels of bit arrays: a key's slot is the count of set bits before the first of its bits that is set."""
+    """Levels of bit arrays: a key's slot is the count of set bits before the first of its bits that is set. Bits stay
+    packed in words, with the count of bits before each word: under five bits a key in all."""
 
     def __init__(self, keys: np.ndarray):
         self.levels: list[np.ndarray] = []
         left = np.unique(keys)
         while len(left):
-            size = max(64, int(GAMMA * len(left)) // 64 * 64 + 64)
-            at = self._at(left, len(self.levels), size)
-            once = np.bincount(at, minlength=size) == 1
-            self.levels.append(once)
+            words = max(1, int(GAMMA * len(left)) // 64 + 1)
+            at = self._at(left, len(self.levels), words * 64)
+            once = np.bincount(at, minlength=words * 64) == 1
+            self.levels.append(np.packbits(once, bitorder="little").view("<u8"))
             left = left[~once[at]]
         self._rank()
 
@@ -62,8 +65,9 @@ class PerfectHash:
         before = 0
         self.ranks = []
         for level in self.levels:
-            self.ranks.append((before + np.cumsum(level) - level).astype(np.int32))
-            before += int(level.sum())
+            counts = np.bitwise_count(level).astype(np.int64)
+            self.ranks.append((before + np.cumsum(counts) - counts).astype(np.int32))
+            before += int(counts.sum())
 
     @staticmethod
     def _at(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -80,17 +84,19 @@ class PerfectHash:
         for k, (level, rank) in enumerate(zip(self.levels, self.ranks, strict=True)):
             if not len(todo):
                 break
-            at = self._at(keys[todo], k, len(level))
-            hit = level[at]
-            out[todo[hit]] = rank[at[hit]]
+            at = self._at(keys[todo], k, len(level) * 64)
+            word, bit = level[at >> 6], (at & 63).astype(np.uint64)
+            hit = (word >> bit & np.uint64(1)).astype(bool)
+            below = word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
+            out[todo[hit]] = rank[at[hit] >> 6] + np.bitwise_count(below)
             todo = todo[~hit]
         return out
 
     def __getstate__(self):
-        return [(len(x), np.packbits(x)) for x in self.levels]
+        return self.levels
 
     def __setstate__(self, state):
-        self.levels = [np.unpackbits(x, count=n).astype(bool) for n, x in state]
+        self.levels = state
         self._rank()
 
 
@@ -103,17 +109,17 @@ def build_shard(low: np.ndarray, high: np.ndarray, counts: np.ndarray, keepers:
     return pickle.dumps((table, *arrays), protocol=5)
 
 
-def probe(shard: tuple, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys the shard holds, and their keepers."""
-    table, prints, _, keepers = shard
+def probe(shard: tuple, low: np.ndarray, high: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys the shard holds with at least so many documents, and their keepers."""
+    table, prints, counts, keepers = shard
     slots = table.slots(low)
-    held = (slots >= 0) & (prints[slots] == high)
+    held = (slots >= 0) & (prints[slots] == high) & (counts[slots] >= min_docs)
     return held, np.where(held, keepers[slots], 0)
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch], min_chars: int, shards: int | None) -> Iterator[pa.RecordBatch]:
     """The distinct line hashes of each document, with the shard if shards are given."""
-    for batch in batches:
+    for batch in slices(batches, "text", TEXT_BYTES):
         digests, docs = [], []
         ids = batch.column("doc_id").to_pylist()
         for doc_id, text in zip(ids, texts(batch), strict=True):
@@ -179,18 +185,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, array_b
     shards = max(1, -(-n // KEYS_PER_SHARD))
     arrays = scratch(shard_arrays(lines, shards), "line-arrays")
     if n * 24 <= array_bytes:
-        return _probe_local(docs, arrays, shards, min_chars)
-    return _probe_streamed(docs, arrays, shards, min_chars)
+        return _probe_local(docs, arrays, shards, min_chars, min_docs)
+    return _probe_streamed(docs, arrays, shards, min_chars, min_docs)
 
 
-def _probe_local(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: int) -> DataFrame:
+def _probe_local(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: int, min_docs: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast([(r["shard"], bytes(r["arrays"])) for r in arrays.collect()])
     opened: dict[int, tuple] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not opened:
             opened.update((k, pickle.loads(v)) for k, v in held.value)
-        for batch in batches:
+        for batch in slices(batches, "text", TEXT_BYTES):
             ids = batch.column("doc_id").to_pylist()
             keyed = [line_keys(text, min_chars) for text in texts(batch)]
             asked = list({h for keys in keyed for _, h in keys if h})
@@ -201,7 +207,7 @@ def _probe_local(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: int
             for k in np.unique(shard):
                 if k in opened:
                     at = np.flatnonzero(shard == k)
-                    found, keep = probe(opened[k], low[at], high[at])
+                    found, keep = probe(opened[k], low[at], high[at], min_docs)
                     keeper.update((asked[i], v) for i, v in zip(at[found].tolist(), keep[found].tolist(), strict=True))
             rows = []
             for doc_id, keys in zip(ids, keyed, strict=True):
@@ -215,7 +221,7 @@ def _probe_local(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: int
 SALTS = 16
 
 
-def _probe_streamed(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: int) -> DataFrame:
+def _probe_streamed(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: int, min_docs: int) -> DataFrame:
     asked = docs.select("doc_id", "text").mapInArrow(lambda it: _hash_rows(it, min_chars, shards), "low long, high long, doc_id long, shard long")
     asked = asked.withColumn("salt", F.pmod(F.col("doc_id"), F.lit(SALTS)))
     held = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -231,7 +237,7 @@ def _probe_streamed(docs: DataFrame, arrays: DataFrame, shards: int, min_chars:
                 rows = part[part["arrays"].isna()]
                 if len(rows) and at == key:
                     low, high = (rows[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("low", "high"))
-                    found, keeper = probe(opened, low, high)
+                    found, keeper = probe(opened, low, high, min_docs)
                     doc = rows["doc_id"].to_numpy().astype(np.int64)
                     drop = found & (keeper != doc)
                     hashes = [a.tobytes() + b.tobytes() for a, b in zip(low[drop], high[drop], strict=True)]
@@ -246,7 +252,7 @@ def _probe_streamed(docs: DataFrame, arrays: DataFrame, shards: int, min_chars:
     with_drops = own.join(drops.withColumnRenamed("doc_id", "_key"), "_key", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", TEXT_BYTES):
             cols = zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("drops").to_pylist(), strict=True)
             yield _emit([_apply(d, t, line_keys(t, min_chars), set(x or ())) for d, t, x in cols])
 

@@ -660,3 +660,32 @@ def test_pipeline_stages_keep_clashing_columns(spark, docs):
         assert got.columns == docs.columns, name
         found = bag(got, *got.columns)
         assert set(found) <= rows and len(found) == want, name
+
+
+def test_very_long_texts(spark):
+    """One text of six megabytes beside short ones: whole results from every operator that cuts its batches."""
+    rng = np.random.default_rng(9)
+    some = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(400)]
+    lines = [" ".join(some[i] for i in rng.integers(0, 400, 12)) for _ in range(70_000)]
+    item = "a passage of a benchmark item that stands at the very end of it"
+    long = "\n".join(lines) + "\nUnder the General Public License\n" + item
+    assert len(long) > 5 << 20
+    rows = [(1, long), (2, "short"), (3, None), (4, lines[0] + "\n" + lines[0]), (5, lines[0]), (6, lines[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert kept[1]["n_lines"] == 70_002 and kept[1]["n_dropped"] >= 1 and kept[6]["n_dropped"] == 0
+    found = {r["doc_id"]: r for r in license_scan.scan(docs)[0].collect()}
+    assert found[1]["n_words"] == len(license_scan._word.findall(long.encode())) and found[1]["base_labels"] == "gpl"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert bag(decontaminate.find(docs, items), "doc_id", "distance") == [(1, 0)]
+    model = quality.Model(np.zeros(len(quality.NAMES)), np.ones(len(quality.NAMES)), np.ones(2 * len(quality.NAMES) + 1) / 50)
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert scores[1] == pytest.approx(model.scores(np.array([quality.features(long.encode())]))[0], abs=1e-8)
+    path = scratch_path(spark, "long")
+    media.write_media(docs, path)
+    assert {r["doc_id"]: r["payload_sha256"] for r in media.read_media(spark, path).collect()}[1] == hashlib.sha256(media.payload(long.encode())).hexdigest()
+    near = {r["doc_id"]: r["n_shingles"] for r in near_dup.classes(docs).collect()}
+    words = WORD.findall(long.lower())
+    assert near[1] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs).collect()}
+    assert counted[1] == len(load(TOKENIZER).encode(long, add_special_tokens=False).ids)

@@ -34,8 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_made: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in this application's part of the shared folder, which goes when the driver ends."""
+    root = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if root not in _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _made.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:

@@ -152,6 +152,11 @@ def chunk_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.table(_name(path)) if spark.catalog.tableExists(_name(path)) else spark.read.parquet(f"{path}/chunks")
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Takes the chunk table's name out of the session's catalogue; the store's files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {_name(path)}")
+
+
 READ = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 #: A chunk that more payloads than this refer to is joined apart from the others.
 HOT_REFS = 4_096
@@ -233,4 +238,6 @@ def read_media(spark: SparkSession, path: str, bases: tuple[str, ...] = ()) -> D
 def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "media")
     write_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return read_media(spark, path)
+    found = read_media(spark, path)
+    forget(spark, path)
+    return found

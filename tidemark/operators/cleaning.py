@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
+from ..sources.files import staged
 
 
 def series(key: str = "asset", date: str = "date") -> W:
@@ -145,6 +146,6 @@ def macro_changes(panel: DataFrame, levels: tuple[str, ...] = config.LEVEL_FACTO
 
 def clean_prices(panel: DataFrame) -> DataFrame:
     """The whole sequence for prices: coverage, filling, outliers, business days. The filled cells, a row a series and
-    date, are cached, as outliers and the rebuilding read them again."""
-    cells = complete_dates(fill(keep_covered(scaffold(panel.cache())))).cache()
+    date, are staged in a file, as outliers and the rebuilding read them again."""
+    cells = staged(complete_dates(fill(keep_covered(scaffold(staged(panel, "panel"))))), "cells")
     return business_days(rebuilt(cells, winsorized(simple_returns(cells))))

@@ -12,6 +12,7 @@ from ..operators import risk as R
 from ..operators import simulate as M
 from ..operators import validation as V
 from ..sources import panels as P
+from ..sources.files import staged
 from .portfolio_queries import UNIFORM
 from .registry import MACRO, WEEKLY, WEEKLY_RETURNS, query, r
 from .risk_queries import DD, PERF, PORT, VOL, portfolios
@@ -26,8 +27,8 @@ STRATEGIES = """an AS (SELECT DISTINCT asset FROM panel), sw AS (SELECT 'equal'
 
 
 def days(spark: SparkSession, d: str) -> DataFrame:
-    """Cached (a row an asset and day): the plans below use it several times."""
-    return C.business_days(P.weekly_prices(spark, d)).select("date", "asset", "price").cache()
+    """Staged in a file (a row an asset and day): the plans below use it several times."""
+    return staged(C.business_days(P.weekly_prices(spark, d)).select("date", "asset", "price"), "days")
 
 
 def strategies(prices: DataFrame) -> DataFrame:

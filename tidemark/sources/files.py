@@ -96,10 +96,28 @@ def each_factor(readers: list[tuple[str, Callable[[str], DataFrame]]], factors:
     return reduce(DataFrame.unionByName, found)
 
 
+_made: set[str] = set()
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or the warehouse."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir, or the warehouse), in a part that
+    goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/tidemark-files/{name}-{uuid.uuid4().hex[:12]}"
+    root = f"{base}/tidemark-files-{spark.sparkContext.applicationId}"
+    if root not in _made:
+        fs, at = _fs(spark, root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _made.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(frame: DataFrame, name: str) -> DataFrame:
+    """frame, written to a workspace and read again: for what several branches of a plan read. Nothing stays in the
+    executors' memory."""
+    path = workspace(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def collection_metadata(panel: DataFrame, macro: DataFrame, requested: list[str], source: str) -> DataFrame:

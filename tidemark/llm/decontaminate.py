@@ -165,9 +165,13 @@ class Matcher:
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of at most BLOCK_BYTES, in item_id order, streamed to the driver a partition at a time."""
+    """The items in blocks of at most BLOCK_BYTES, in item_id order: one block is fetched at once, more are streamed to the
+    driver a partition at a time."""
     block, size = [], 0
-    for row in items.select("item_id", "text").filter(F.length("text") > 0).orderBy("item_id", "text").toLocalIterator():
+    held = items.select("item_id", "text").filter(F.length("text") > 0)
+    total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = held.orderBy("item_id", "text")
+    for row in ordered.collect() if total <= BLOCK_BYTES else ordered.toLocalIterator():
         text = row["text"].encode()
         if block and size + len(text) > BLOCK_BYTES:
             yield block

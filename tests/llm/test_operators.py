@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, license_scan, line_dedup, media, mixing, near_dup, quality, suffix_dedup, token_counts, token_output
+from tidemark.llm import common, decontaminate, license_scan, line_dedup, media, mixing, near_dup, quality, suffix_dedup, token_counts, token_output
 from tidemark.llm.common import scratch_path
 from tidemark.llm.tokens import TOKENIZER, load
 
@@ -597,6 +597,27 @@ def test_fit_turns_back_where_the_negatives_risk_is_below_zero():
     assert negative > -0.5 and np.abs(model.weights).max() < 20
 
 
+# --- what they share
+
+
+@pytest.mark.parametrize("hot_rows, broadcast", [(1024, 32 << 20), (3, 32 << 20), (3, 0)])
+def test_join_by_hot_keys(spark, monkeypatch, hot_rows, broadcast):
+    """The join is the plain one whether hot keys are none, broadcast, or dealt to several tasks."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
+    rows = [(k % 7 if k % 2 else 100, k) for k in range(60)] + [(None, 1), (55, 2)]
+    left = spark.createDataFrame(rows, "key long, place long")
+    counts = common.scratch(left.filter("key != 55").groupBy("key").agg(F.count("*").alias("n"), F.max("place").alias("most")), "counts")
+    got = common.join_hot(left, counts, ["key"], "n", "place")
+    want = sorted((k, p, max(q for j, q in rows if j == k)) for k, p in rows if k not in (None, 55))
+    assert sorted(map(tuple, got.select("key", "place", "most").collect())) == want
+
+
+def test_names_that_are_free(spark):
+    frame = spark.createDataFrame([(1, 2)], "Copy long, copy_ long")
+    assert common.free_name(frame, "copy") == "copy__" and common.free_name(frame, "other") == "other"
+
+
 # --- all
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest as T
 from ..operators import cleaning as C
+from ..operators import optimize as O
 from ..operators import report as D
 from ..operators import risk as R
 from ..operators import simulate as M
@@ -405,6 +406,14 @@ def report_top_holdings(spark: SparkSession, d: str) -> DataFrame:
     return D.top_holdings(weights, 3)
 
 
+@query(f"WITH {PORT} SELECT portfolio, asset, {r('weight', 'weight')} FROM pw WHERE weight > 0.15")
+def portfolio_held(spark: SparkSession, d: str) -> DataFrame:
+    """The assets that a portfolio holds more than a sliver of."""
+    returns = weekly_returns(spark, d)
+    weights = T.normalised(portfolios(returns).withColumnRenamed("portfolio", "strategy"), returns).withColumnRenamed("strategy", "portfolio")
+    return O.held(weights, 0.15)
+
+
 @query(f"WITH {PORT} SELECT portfolio, CASE WHEN weight > 0.15 THEN asset ELSE 'Other' END AS asset, {r('sum(weight)', 'weight')} FROM pw GROUP BY 1, 2")
 def report_bucketed(spark: SparkSession, d: str) -> DataFrame:
     returns = weekly_returns(spark, d)

@@ -393,7 +393,7 @@ def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
 
 
 #: Which text of a page counts: that of the first of these that the page has.
-ARTICLE, MAIN, CONTENT, REGION = range(4)
+ARTICLE, MAIN, CONTENT, REGION, REST = range(5)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -470,7 +470,7 @@ def slots(node: Node, pages: int) -> Slots:
                 out.children[x] = walk(p, below, (heads or mark == "~") and name not in HEADINGS)
         return out
 
-    return walk(node, frozenset(), False)
+    return walk(node, frozenset({REST}), False)
 
 
 @lru_cache(64)
@@ -480,7 +480,7 @@ def _slots_of(wrapper: str, pages: int) -> Slots:
 
 def matched(text: str, wrapper: Slots) -> str:
     """The article of a page that the wrapper takes: blocks in order, one a line."""
-    found: dict[int, list[str]] = {level: [] for level in (ARTICLE, MAIN, CONTENT, REGION)}
+    found: dict[int, list[str]] = {level: [] for level in (ARTICLE, MAIN, CONTENT, REGION, REST)}
     parts: dict[int, list[str]] = {level: [] for level in found}
 
     def end_block() -> None:
@@ -490,6 +490,7 @@ def matched(text: str, wrapper: Slots) -> str:
             own.clear()
 
     stack: list[Slots | None] = [wrapper]
+    present = set(wrapper.levels)
     deeper = 0
     for kind, own in tokens(text):
         if kind == TEXT:
@@ -512,12 +513,14 @@ def matched(text: str, wrapper: Slots) -> str:
             else:
                 here = stack[-1]
                 stack.append(None if here is None else here.child(own))
+                if stack[-1] is not None:
+                    present |= stack[-1].levels
         elif deeper:
             deeper -= 1
         else:
             stack.pop()
     end_block()
-    return next(("\n".join(lines) for lines in found.values() if lines), "")
+    return "\n".join(found[min(present)])
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
@@ -533,8 +536,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages.
 
     Null or empty html gives an empty text; pages without a url, or with one that isn't absolute, share a host; rows that
-    repeat a page_id are judged each by itself; other columns aren't read; no pages give no rows. A page that has nothing
-    of the article's kind gives what the next kind holds, and an empty text if none holds any."""
+    repeat a page_id are judged each by itself; other columns aren't read; no pages give no rows. A page without
+    an element of the article's kind gives what the next kind holds, at last all texts that aren't marked as outside; an
+    article without text gives an empty one."""
     own = with_host(pages)
     found = wrappers(pages)
     if (found.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:

@@ -31,7 +31,7 @@ from .decontaminate import _blocks
 from .terms import stretches, table
 
 #: Bytes of text and documents a shard; a longer text is a shard of its own.
-SHARD_BYTES, SHARD_DOCS = 8 << 20, 1 << 18
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 18
 #: Cells (stretches times terms) of one step of a search.
 STEP_CELLS = 1 << 15
 #: Stands for a doc_id that is null: it comes last among equals.
@@ -181,21 +181,24 @@ class Shard:
     lefts: np.ndarray
 
     def narrowed(self, at: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For rows of subtrees, those whose roots are the first inside (low, high) of their row."""
-        at, end = at.copy(), end.copy()
-        rows, columns = np.nonzero(at < end)
-        while len(rows):
-            node = at[rows, columns]
+        """For rows of subtrees, those whose roots are the first inside (low, high) of their row; at and end are the
+        caller's own and change."""
+        out_at, out_end = at.ravel(), end.ravel()
+        cells = np.flatnonzero(out_at < out_end)
+        rows = cells // at.shape[1]
+        node, stop, low, high = out_at[cells], out_end[cells], low[rows], high[rows]
+        while len(cells):
             doc = self.docs[node]
-            right, left = doc <= low[rows], doc >= high[rows]
-            moved = right | left
-            rows, columns, node, right = rows[moved], columns[moved], node[moved], right[moved]
-            after = node + 1 + self.lefts[node]
-            at[rows, columns] = np.where(right, after, node + 1)
-            end[rows, columns] = np.where(right, end[rows, columns], after)
-            full = at[rows, columns] < end[rows, columns]
-            rows, columns = rows[full], columns[full]
-        return at, end
+            right = doc <= low
+            moved = np.flatnonzero(right | (doc >= high))
+            cells, node, stop, low, high, right = (x[moved] for x in (cells, node, stop, low, high, right))
+            first = node + 1
+            after = first + self.lefts[node]
+            node, stop = np.where(right, after, first), np.where(right, stop, after)
+            out_at[cells], out_end[cells] = node, stop
+            full = np.flatnonzero(node < stop)
+            cells, node, stop, low, high = (x[full] for x in (cells, node, stop, low, high))
+        return out_at.reshape(at.shape), out_end.reshape(at.shape)
 
     def parts(self, at: np.ndarray, end: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What each subtree's root adds to a score."""
@@ -219,10 +222,12 @@ class Shard:
             own_at, own_end, own_low, own_high = at[now], end[now], low[now], high[now]
             lead = self.parts(own_at, own_end, weights).argmax(axis=1)
             doc = self.docs[own_at[np.arange(len(now)), lead]].astype(np.int64)
-            hit = self.narrowed(own_at, own_end, doc - 1, doc + 1)
-            best.add(self.parts(*hit, weights).sum(axis=1), self.ids[doc])
-            sides = [(*self.narrowed(own_at, own_end, own_low, doc), own_low, doc), (*self.narrowed(own_at, own_end, doc, own_high), doc, own_high)]
-            bounds = [self.parts(side[0], side[1], weights).sum(axis=1) for side in sides]
+            lows, highs = np.stack([doc - 1, own_low, doc]), np.stack([doc + 1, doc, own_high])  # the document, and its two sides
+            three_at, three_end = self.narrowed(np.tile(own_at, (3, 1)), np.tile(own_end, (3, 1)), lows.ravel(), highs.ravel())
+            score, *bounds = self.parts(three_at, three_end, weights).sum(axis=1).reshape(3, -1)
+            best.add(score, self.ids[doc])
+            n = len(now)
+            sides = [(three_at[k * n : (k + 1) * n], three_end[k * n : (k + 1) * n], lows[k], highs[k]) for k in (1, 2)]
             full = [b > 0 for b in bounds]
             at, end, low, high = (np.concatenate([x[later], *(side[k][f] for side, f in zip(sides, full, strict=True))]) for k, x in enumerate((at, end, low, high)))
             bound = np.concatenate([bound[later], *(b[f] for b, f in zip(bounds, full, strict=True))])

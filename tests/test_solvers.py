@@ -99,7 +99,7 @@ def returns(spark):
 
 
 def test_frontier_properties(returns):
-    frontier = optimize.random_frontier(returns, 100)
+    frontier = optimize.random_frontier(returns, 100).cache()  # one evaluation, as sums hang on the order of rows
     rows = frontier.collect()
     best = {r["kind"]: r for r in optimize.best_of(frontier).collect()}
     assert len(rows) == 100

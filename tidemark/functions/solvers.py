@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import programs
+
 
 def quadratic(h: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray | None:
     """The x that minimises x'Hx/2 + c'x with Ax = b and low <= x <= high, H positive semidefinite; None if there is
@@ -116,36 +118,27 @@ def utility(mu: np.ndarray, sigma: np.ndarray, aversion: float, low: float = 0.0
 def max_sharpe(mu: np.ndarray, sigma: np.ndarray, rf: float, low: float = 0.0, high: float = 1.0, extra: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray | None:
     """The weights of the greatest (mu'w - rf) / sqrt(w'Sw); None if no weights fit.
 
-    While some weights earn more than rf, the least w'Sw for a return is a quadratic program, the ratio along returns has
-    one peak, and golden section finds it. Where none do, the ratio is not quasi-concave: a loss is best spread over much
-    variance, so the best weights may be a vertex. Then the best of the peaks is taken that ascents from every asset and
-    pair of assets reach: a search that random portfolios didn't beat in tests, not a proof."""
+    Within bounds alone it is on the frontier's critical lines while some weights earn more than rf, and at a vertex, by
+    branch and bound, where none do. With equalities it is one program in scaled weights; where none of those weights
+    earn more than rf, the best of the peaks is taken that ascents from every asset and pair of assets reach: a search
+    that random portfolios didn't beat in tests, not a proof."""
     n = len(mu)
-    base = extra or (np.zeros((0, n)), np.zeros(0))
-    safe = min_variance(sigma, low, high, base)
+    bounds = box(n, low, high)
+    if extra is None or not len(extra[0]):
+        found = programs.corners(mu, sigma, *bounds)
+        if not found:
+            return None
+        if found[0].weights @ mu > rf:
+            return programs.best_ratio(found, mu, sigma, rf)
+        return programs.best_vertex(mu, sigma, rf, *bounds)[0]
+    if (best := programs.max_sharpe(mu, sigma, rf, *bounds, extra)) is not None:
+        return best
+    safe = min_variance(sigma, low, high, extra)
     if safe is None:
         return None
-    top = linear_max(mu, low, high, base)
-
-    def ratio(w: np.ndarray) -> float:
-        return float((w @ mu - rf) / np.sqrt(max(w @ sigma @ w, 1e-18)))
-
-    if top @ mu <= rf:
-        return max((_ascent(w, mu, sigma, rf, low, high, base) for w in (safe, top, *_vertices(n, low, high, base))), key=ratio)
-
-    def at(target: float) -> np.ndarray:
-        w = min_variance(sigma, low, high, (np.vstack([base[0], mu]), np.append(base[1], target)))
-        return safe if w is None else w
-
-    a, b = float(safe @ mu), float(top @ mu)
-    golden = (5**0.5 - 1) / 2
-    for _ in range(60):
-        c, d = b - golden * (b - a), a + golden * (b - a)
-        if ratio(at(c)) < ratio(at(d)):
-            a = c
-        else:
-            b = d
-    return max((at(a), at(b), safe, top), key=ratio)
+    top = linear_max(mu, low, high, extra)
+    ratio = lambda w: float((w @ mu - rf) / np.sqrt(max(w @ sigma @ w, 1e-18)))
+    return max((_ascent(w, mu, sigma, rf, low, high, extra) for w in (safe, top, *_vertices(n, low, high, extra))), key=ratio)
 
 
 def _vertices(n: int, low: float, high: float, extra: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:

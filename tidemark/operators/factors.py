@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import solvers
 from .cleaning import complete_dates
-from .optimize import weights_frame
+from .optimize import Limits, weights_frame, within
 
 
 def _sides(ranked: DataFrame, share: float) -> DataFrame:
@@ -95,11 +95,18 @@ def estimate(returns: DataFrame, factors: DataFrame) -> Exposures:
     return Exposures(assets, names, np.array(beta), mean, (best - n * np.outer(mean, mean)) / (n - 1), np.array(residual))
 
 
-def optimise(returns: DataFrame, model: Exposures, objective: str = "sharpe", aversion: float = 1.0, target: float | None = None, rf: float = config.RISK_FREE_RATE, low: float = config.MIN_WEIGHT, high: float = config.MAX_WEIGHT, equal: list[tuple[dict[str, float], float]] = ()) -> DataFrame:
-    """Weights by factor moments; equal holds linear equalities ({asset: coefficient}, value)."""
+def optimise(returns: DataFrame, model: Exposures, objective: str = "sharpe", aversion: float = 1.0, target: float | None = None, rf: float = config.RISK_FREE_RATE, low: float = config.MIN_WEIGHT, high: float = config.MAX_WEIGHT, equal: list[tuple[dict[str, float], float]] = (), limits: Limits | None = None) -> DataFrame:
+    """Weights by factor moments; equal holds linear equalities ({asset: coefficient}, value), limits inequalities and
+    bounds of single assets. No rows if no weights fit."""
     m, s = model.expected(), model.covariance()
     rows = np.array([[c.get(k, 0.0) for k in model.assets] for c, _ in equal]).reshape(-1, len(m))
     extra = (rows, np.array([v for _, v in equal]))
+    if limits is not None:
+        kind = objective
+        if objective == "efficient_return" and target is not None:
+            kind, extra = "min_variance", (np.vstack([rows, m]), np.append(extra[1], target))
+        w = within(model.assets, m, s, kind, limits, low, high, rf, aversion, extra)
+        return weights_frame(returns.sparkSession, f"factor_{objective}", model.assets, w)
     if objective == "sharpe":
         w = solvers.max_sharpe(m, s, rf, low, high, extra)
     elif objective == "min_variance":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions import solvers, stats
+from ..functions import programs, solvers, stats
 from .validation import pair_stats
 
 WEIGHTS = "portfolio string, asset string, weight double"
@@ -70,10 +71,11 @@ def best_of(frontier: DataFrame) -> DataFrame:
     return low.unionByName(frontier.orderBy(F.desc("sharpe"), "portfolio").limit(1).select(F.lit("max_sharpe").alias("kind"), "*"))
 
 
-def solve(returns: DataFrame, portfolio: str, program: Callable[[np.ndarray, np.ndarray], np.ndarray | None]) -> DataFrame:
+def solve(returns: DataFrame, portfolio: str, program: Callable[..., np.ndarray | None], named: bool = False) -> DataFrame:
+    """The weights of program(means, covariances), or of program(means, covariances, names)."""
     mu, cov = moments(returns)
     names, m, s = arrays(mu, cov)
-    return weights_frame(returns.sparkSession, portfolio, names, program(m, s))
+    return weights_frame(returns.sparkSession, portfolio, names, program(m, s, names) if named else program(m, s))
 
 
 def max_sharpe(returns: DataFrame, rf: float = config.RISK_FREE_RATE) -> DataFrame:
@@ -98,20 +100,74 @@ def risk_parity(returns: DataFrame, budget: list[float] | None = None) -> DataFr
     return returns.sparkSession.createDataFrame(rows, f"{WEIGHTS}, risk_share double")
 
 
+def frontier_corners(returns: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """corner (0 the greatest mean), asset, weight, expected_return, volatility, and price: what a unit of mean is worth in
+    half the variance, 0 at the least variance. Every efficient portfolio is on a line between neighbouring corners."""
+    mu, cov = moments(returns)
+    names, m, s = arrays(mu, cov)
+    rows = []
+    for k, c in enumerate(programs.corners(m, s, *solvers.box(len(m), low, high))):
+        rows += [(k, n, float(x), float(c.weights @ m), float(np.sqrt(c.weights @ s @ c.weights)), c.price) for n, x in zip(names, c.weights, strict=True)]
+    return returns.sparkSession.createDataFrame(rows, "corner int, asset string, weight double, expected_return double, volatility double, price double")
+
+
 def frontier_curve(returns: DataFrame, points: int = 20) -> DataFrame:
     """point, asset, weight, expected_return, volatility for targets from the least-volatility return to 0.9 times the
-    greatest mean; targets without a solution have no rows."""
+    greatest mean, between the frontier's corners (those of the lower half, if the targets fall); targets without a
+    solution have no rows."""
     mu, cov = moments(returns)
     names, m, s = arrays(mu, cov)
-    safe = solvers.min_variance(s)
+    upper = programs.corners(m, s, *solvers.box(len(m), 0.0, 1.0))
+    safe, last = float(upper[-1].weights @ m), 0.9 * float(m.max())
+    lower = programs.corners(-m, s, *solvers.box(len(m), 0.0, 1.0)) if last < safe else []
     rows = []
-    for k, target in enumerate(np.linspace(safe @ m, 0.9 * m.max(), points)):
-        w = solvers.min_variance(s, extra=(m[None, :], np.array([target])))
+    for k, target in enumerate(np.linspace(safe, last, points)):
+        w = programs.at_mean(upper, m, target) if target >= safe else programs.at_mean(lower, -m, -target)
         if w is not None:
             rows += [(k, n, float(x), float(w @ m), float(np.sqrt(w @ s @ w))) for n, x in zip(names, w, strict=True)]
     return returns.sparkSession.createDataFrame(rows, "point int, asset string, weight double, expected_return double, volatility double")
 
 
+@dataclass
+class Limits:
+    """Inequalities on weights: groups as ({asset: coefficient}, most), each sum at most its value; turnover as (held
+    weights, most): the sum of changes from them; bounds of single assets as {asset: (low, high)}."""
+
+    groups: list[tuple[dict[str, float], float]] = field(default_factory=list)
+    turnover: tuple[dict[str, float], float] | None = None
+    bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+
+def within(names: list[str], m: np.ndarray, s: np.ndarray, objective: str, limits: Limits, low: float = 0.0, high: float = 1.0, rf: float = config.RISK_FREE_RATE, aversion: float = 1.0, equal: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray | None:
+    """The weights of an objective (min_variance, utility, max_return, sharpe) within limits; None if none fit, and for
+    sharpe also if none that fit earn more than rf."""
+    n = len(names)
+    below = (np.array([[c.get(k, 0.0) for k in names] for c, _ in limits.groups]).reshape(-1, n), np.array([v for _, v in limits.groups], float))
+    pairs = [limits.bounds.get(k, (low, high)) for k in names]
+    lower, upper = np.array([p[0] for p in pairs], float), np.array([p[1] for p in pairs], float)
+    rows = np.vstack([np.ones(n), *([equal[0]] if equal else [])])
+    both = rows, np.append(1.0, equal[1] if equal else [])
+    held, most = (None, 0.0) if limits.turnover is None else (np.array([limits.turnover[0].get(k, 0.0) for k in names]), limits.turnover[1])
+
+    def solve(caps: tuple[np.ndarray, np.ndarray]) -> np.ndarray | None:
+        if objective == "min_variance":
+            return programs.program(s, np.zeros(n), both, caps, lower, upper).x
+        if objective == "utility":
+            return programs.program(aversion * s, -m, both, caps, lower, upper).x
+        if objective == "max_return":
+            return programs.linear(-m, both, caps, lower, upper)
+        if objective == "sharpe":
+            return programs.max_sharpe(m, s, rf, lower, upper, equal, caps)
+        raise ValueError(f"no objective {objective}")
+
+    return programs.with_turnover(solve, n, below, held, most)
+
+
+def limited(returns: DataFrame, objective: str, limits: Limits, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """portfolio, asset, weight within limits; no rows if no weights fit."""
+    return solve(returns, f"limited_{objective}", lambda m, s, names: within(names, m, s, objective, limits, low, high), True)
+
+
 def capital_market_line(best: DataFrame, highest: float, rf: float = config.RISK_FREE_RATE, points: int = 100) -> DataFrame:
     """x, y from (0, rf) through the best portfolio (expected_return, volatility; one row), to 1.2 times highest."""
     grid = best.sparkSession.range(points).select((F.col("id") * (1.2 * highest / (points - 1))).alias("x"))

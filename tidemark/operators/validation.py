@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from .cleaning import complete_dates, series
+from .gram import pair_stats
 
 
 def profile(cells: DataFrame) -> DataFrame:
@@ -93,16 +94,6 @@ def adf(returns: DataFrame, level: float = 0.05, least: int = 11) -> DataFrame:
     return returns.select("date", "asset", "ret").groupBy("asset").applyInPandas(test, "asset string, adf_stat double, p_value double, stationary boolean")
 
 
-def pair_stats(returns: DataFrame) -> DataFrame:
-    """asset_i, asset_j, correlation and cov (daily) of every ordered pair over dates that both have. Pairs of one half
-    are computed and mirrored."""
-    a = returns.select("date", F.col("asset").alias("asset_i"), F.col("ret").alias("x"))
-    b = returns.select("date", F.col("asset").alias("asset_j"), F.col("ret").alias("y"))
-    half = a.join(b, "date").filter("asset_i <= asset_j").groupBy("asset_i", "asset_j").agg(F.corr("x", "y").alias("correlation"), F.covar_samp("x", "y").alias("cov"))
-    mirror = half.filter("asset_i < asset_j").select(F.col("asset_j").alias("asset_i"), F.col("asset_i").alias("asset_j"), "correlation", "cov")
-    return half.unionByName(mirror)
-
-
 def correlation_flags(pairs: DataFrame, same: float = 0.99, opposite: float = -0.9) -> DataFrame:
     """asset_i < asset_j with flag duplicate or extreme_negative; a pair may have both."""
     half = pairs.filter("asset_i < asset_j").select("asset_i", "asset_j", "correlation")

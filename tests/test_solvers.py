@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from tidemark.functions import solvers
-from tidemark.operators import backtest, black_litterman, factors, optimize, simulate, validation
+from tidemark.operators import backtest, black_litterman, factors, optimize, simulate, stationarity, validation
 
 SIGMA = np.array([[4, 2, 1, 0], [2, 5, 0, 1], [1, 0, 6, -1], [0, 1, -1, 8]]) * 1e-4
 MU = np.array([5, 4, 6, 8]) * 1e-4
@@ -123,12 +123,48 @@ def test_regression_equals_least_squares(returns):
     assert factors.tilted(returns, model, {"SMB": 50.0})[1] == "infeasible"
 
 
-def test_adf_tells_noise_from_a_walk():
+def plain_adf(x):
+    """By regressions on whole columns of lagged changes."""
+    n, dx = len(x), np.diff(x)
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+
+    def fit(lags, skip):
+        rows = np.arange(skip, len(dx))
+        design = np.column_stack([x[rows], *(dx[rows - j] for j in range(1, lags + 1)), np.ones(len(rows))])
+        beta, *_ = np.linalg.lstsq(design, dx[rows], rcond=None)
+        ssr = ((dx[rows] - design @ beta) ** 2).sum()
+        spread = ssr / (len(rows) - design.shape[1]) * np.linalg.pinv(design.T @ design)[0, 0]
+        return beta[0] / math.sqrt(spread), len(rows) * (math.log(2 * math.pi) + math.log(ssr / len(rows)) + 1) + 2 * design.shape[1]
+
+    best = min(range(most + 1), key=lambda lags: fit(lags, most)[1])
+    return fit(best, best)[0]
+
+
+def test_adf_equals_regressions_on_columns(spark):
     rng = np.random.default_rng(1)
     noise = rng.normal(size=400)
-    assert validation.adf_p(validation.adf_statistic(noise)) < 0.01
-    assert validation.adf_p(validation.adf_statistic(np.cumsum(noise))) > 0.05
-    assert validation.adf_p(-2.86) == pytest.approx(0.05, abs=0.002) and validation.adf_p(-3.43) == pytest.approx(0.01, abs=0.001)
+    cases = {"noise": noise, "walk": np.cumsum(noise), "short": noise[:11], "twelve": noise[:30], "long": np.convolve(rng.normal(size=3000), [1, 0.5, 0.3, -0.4]), "level": 0.001 * noise + 5}
+    start = pd.Timestamp("2000-01-01")
+    rows = [((start + pd.Timedelta(days=i)).date(), k, float(v)) for k, x in cases.items() for i, v in enumerate(x)]
+    rows += [(start.date(), "tiny", 0.1), (start.date(), "null", None), *(((start + pd.Timedelta(days=i)).date(), "flat", 0.1) for i in range(40))]
+    got = {r["asset"]: r for r in validation.adf(spark.createDataFrame(rows, "date date, asset string, ret double")).collect()}
+    for k, x in cases.items():
+        assert got[k]["adf_stat"] == pytest.approx(plain_adf(x), rel=1e-6)
+        assert got[k]["p_value"] == pytest.approx(stationarity.adf_p(plain_adf(x)), abs=1e-6)
+    assert [tuple(got[k])[1:] for k in ("tiny", "flat")] == [(0.0, 1.0, False)] * 2 and "null" not in got
+    assert got["noise"]["p_value"] < 0.01 and got["walk"]["p_value"] > 0.05
+    assert stationarity.adf_p(-2.86) == pytest.approx(0.05, abs=0.002) and stationarity.adf_p(-3.43) == pytest.approx(0.01, abs=0.001)
+
+
+def test_as_of_over_many_buckets(spark):
+    rng = np.random.default_rng(5)
+    day = lambda k: (pd.Timestamp("2020-01-01") + pd.Timedelta(days=int(k))).date()
+    right = [(key, day(k), None if rng.random() < 0.2 else float(k)) for key in "ab" for k in sorted(rng.choice(900, 25, replace=False))]
+    left = [(key, day(k)) for key in "abc" for k in range(0, 900, 3)]
+    want = [(key, d, next((v for q, at, v in reversed(right) if q == key and at <= d and v is not None), None)) for key, d in left]
+    frames = spark.createDataFrame(left, "strategy string, date date"), spark.createDataFrame(right, "strategy string, date date, weight double")
+    for days in (7, 30, 10_000):
+        assert sorted(map(tuple, backtest.as_of(*frames, days=days).collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_stress_goldens(spark):

@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import feeds, files, synthetic
+from tidemark.sources import feeds, files, payload_source, synthetic
 
 
 def test_wide_csv_round_trip(spark, tmp_path):
@@ -23,7 +23,10 @@ def test_names_of_files_and_the_newest(spark, tmp_path):
         time.sleep(1.1)
     records = files.read_records(spark, f"{tmp_path}/mc_stats_*.json", r"mc_stats_(\w+)\.json", "method")
     assert sorted(r["method"] for r in records.collect()) == ["a", "b"]
-    assert [r["of"] for r in files.newest(spark.read.option("multiLine", True).json(f"{tmp_path}/mc_stats_*.json")).collect()] == ["mc_stats_a.json"]
+    last = spark.read.option("multiLine", True).json(files.newest(spark, f"{tmp_path}/mc_stats_*.json"))
+    assert [r["of"] for r in last.collect()] == ["mc_stats_a.json"] and len(last.inputFiles()) == 1
+    with pytest.raises(FileNotFoundError):
+        files.newest(spark, f"{tmp_path}/none*.json")
     assert files.catalogue(spark, f"{tmp_path}/*.json").count() == 2
     with pytest.raises(FileNotFoundError):
         files.require(spark, f"{tmp_path}/mc_stats_a.json", f"{tmp_path}/none.csv")
@@ -86,3 +89,24 @@ def test_each_factor_comes_from_the_first_source_that_has_it(spark):
     assert sorted((r["factor"], r["source"]) for r in files.each_factor(readers, ["a", "b", "c"]).collect()) == [("a", "only a"), ("b", "all")]
     with pytest.raises(ValueError):
         files.each_factor(readers, ["c"])
+
+
+def test_payload_format(spark, tmp_path):
+    base = tmp_path / "payloads"
+    for folder, lines in (
+        ("asset=A%20B", [json.dumps({"Time Series (Daily)": {"2021-01-04": {"4. close": "1.5"}, "2022-01-04": {"4. close": "9"}, "2022-01-05": {}}}), ""]),
+        ("asset=C", [json.dumps({"results": [{"t": 1609718400000, "c": 2.5}, {"t": 1609718400000, "c": None}]}), json.dumps({})]),
+        ("asset=D", ["not json"]),
+    ):
+        (base / folder).mkdir(parents=True)
+        (base / folder / "part-0.txt").write_text("\n".join(lines))
+    payload_source.register(spark)
+    frame = spark.read.format("payloads").load(str(base))
+    known = frame.filter(F.col("asset").isin("A B", "C"))  # the folder of D isn't opened
+    assert sorted((str(r["date"]), r["asset"], r["price"]) for r in known.collect()) == [("2021-01-04", "A B", 1.5), ("2021-01-04", "C", 2.5), ("2022-01-04", "A B", 9.0)]
+    later = spark.read.format("payloads").load(f"file://{base}").filter("asset = 'A B' AND date > DATE '2021-01-04' AND price > 1")
+    assert [r["price"] for r in later.collect()] == [9.0]
+    reader = payload_source.PayloadReader(str(base))
+    left = list(reader.pushFilters([payload_source.EqualTo(("asset",), "C"), payload_source.GreaterThan(("price",), 1.0)]))
+    assert [f.attribute for f in left] == [("price",)] and [p.names for p in reader.partitions()] == [[("C", f"{base}/asset=C/part-0.txt")]]
+    assert frame.filter("asset = 'none'").count() == 0

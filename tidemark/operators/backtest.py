@@ -143,12 +143,20 @@ def callback_weights(returns: DataFrame, rebalances: DataFrame, fn, rows: int =
     return windows.groupBy("at").applyInPandas(call, "strategy string, date date, asset string, weight double")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str = "strategy", value: str = "weight") -> DataFrame:
-    """left (key, date) with the last value of right (key, date, value) at or before each date: a union and one window
-    by key, so neither side is joined by range."""
+def as_of(left: DataFrame, right: DataFrame, key: str = "strategy", value: str = "weight", days: int = 30) -> DataFrame:
+    """left (key, date) with the last value of right (key, date, value) at or before each date; a null value of right
+    changes nothing.
+
+    Time is cut into buckets of days. Rows are sorted within key and bucket only, so one key is shared by as many tasks
+    as it has buckets; what a bucket starts with is carried on from the last of each bucket before, a row a bucket."""
     both = left.select(key, "date").withColumn("_left", F.lit(1)).unionByName(right.select(key, "date", value), allowMissingColumns=True)
-    order = W.partitionBy(key).orderBy("date", F.col("_left").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, True).over(order)).filter("_left = 1").select(key, "date", value)
+    both = both.withColumn("_bucket", F.floor(F.unix_date("date") / days))
+    within = W.partitionBy(key, "_bucket").orderBy("date", F.col("_left").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    lasts = both.groupBy(key, "_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("date"))).alias("_own"))
+    before = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # a row a bucket
+    carried = lasts.select(key, "_bucket", F.last("_own", True).over(before).alias("_carried"))
+    found = both.withColumn("_last", F.last(value, True).over(within)).filter("_left = 1").join(carried, [key, "_bucket"])
+    return found.select(key, "date", F.coalesce("_last", "_carried").alias(value))
 
 
 def derived_factor(macro: DataFrame, kind: str, rows: int = 252) -> DataFrame:

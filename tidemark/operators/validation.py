@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from .cleaning import complete_dates, series
 from .gram import pair_stats
+from .stationarity import adf  # noqa: F401
 
 
 def profile(cells: DataFrame) -> DataFrame:
@@ -41,59 +38,6 @@ def jarque_bera(returns: DataFrame, level: float = 0.05) -> DataFrame:
     return tested.withColumn("p_value", F.exp(-F.col("jb") / 2)).withColumn("normal", F.col("p_value") > level)
 
 
-#: MacKinnon's published response surface for the p-value of the test with a constant, one series:
-#: bounds, and polynomials in the statistic below and above the middle one.
-ADF_STAR, ADF_MIN, ADF_MAX = -1.61, -18.83, 2.74
-ADF_SMALL, ADF_LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
-
-
-def adf_p(stat: float) -> float:
-    if stat > ADF_MAX:
-        return 1.0
-    if stat < ADF_MIN:
-        return 0.0
-    terms = ADF_SMALL if stat <= ADF_STAR else ADF_LARGE
-    return 0.5 * math.erfc(-sum(c * stat**k for k, c in enumerate(terms)) / math.sqrt(2))
-
-
-def _ols(y: np.ndarray, x: np.ndarray) -> tuple[float, float]:
-    """The t-value of the first column and the information criterion of Akaike."""
-    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-    rest = y - x @ beta
-    n, k = x.shape
-    ssr = float(rest @ rest)
-    spread = ssr / (n - k) * np.linalg.pinv(x.T @ x)[0, 0]
-    return float(beta[0] / math.sqrt(spread)) if spread > 0 else 0.0, n * (math.log(2 * math.pi) + math.log(max(ssr, 1e-300) / n) + 1) + 2 * k
-
-
-def adf_statistic(x: np.ndarray) -> float:
-    """The augmented Dickey-Fuller statistic with a constant; lags up to 12 (n/100)^(1/4) by the least criterion over
-    one sample, then refitted on all rows that the chosen lag allows."""
-    n = len(x)
-    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
-    dx = np.diff(x)
-
-    def design(lags: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.arange(skip, len(dx))
-        past = [dx[rows - j] for j in range(1, lags + 1)]
-        return dx[rows], np.column_stack([x[rows], *past, np.ones(len(rows))])
-
-    best = min(range(most + 1), key=lambda lags: _ols(*design(lags, most))[1])
-    return _ols(*design(best, best))[0]
-
-
-def adf(returns: DataFrame, level: float = 0.05, least: int = 11) -> DataFrame:
-    """asset, adf_stat, p_value, stationary; a series of under least values gives 0, 1, false. One series is one group."""
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("date")["ret"].to_numpy(float)
-        stat = adf_statistic(x) if len(x) >= least and x.std() > 0 else 0.0
-        p = adf_p(stat) if len(x) >= least and x.std() > 0 else 1.0
-        return pd.DataFrame({"asset": [pdf["asset"].iloc[0]], "adf_stat": [stat], "p_value": [p], "stationary": [p < level]})
-
-    return returns.select("date", "asset", "ret").groupBy("asset").applyInPandas(test, "asset string, adf_stat double, p_value double, stationary boolean")
-
-
 def correlation_flags(pairs: DataFrame, same: float = 0.99, opposite: float = -0.9) -> DataFrame:
     """asset_i < asset_j with flag duplicate or extreme_negative; a pair may have both."""
     half = pairs.filter("asset_i < asset_j").select("asset_i", "asset_j", "correlation")

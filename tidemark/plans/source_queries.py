@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import report as D
 from ..operators import suites as S
-from ..sources import files, synthetic
+from ..sources import files, payload_source, synthetic
 from ..sources import panels as P
 from .registry import MACRO, WEEKLY, WEEKLY_RETURNS, query, r
 from .strategy_queries import FINAL, FINAL_COLUMNS, HISTORY, HORIZON, PATHS, history
@@ -23,11 +23,14 @@ def source_wide_csv(spark: SparkSession, d: str) -> DataFrame:
     return files.read_wide_csv(spark, path)
 
 
-@query(PANEL.replace("FROM panel", "FROM panel WHERE asset <> 'none'"))
+@query(f"WITH {WEEKLY} SELECT lower(asset) AS name, date, asset, {r('price', 'price')} FROM panel WHERE asset IN ('STANDARD', 'SMALL')")
 def source_json(spark: SparkSession, d: str) -> DataFrame:
-    path = files.workspace(spark, "json")
-    files.write_json(P.weekly_prices(spark, d), path)
-    return spark.read.schema("date date, asset string, price double").json(path)
+    """A JSON file for each of two assets, read by a glob with the asset from the file's name."""
+    base, panel = files.workspace(spark, "json"), P.weekly_prices(spark, d)
+    for asset in ("STANDARD", "SMALL"):
+        files.write_json(panel.filter(F.col("asset") == asset).coalesce(1), f"{base}/stats_{asset.lower()}")
+    found = files.read_records(spark, f"{base}/stats_*/*.json", r"stats_([a-z]+)/", "name", multiline=False)
+    return found.select("name", F.to_date("date").alias("date"), "asset", "price")
 
 
 @query(f"WITH {WEEKLY} SELECT lower(asset) AS name, date, {r('price', 'price')} FROM panel WHERE asset IN ('STANDARD', 'SMALL')")
@@ -37,17 +40,27 @@ def source_tagged_csv(spark: SparkSession, d: str) -> DataFrame:
     panel = P.weekly_prices(spark, d)
     for asset in ("STANDARD", "SMALL"):
         panel.filter(F.col("asset") == asset).select("date", "price").write.option("header", True).csv(f"{base}/prices_{asset.lower()}")
-    rows = spark.read.option("header", True).schema("date date, price double").csv(f"{base}/prices_*")
-    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"prices_([a-z]+)", 1).alias("name"), "date", "price")
+    return files.read_tagged_csv(spark, f"{base}/prices_*", "date date, price double", r"prices_([a-z]+)/", "name").select("name", "date", "price")
 
 
 @query(f"WITH {WEEKLY} SELECT date, asset, {r('2 * price', 'price')} FROM panel")
 def source_newest(spark: SparkSession, d: str) -> DataFrame:
-    """Of two files the one written last."""
+    """Of two files the one written last; the other isn't opened."""
     base, panel = files.workspace(spark, "newest"), P.weekly_prices(spark, d)
     for name, times in (("b", 1), ("a", 2)):
         panel.withColumn("price", F.col("price") * times).coalesce(1).write.parquet(f"{base}/{name}")
-    return files.newest(spark.read.parquet(f"{base}/*").select("*", "_metadata")).drop("_metadata")
+    return spark.read.parquet(files.newest(spark, f"{base}/*"))
+
+
+@query(f"WITH {WEEKLY} SELECT date, asset, {r('price', 'price')} FROM panel WHERE asset IN ('STANDARD', 'SMALL') AND date >= DATE '1996-06-01' AND date < DATE '1998-07-01'")
+def source_payload_format(spark: SparkSession, d: str) -> DataFrame:
+    """Service documents, one a year and asset, opened by the registered format; both filters reach it."""
+    base, panel = files.workspace(spark, "payloads"), P.weekly_prices(spark, d)
+    day = F.struct(F.col("date").cast("string").alias("k"), F.create_map(F.lit("4. close"), F.col("price").cast("string")).alias("v"))
+    years = panel.groupBy("asset", F.year("date").alias("year")).agg(F.map_from_entries(F.collect_list(day)).alias("days"))  # at most a year of days
+    years.select("asset", F.to_json(F.struct(F.col("days").alias("Time Series (Daily)"))).alias("value")).write.partitionBy("asset").text(base)
+    payload_source.register(spark)
+    return spark.read.format("payloads").load(base).filter("asset IN ('STANDARD', 'SMALL') AND date >= DATE '1996-06-01' AND date < DATE '1998-07-01'")
 
 
 @query(PANEL)

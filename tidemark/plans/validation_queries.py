@@ -51,12 +51,45 @@ def validate_jarque_bera(spark: SparkSession, d: str) -> DataFrame:
     return V.jarque_bera(weekly_returns(spark, d))
 
 
-@query()
+#: One sweep a variable leaves the products of the rest: the squared error of every number of lags, then the level's t-value.
+ADF_SQL = f"""WITH RECURSIVE {WEEKLY_RETURNS}, s0 AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY date) - 1 AS i, ret - avg(ret) OVER (PARTITION BY asset) AS x, count(*) OVER (PARTITION BY asset) AS n FROM r),
+s1 AS (SELECT *, lead(x) OVER (PARTITION BY asset ORDER BY i) - x AS d, least(CAST(ceil(12 * pow(n / 100.0, 0.25)) AS INTEGER), n // 2 - 2) AS most FROM s0),
+rows_ AS (SELECT asset, i, n, most, x, d FROM s1 WHERE d IS NOT NULL),
+lagged AS (SELECT a.asset, a.i, l.k AS lag, b.d AS v FROM rows_ a CROSS JOIN (SELECT unnest(range(1, 60)) AS k) l JOIN rows_ b ON b.asset = a.asset AND b.i = a.i - l.k WHERE l.k <= a.most),
+v1 AS (SELECT asset, i, 0 AS k, 1.0::DOUBLE AS v FROM rows_ WHERE i >= most UNION ALL SELECT asset, i, 1, x FROM rows_ WHERE i >= most UNION ALL SELECT asset, i, 1000, d FROM rows_ WHERE i >= most
+  UNION ALL SELECT asset, i, lag + 1, v FROM lagged JOIN (SELECT DISTINCT asset, most FROM rows_) USING (asset) WHERE i >= most),
+m1 AS (SELECT a.asset, a.k AS p, b.k AS q, sum(a.v * b.v) AS v FROM v1 a JOIN v1 b USING (asset, i) GROUP BY ALL),
+w1 AS (SELECT asset, 0 AS step, p, q, v FROM m1 UNION ALL
+  SELECT a.asset, a.step + 1, a.p, a.q, a.v - b.v * c.v / e.v FROM w1 a JOIN w1 b ON b.asset = a.asset AND b.p = a.p AND b.q = a.step JOIN w1 c ON c.asset = a.asset AND c.p = a.step AND c.q = a.q JOIN w1 e ON e.asset = a.asset AND e.p = a.step AND e.q = a.step
+  WHERE a.p > a.step AND a.q > a.step),
+fit AS (SELECT asset, step - 2 AS lags, v AS ssr FROM w1 WHERE p = 1000 AND q = 1000 AND step >= 2),
+size1 AS (SELECT asset, count(*) AS rows FROM rows_ WHERE i >= most GROUP BY 1),
+best AS (SELECT asset, CAST(arg_min(lags, rows * (ln(2 * pi()) + ln(ssr / rows) + 1) + 2 * (lags + 2)) AS INTEGER) AS lags FROM fit JOIN size1 USING (asset) GROUP BY 1),
+v2 AS (SELECT asset, i, 0 AS k, 1.0::DOUBLE AS v FROM rows_ JOIN best USING (asset) WHERE i >= lags UNION ALL SELECT asset, i, 500, x FROM rows_ JOIN best USING (asset) WHERE i >= lags UNION ALL SELECT asset, i, 1000, d FROM rows_ JOIN best USING (asset) WHERE i >= lags
+  UNION ALL SELECT asset, i, lag, v FROM lagged JOIN best USING (asset) WHERE i >= lags AND lag <= lags),
+m2 AS (SELECT a.asset, a.k AS p, b.k AS q, sum(a.v * b.v) AS v FROM v2 a JOIN v2 b USING (asset, i) GROUP BY ALL),
+w2 AS (SELECT asset, 0 AS step, p, q, v FROM m2 UNION ALL
+  SELECT a.asset, a.step + 1, a.p, a.q, a.v - b.v * c.v / e.v FROM w2 a JOIN w2 b ON b.asset = a.asset AND b.p = a.p AND b.q = a.step JOIN w2 c ON c.asset = a.asset AND c.p = a.step AND c.q = a.q JOIN w2 e ON e.asset = a.asset AND e.p = a.step AND e.q = a.step
+  WHERE a.p > a.step AND a.q > a.step),
+left_ AS (SELECT asset, lags, max(v) FILTER (p = 500 AND q = 500) AS ll, max(v) FILTER (p = 500 AND q = 1000) AS ly, max(v) FILTER (p = 1000 AND q = 1000) AS yy FROM w2 JOIN best USING (asset) WHERE step = lags + 1 GROUP BY 1, 2),
+size2 AS (SELECT asset, count(*) AS rows FROM rows_ JOIN best USING (asset) WHERE i >= lags GROUP BY 1),
+tested AS (SELECT asset, ly / ll / sqrt((yy - ly * ly / ll) / (rows - lags - 2) / ll) AS t FROM left_ JOIN size2 USING (asset)),
+surface AS (SELECT asset, t, CASE WHEN t <= -1.61 THEN 2.1659 + 1.4412 * t + 0.038269 * t * t ELSE 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t END AS z FROM tested),
+judged AS (SELECT asset, t, CASE WHEN t > 2.74 THEN 1.0 WHEN t < -18.83 OR z < -12 THEN 0.0 ELSE list_sum(list_transform(range(4000), lambda k: exp(-pow(-12 + (k + 0.5) * (z + 12) / 4000, 2) / 2))) * (z + 12) / 4000 / sqrt(2 * pi()) END AS p FROM surface)
+SELECT asset, {r('t', 'adf_stat')}, {r('p', 'p_value')}, p < 0.05 AS stationary FROM judged"""
+
+
+@query(ADF_SQL)
 def validate_adf(spark: SparkSession, d: str) -> DataFrame:
-    """Lag search and response surface aren't said in SQL; tested against a plain rendering."""
     return V.adf(weekly_returns(spark, d))
 
 
+@query(f"WITH {WEEKLY_RETURNS}, {PAIRS} SELECT asset_i, asset_j, {r('correlation', 'correlation', 9)}, {r('cov', 'cov', 9)} FROM pairs", digits=9)
+def validate_correlation_tiled(spark: SparkSession, d: str) -> DataFrame:
+    """The way that many assets take, with blocks of two."""
+    return V.pair_stats(weekly_returns(spark, d), wide=0, block=2)
+
+
 @query(f"WITH {WEEKLY_RETURNS}, {PAIRS} SELECT asset_i, asset_j, {r('correlation', 'correlation', 9)}, {r('cov', 'cov', 9)} FROM pairs", digits=9)
 def validate_correlation(spark: SparkSession, d: str) -> DataFrame:
     return V.pair_stats(weekly_returns(spark, d))

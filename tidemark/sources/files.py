@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,22 +46,38 @@ def write_wide_csv(panel: DataFrame, path: str, names: list[str] | None = None,
     wide(panel, names, key, value).orderBy("date").write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_records(spark: SparkSession, path: str, pattern: str, name: str = "name") -> DataFrame:
-    """All JSON documents that a glob finds, with the part of the file name that the pattern's group holds."""
-    frame = spark.read.option("multiLine", True).json(path)
-    return frame.withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+def read_records(spark: SparkSession, path: str, pattern: str, name: str = "name", multiline: bool = True) -> DataFrame:
+    """All JSON documents that a glob finds (a file each, or a line each), with the part of the path that the pattern's
+    group holds."""
+    frame = spark.read.option("multiLine", multiline).json(path)
+    return frame.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
 def read_tagged_csv(spark: SparkSession, path: str, schema: str, pattern: str, name: str = "name") -> DataFrame:
-    """All CSV files that a glob finds, with the part of the file name that the pattern's group holds."""
-    return spark.read.option("header", True).schema(schema).csv(path).withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+    """All CSV files that a glob finds, with the part of the path that the pattern's group holds."""
+    return spark.read.option("header", True).schema(schema).csv(path).withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
-def newest(frame: DataFrame) -> DataFrame:
-    """Rows of the file that was changed last (of equals, the last name)."""
-    tagged = frame.withColumn("_file", F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path")))
-    last = tagged.agg(F.max("_file").alias("_last"))
-    return tagged.crossJoin(F.broadcast(last)).filter(F.col("_file") == F.col("_last")).drop("_file", "_last")  # one row
+def listed(spark: SparkSession, pattern: str) -> list[tuple[int, int, str]]:
+    """(time of change, bytes, path) of the data files that a glob finds, itself or in the folders that it finds: the file
+    system's listing, no file is opened."""
+    fs, at = _fs(spark, pattern)
+    found = []
+    for status in fs.globStatus(at) or []:
+        files = fs.listFiles(status.getPath(), True)  # of a file, the file
+        while files.hasNext():
+            one = files.next()
+            if not one.getPath().getName().startswith(("_", ".")):
+                found.append((one.getModificationTime(), one.getLen(), one.getPath().toString()))
+    return found
+
+
+def newest(spark: SparkSession, pattern: str) -> str:
+    """The path of the file that was changed last (of equals, the last name)."""
+    found = listed(spark, pattern)
+    if not found:
+        raise FileNotFoundError(pattern)
+    return max((changed, path) for changed, _, path in found)[1]
 
 
 def write_json(frame: DataFrame, path: str) -> None:
@@ -74,7 +92,7 @@ def first_with_rows(readers: list[tuple[str, Callable[[], DataFrame]]], names: l
         try:
             panel = reader()
             found = panel.filter(F.col(key).isin(names)).agg(F.countDistinct(key)).first()[0]
-        except Exception as error:  # a source that can't be reached is what the chain is for
+        except (PySparkException, Py4JError, OSError) as error:  # a source that can't be reached is what the chain is for
             errors.append(f"{name}: {error}")
             continue
         if found and found >= share * len(names):
@@ -100,9 +118,14 @@ _made: set[str] = set()
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir, or the warehouse), in a part that
-    goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir, which a cluster must name; one
+    process alone may use its warehouse), in a part that goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     root = f"{base}/tidemark-files-{spark.sparkContext.applicationId}"
     if root not in _made:
         fs, at = _fs(spark, root)
@@ -141,6 +164,6 @@ def cached(spark: SparkSession, path: str, parameters: dict, inputs: DataFrame,
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes and time of change of the files that a glob finds."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("changed"))
+    """name, bytes and time of change of the files that a glob finds, by the file system's listing."""
+    rows = [(at.rsplit("/", 1)[1], size, changed / 1000) for changed, size, at in listed(spark, path)]
+    return spark.createDataFrame(rows, "name string, bytes long, changed double").withColumn("changed", F.timestamp_seconds("changed"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
@@ -87,6 +88,34 @@ def compared(mu: DataFrame, cov: DataFrame, views: list[View]) -> DataFrame:
     return frame.select("*", difference.alias("difference"), (F.try_divide(difference, F.abs("prior")) * 100).alias("difference_pct"))
 
 
+def moves(comparison: DataFrame, n: int = 5) -> DataFrame:
+    """direction (increase or decrease), place and a row of compared(): the n assets of the largest and of the least
+    difference; of equal ones the first by name."""
+    found = [
+        comparison.select(F.lit(kind).alias("direction"), F.row_number().over(W.orderBy(order, "asset")).alias("place"), *comparison.columns).filter(F.col("place") <= n)
+        for kind, order in (("increase", F.desc("difference")), ("decrease", F.asc("difference")))  # a row an asset
+    ]
+    return found[0].unionByName(found[1])
+
+
+def column_correlation(matrix: np.ndarray) -> np.ndarray:
+    """The correlation of a matrix's columns; not a number for a column that doesn't vary."""
+    apart = matrix - matrix.mean(axis=0)
+    size = np.sqrt((apart * apart).sum(axis=0))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return apart.T @ apart / np.outer(size, size)
+
+
+def covariance_change(mu: DataFrame, cov: DataFrame, views: list[View]) -> DataFrame:
+    """asset_i, asset_j, the covariance before and after the views (of the mean, after), and the correlation of the
+    matrices' columns before, after and its change."""
+    names, _, sigma = arrays(equilibrium(cov, market_weights(mu)).withColumnRenamed("implied", "mu"), cov)
+    spread = posterior(mu, cov, views)[3]
+    before, after = column_correlation(sigma), column_correlation(spread)
+    rows = [(a, b, *(float(x[i, j]) for x in (sigma, spread, before, after, after - before))) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return mu.sparkSession.createDataFrame(rows, "asset_i string, asset_j string, prior double, posterior double, prior_correlation double, posterior_correlation double, correlation_change double")
+
+
 def optimise(mu: DataFrame, cov: DataFrame, views: list[View], objective: str = "sharpe", aversion: float = 1.0, rf: float = config.RISK_FREE_RATE, low: float = config.MIN_WEIGHT, high: float = config.MAX_WEIGHT) -> DataFrame:
     """Weights by posterior moments within the box; no rows if the box holds no portfolio."""
     names, _, mean, spread = posterior(mu, cov, views)

@@ -117,17 +117,24 @@ def frontier_curve(returns: DataFrame, points: int = 20) -> DataFrame:
     solution have no rows."""
     mu, cov = moments(returns)
     names, m, s = arrays(mu, cov)
-    upper = programs.corners(m, s, *solvers.box(len(m), 0.0, 1.0))
-    safe, last = float(upper[-1].weights @ m), 0.9 * float(m.max())
-    lower = programs.corners(-m, s, *solvers.box(len(m), 0.0, 1.0)) if last < safe else []
+    safe = float(solvers.min_variance(s) @ m)
     rows = []
-    for k, target in enumerate(np.linspace(safe, last, points)):
-        w = programs.at_mean(upper, m, target) if target >= safe else programs.at_mean(lower, -m, -target)
+    for k, w in enumerate(on_frontier(m, s, np.linspace(safe, 0.9 * float(m.max()), points))):
         if w is not None:
             rows += [(k, n, float(x), float(w @ m), float(np.sqrt(w @ s @ w))) for n, x in zip(names, w, strict=True)]
     return returns.sparkSession.createDataFrame(rows, "point int, asset string, weight double, expected_return double, volatility double")
 
 
+def on_frontier(m: np.ndarray, s: np.ndarray, targets: np.ndarray) -> list[np.ndarray | None]:
+    """The long-only weights of least variance at each mean, on the frontier's critical lines (those of its lower half for
+    means below the least variance's); None where no weights have the mean."""
+    bounds = solvers.box(len(m), 0.0, 1.0)
+    upper = programs.corners(m, s, *bounds)
+    safe = float(upper[-1].weights @ m)
+    lower = programs.corners(-m, s, *bounds) if min(targets) < safe else []
+    return [programs.at_mean(upper, m, t) if t >= safe - 1e-12 * (1 + abs(safe)) else programs.at_mean(lower, -m, -t) for t in targets]
+
+
 @dataclass
 class Limits:
     """Inequalities on weights: groups as ({asset: coefficient}, most), each sum at most its value; turnover as (held

@@ -49,10 +49,9 @@ def optimizations(returns: DataFrame, random: int = 5000, points: int = 30, targ
     held = {"max_sharpe": solvers.max_sharpe(m, s, rf), "min_volatility": solvers.min_variance(s), "risk_parity": solvers.risk_parity(s)}
     safe = float(held["min_volatility"] @ m)
     for kind, top, n in (("target", m.max(), targets), ("curve", 0.9 * m.max(), points)):
-        for k, target in enumerate(np.linspace(safe, top, n)):
-            held[f"{kind}_{k}"] = solvers.min_variance(s, extra=(m[None, :], np.array([target])))
-    weights = reduce(DataFrame.unionByName, [optimize.weights_frame(spark, k, names, w) for k, w in held.items()])
-    return weights, optimize.portfolio_moments(optimize.random_weights(mu, random), mu, cov, rf)
+        held |= {f"{kind}_{k}": w for k, w in enumerate(optimize.on_frontier(m, s, np.linspace(safe, top, n)))}
+    rows = [(k, name, float(x) if abs(x) > 1e-12 else 0.0) for k, w in held.items() if w is not None for name, x in zip(names, w, strict=True)]
+    return spark.createDataFrame(rows, optimize.WEIGHTS), optimize.portfolio_moments(optimize.random_weights(mu, random), mu, cov, rf)
 
 
 def factor_portfolios(returns: DataFrame, cached: DataFrame | None = None) -> DataFrame:
@@ -107,10 +106,24 @@ def simulation(history: DataFrame, cache: str, method: str = "parametric", paths
     return files.cached(history.sparkSession, cache, parameters, history, build)
 
 
-def backtests(prices: DataFrame, returns: DataFrame, strategies: DataFrame) -> DataFrame:
-    """strategy and its metrics: strategies rebalanced monthly, and momentum from its first weights on."""
+def backtests(prices: DataFrame, returns: DataFrame, strategies: DataFrame, macro: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """strategy and its metrics: strategies rebalanced monthly; momentum from its first weights on; and, with a macro panel,
+    the weights of its rules (the default ones, if none are given), traded at each month's first close from the first
+    month with weights on. A panel that no rule knows leaves that one out."""
     static = backtest.rebalanced(prices, strategies, backtest.month_end_dates(prices))
-    momentum = backtest.momentum_weights(returns, backtest.previous_dates(prices))
-    begin = momentum.agg(F.min("date").alias("begin"))
-    moving = backtest.rebalanced(prices.crossJoin(F.broadcast(begin)).filter("date >= begin").drop("begin"), momentum, momentum.select("strategy", "date").distinct())  # one row
-    return backtest.backtest_metrics(static.unionByName(moving.select(*static.columns)))
+    found = [static, moving(prices, backtest.momentum_weights(returns, backtest.previous_dates(prices)))]
+    if macro is not None:
+        every, own = default_rules(macro) if rules is None else (macro, rules)
+        firsts = prices.groupBy(F.trunc("date", "MM").alias("month")).agg(F.min("date").alias("traded"))
+        targets = backtest.macro_weights(every, own)
+        last = W.partitionBy("month").orderBy(F.desc("date"))  # of several dates of a month the last
+        monthly = targets.withColumn("month", F.trunc("date", "MM")).withColumn("place", F.dense_rank().over(last)).filter("place = 1")
+        found.append(moving(prices, monthly.join(firsts, "month").select("strategy", F.col("traded").alias("date"), "asset", "weight")))
+    return backtest.backtest_metrics(reduce(DataFrame.unionByName, [f.select(*static.columns) for f in found]))
+
+
+def moving(prices: DataFrame, weights: DataFrame) -> DataFrame:
+    """A strategy of changing weights (strategy, date, asset, weight), from its first date on."""
+    begin = weights.agg(F.min("date").alias("begin"))
+    later = prices.crossJoin(F.broadcast(begin)).filter("date >= begin").drop("begin")  # one row
+    return backtest.rebalanced(later, weights, weights.select("strategy", "date").distinct())

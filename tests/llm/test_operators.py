@@ -240,6 +240,32 @@ def test_licence_labels_of_changed_copies(spark):
     assert not any(set(labels[k]) - {"", "cc-by", "gpl", "reserved"} for k in labels if k % 10 == 9)
 
 
+def test_scattered_pieces_of_a_template_are_no_licence(spark):
+    isc = next(t for t, label in license_scan.TEMPLATES.items() if label == "isc").split()
+    scattered = " ".join(" ".join([*isc[k : k + 3], "zz"]) for k in range(0, len(isc), 3))
+    whole = next(t for t, label in license_scan.TEMPLATES.items() if label == "zlib" and len(t.split()) > 100)
+    changed = whole.split()
+    del changed[40]
+    changed[10:10] = ["really", "truly"]
+    changed[70] = "xx"
+    rows = [(1, scattered), (2, f"before {' '.join(changed)} after"), (3, " ".join(reversed(whole.split()))), (4, "x y " * 40 + " ".join(isc) + " z" * 9)]
+    found, spans = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in found.collect()}
+    assert got[1] == ("", 0.0) and got[2][0] == "zlib" and got[2][1] > 0.9 and got[3] == ("", 0.0) and got[4] == ("isc", 1.0)
+    exact = [(r["doc_id"], r["start"]) for r in spans.filter("like = 1").collect()]
+    assert (4, 80) in exact
+
+
+def test_many_licences_in_one_text(spark):
+    template = next(t for t, label in license_scan.TEMPLATES.items() if label == "isc")
+    text = " ".join([f"{template} and so on"] * 10_000)
+    found, spans = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert [r["labels"] for r in found.collect()] == ["isc"]
+    size = len(template.split()) + 3
+    starts = {r["start"] for r in spans.filter("label = 'isc' AND like = 1").collect()}
+    assert starts >= {k * size for k in range(10_000)}
+
+
 def test_licence_query_on_empty_null_and_repeated_rows(spark, docs, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/none/documents.parquet")
     docs.unionByName(docs).write.parquet(f"{tmp_path}/twice/documents.parquet")

@@ -1,9 +1,10 @@
 """License scans by diagonal voting.
 
-Templates are phrases, openings and paragraphs of licence texts. The rolling word k-gram hashes of every text are joined by Spark to the positions
-at which templates hold them; a hit at word p of a text and word t of a template votes for the diagonal p - t.
-Votes are summed by diagonal, neighbouring diagonals (words left out or put in) are merged, and the spans of those
-with enough votes are verified word by word. A sieve of the templates' own hashes, a table of fixed size, goes ahead
+Templates are phrases, openings, paragraphs and whole texts of licences. The rolling word k-gram hashes of every text are
+joined by Spark to the positions at which templates hold them; a hit at word p of a text and word t of a template votes
+for the diagonal p - t. Votes are summed by diagonal, neighbouring diagonals (words left out or put in) are merged as far
+as a tenth of the template's length, and the spans of those with enough votes are verified word by word: what they share
+with the template counts against the longer of the two. A text is cut into words once for all its spans. A sieve of the templates' own hashes, a table of fixed size, goes ahead
 of the join, so that only k-grams which some template holds are made into rows."""
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import ALNUM, LOWER, joined, mix, scratch, slices, texts, word_hash
 
 #: Phrases that count wherever their words stand consecutively, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Openings and paragraphs of public licence texts, with labels of this method's own.
+#: Openings, paragraphs and whole texts of public licences, with labels of this method's own.
 TEMPLATES = {
     "licensed under the apache license version 2 0": "apache-2.0",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-2.0",
@@ -51,11 +52,16 @@ TEMPLATES = {
     "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software": "bsl",
     "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
     "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely": "zlib",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution": "zlib",
     "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense",
 }
 K_BASE, K = 2, 3
-#: Diagonals at most this far apart are one; share of a template's k-grams that must vote; least likeness of a span.
-BAND, VOTES, LIKE = 3, 0.5, 0.85
+#: Diagonals of a template as far apart as this share of its words (or BAND) are one; share of a template's k-grams that
+#: must vote; least likeness of a span.
+WIDTH, BAND, VOTES, LIKE = 0.1, 3, 0.5, 0.85
 _word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -134,14 +140,21 @@ def _hit_rows(batches: Iterator[pa.RecordBatch], grams: np.ndarray, own: dict[in
         row += n
 
 
+def likeness(phrase: list[bytes], span: list[bytes]) -> float:
+    """Words in the same order, against the longer side."""
+    if span == phrase:
+        return 1.0
+    same = sum(b.size for b in SequenceMatcher(None, phrase, span, autojunk=False).get_matching_blocks())
+    return same / max(len(phrase), len(span))
+
+
 def _verified(pdfs: Iterator[pd.DataFrame], phrases: list[list[bytes]]) -> Iterator[pd.DataFrame]:
-    """The likeness of each span to its template, by the words themselves."""
+    """The likeness of each span to its template, by the words themselves; a text's spans come together."""
     for pdf in pdfs:
         out = []
-        for row, text, template, start, stop in zip(pdf["row"], pdf["text"], pdf["template"], pdf["start"], pdf["stop"], strict=True):
-            span = _word.findall(text.encode().translate(_LOWER))[max(start, 0) : stop]
-            same = sum(b.size for b in SequenceMatcher(None, phrases[template], span, autojunk=False).get_matching_blocks())
-            out.append((row, template, int(start), same / len(phrases[template])))
+        for row, text, spans in zip(pdf["row"], pdf["text"], pdf["spans"], strict=True):
+            own = _word.findall(text.encode().translate(_LOWER))
+            out += [(row, s["template"], int(s["start"]), likeness(phrases[s["template"]], own[max(s["start"], 0) : s["stop"]])) for s in spans]
         yield pd.DataFrame(out, columns=["row", "template", "start", "like"])
 
 
@@ -163,13 +176,22 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str]
     by_base = places.groupBy("row").agg(
         F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base_set")
     )
+    # a band starts at each diagonal and holds those within its width; of bands that start within one width the fullest is tried
     along = W.partitionBy("row", "template").orderBy("diagonal")
-    new = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= BAND, 0).otherwise(1)
-    merged = diagonals.filter(~F.col("is_base")).withColumn("new", new).withColumn("band", F.sum("new").over(along))
-    bands = merged.groupBy("row", "template", "label", "size", "band").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-    likely = bands.filter(F.col("votes") >= VOTES * F.col("size")).withColumns({"start": F.col("low"), "stop": F.col("high") + F.col("size") + K - 1})
+    free = diagonals.filter(~F.col("is_base")).withColumn("width", F.greatest(F.lit(BAND), F.floor(F.lit(WIDTH) * F.col("size")).cast("int")))
     phrases = [_word.findall(p.encode().translate(_LOWER)) for p in [*base, *templates]]
-    spans = likely.join(hits.select("row", "text"), "row").select("row", "text", "template", "start", "stop")
+    widths = sorted({max(BAND, int(WIDTH * (len(p) - K + 1))) for p in phrases[len(base) :]})
+    reach = [(w, W.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, w)) for w in widths]
+    held = F.coalesce(*(F.when(F.col("width") == w, F.sum("votes").over(over)) for w, over in reach))
+    last = F.coalesce(*(F.when(F.col("width") == w, F.max("diagonal").over(over)) for w, over in reach))
+    bands = free.withColumns({"held": held, "last": last}).filter(F.col("held") >= VOTES * F.col("size"))
+    new = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= F.col("width"), 0).otherwise(1)
+    chains = bands.withColumn("new", new).withColumn("chain", F.sum("new").over(along)).withColumn("low", F.min("diagonal").over(W.partitionBy("row", "template", "chain")))
+    cells = chains.withColumn("cell", F.floor((F.col("diagonal") - F.col("low")) / (F.col("width") + 1)))
+    best = F.max_by(F.struct("diagonal", "last"), F.struct("held", -F.col("diagonal")))
+    likely = cells.groupBy("row", "template", "size", "chain", "cell").agg(best.alias("best"))
+    span = F.struct("template", F.col("best.diagonal").alias("start"), (F.col("best.last") + F.col("size") + K - 1).alias("stop"))
+    spans = likely.groupBy("row").agg(F.collect_list(span).alias("spans")).join(hits.select("row", "text"), "row")
     verified = spans.mapInPandas(lambda it: _verified(it, phrases), "row long, template int, start int, like double").filter(F.col("like") >= LIKE)
     names = F.broadcast(spark.createDataFrame([(n, x) for n, x in enumerate([*base.values(), *templates.values()])], "template int, label string"))
     verified = scratch(verified.join(names, "template"), "license-spans")

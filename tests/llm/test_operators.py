@@ -139,6 +139,16 @@ def test_store_round_trip(spark, docs):
     assert bag(token_output.read_store(spark, path), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
     assert token_output.read_document(spark, path, 12) == [*tokenizer.encode(dict(rows)[12], add_special_tokens=False).ids, 0]
     assert token_output.read_document(spark, path, 12345) is None
+    small = scratch_path(spark, "store")
+    token_output.write_store(docs, small, shards=3, block_bytes=200)
+    near = token_output.blocks_of(spark, small, 12)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = near.select("shard", "block")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(first_id,12)" in plan and "GreaterThanOrEqual(last_id,12)" in plan and "data" not in plan.split("ReadSchema:")[1]
+    assert near.count() == 1 < spark.read.parquet(f"{small}/frames").count()
+    for doc_id in (0, 3, 7, 12, 900):
+        of_id = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for d, t in rows if d == doc_id]
+        assert token_output.read_document(spark, small, doc_id) in of_id
 
 
 # --- 4: mixing

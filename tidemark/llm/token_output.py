@@ -2,8 +2,9 @@
 
 A store is a folder of Parquet tables that Spark's writers commit: frames/ holds blocks of about a megabyte, each
 with the separately compressed frames of consecutive documents (ids as little-endian uint32) and, as its index,
-their doc_ids, token counts and byte offsets; meta/ holds the shared zstandard dictionary, its SHA-256, and the
-file format's version. A document is read by its block row and one slice; frames carry no other document."""
+their doc_ids, the least and greatest of these, token counts and byte offsets; meta/ holds the shared zstandard
+dictionary, its SHA-256, and the file format's version. A document is found by the index columns alone, whose ranges are
+pushed into the scan, and read by one block's bytes and one slice of them; frames carry no other document."""
 
 from __future__ import annotations
 
@@ -26,7 +27,9 @@ from .tokens import ENCODE_BYTES, TOKENIZER, TokenCache
 DICT_DOCS, DICT_DOC_BYTES, DICT_BYTES = 1500, 8_192, 65_536
 BLOCK_BYTES = 1 << 20
 END_ID = 0
-FORMAT = 1
+FORMAT = 2
+#: Bytes of a group of blocks in a file: what a reader fetches to get at one block.
+GROUP_BYTES = 8 << 20
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
@@ -47,7 +50,7 @@ def _open(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
 
 
-FRAMES = "shard int, block int, doc_ids array<long>, n_tokens array<int>, ends array<int>, data binary, dict_hash string"
+FRAMES = "shard int, block int, first_id long, last_id long, doc_ids array<long>, n_tokens array<int>, ends array<int>, data binary, dict_hash string"
 
 
 def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, dictionary: bytes, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -57,9 +60,10 @@ def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, dictionary: bytes
     ids, counts, ends, data = [], [], [], bytearray()
 
     def full() -> pa.RecordBatch:
+        ends_of = [next((i for i in order if i is not None), None) for order in (ids, reversed(ids))]
         return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([ends], pa.list_(pa.int32())), pa.array([bytes(data)], pa.binary()), pa.array([digest])],
-            names=["shard", "block", "doc_ids", "n_tokens", "ends", "data", "dict_hash"],
+            [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), *(pa.array([i], pa.int64()) for i in ends_of), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([ends], pa.list_(pa.int32())), pa.array([bytes(data)], pa.binary()), pa.array([digest])],
+            names=["shard", "block", "first_id", "last_id", "doc_ids", "n_tokens", "ends", "data", "dict_hash"],
         )
 
     for batch in slices(batches, "text", ENCODE_BYTES):
@@ -88,7 +92,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, shards:
     dictionary = train_dictionary(docs, tokenizer)
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lambda it: _frames(it, tokenizer, dictionary, block_bytes), FRAMES).write.option("compression", "none").parquet(f"{path}/frames")
+    ordered.mapInArrow(lambda it: _frames(it, tokenizer, dictionary, block_bytes), FRAMES).write.option("compression", "none").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/frames")
     meta = [(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest(), FORMAT)]
     spark.createDataFrame(meta, "dictionary binary, dict_hash string, format int").coalesce(1).write.parquet(f"{path}/meta")
 
@@ -150,14 +154,23 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return found.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def blocks_of(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """The blocks whose range of doc_ids holds one: both bounds are pushed into the scan."""
+    return spark.read.parquet(f"{path}/frames").filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+
+
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
-    """The ids of one document: its block by the index, then one slice and one frame."""
+    """The ids of one document (of rows that share a doc_id the first): its block by the index columns, then the bytes of
+    that block, one slice and one frame."""
     dictionary = _meta(spark, path)
-    row = spark.read.parquet(f"{path}/frames").filter(F.array_contains("doc_ids", F.lit(doc_id))).first()
+    index = blocks_of(spark, path, doc_id).filter(F.array_contains("doc_ids", F.lit(doc_id)))
+    row = index.select("shard", "block", "doc_ids", "ends").orderBy("shard", "block").first()
     if row is None:
         return None
     k = row["doc_ids"].index(doc_id)
-    frame = bytes(row["data"])[row["ends"][k - 1] if k else 0 : row["ends"][k]]
+    start, end = row["ends"][k - 1] if k else 0, row["ends"][k]
+    own = blocks_of(spark, path, doc_id).filter((F.col("shard") == row["shard"]) & (F.col("block") == row["block"]))
+    frame = bytes(own.select(F.substring("data", start + 1, end - start).alias("frame")).first()["frame"])
     return np.frombuffer(zstandard.ZstdDecompressor(dict_data=_open(dictionary)).decompress(frame), "<u4").tolist()
 
 

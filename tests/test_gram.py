@@ -29,7 +29,7 @@ def plain(frame):
     return {(r["asset_i"], r["asset_j"]): (r["correlation"], r["cov"]) for r in frame.collect()}
 
 
-@pytest.mark.parametrize("ways", [{"wide": 20}, {"wide": 0}, {"wide": 0, "block": 4, "stripes": 3}, {"wide": 0, "block": 1, "stripes": 1}])
+@pytest.mark.parametrize("ways", [{"few": 20}, {"few": 0}, {"few": 0, "block": 4, "stripes": 3}, {"few": 0, "block": 1, "stripes": 1}])
 def test_pairs(panel, ways):
     want, got = plain(joined(panel)), plain(gram.pair_stats(panel, **ways))
     assert set(got) == set(want)
@@ -43,6 +43,6 @@ def test_no_rows(spark, panel):
 
 
 def test_the_plan_joins_no_dates(panel):
-    for wide in (0, 20):
-        plan = gram.pair_stats(panel, wide)._jdf.queryExecution().executedPlan().toString()
+    for few in (0, 20):
+        plan = gram.pair_stats(panel, few)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan

@@ -1,6 +1,6 @@
 """Moments of all pairs of assets without joining the panel to itself.
 
-Few assets are turned into columns, and every pair is an aggregate of one scan. Many are cut into blocks: a date's returns
+Of few assets a date's returns are one list, whose pairs (a bounded number) are summed at once. Many are cut into blocks: a date's returns
 of a block are one row, copied to the tasks (block, block, stripe of dates) that need it, and a task adds up products of
 whole matrices of dates by assets, with masks for returns that are missing. What is shuffled grows with dates times
 assets times blocks, not with dates times pairs."""
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Assets up to which every pair is a column; assets a block; stripes of dates; dates that a task multiplies at once.
-WIDE, BLOCK, STRIPES, DATES = 12, 256, 16, 256
+#: Assets up to which a date's pairs are listed; assets a block; stripes of dates; dates that a task multiplies at once.
+FEW, BLOCK, STRIPES, DATES = 16, 256, 16, 256
 KEY = ["low", "high", "stripe"]
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 PARTS = "i int, j int, " + ", ".join(f"{c} double" for c in SUMS)
@@ -81,26 +81,28 @@ def _tiled(returns: DataFrame, means: dict[str, float], block: int, stripes: int
     return named.select("asset_i", "asset_j", correlation.alias("correlation"), cov.alias("cov"))
 
 
-def _wide(returns: DataFrame, names: list[str]) -> DataFrame:
-    columns = returns.filter("ret IS NOT NULL").groupBy("date").pivot("asset", names).agg(F.first("ret"))
-    pairs = [(a, b) for k, a in enumerate(names) for b in names[k:]]
-    of = lambda c: F.col(f"`{c}`")
-    sums = []
-    for k, (a, b) in enumerate(pairs):
-        x, y = F.when(of(b).isNotNull(), of(a)), F.when(of(a).isNotNull(), of(b))
-        sums += [F.count(x).alias(f"n{k}"), F.covar_samp(x, y).alias(f"c{k}"), F.var_samp(x).alias(f"x{k}"), F.var_samp(y).alias(f"y{k}")]
-    correlation = [F.try_divide(F.col(f"c{k}"), F.sqrt(F.col(f"x{k}") * F.col(f"y{k}"))).alias("correlation") for k in range(len(pairs))]
-    rows = F.array(*(F.struct(F.lit(a).alias("asset_i"), F.lit(b).alias("asset_j"), F.col(f"n{k}").alias("n"), correlation[k], F.col(f"c{k}").alias("cov")) for k, (a, b) in enumerate(pairs)))
-    return columns.agg(*sums).select(F.inline(rows)).filter("n > 0").drop("n")
+def _listed(returns: DataFrame) -> DataFrame:
+    rows = returns.filter("ret IS NOT NULL").groupBy("date").agg(F.array_sort(F.collect_list(F.struct("asset", "ret"))).alias("own"))
+    first = rows.select("own", F.posexplode("own").alias("at", "a"))
+    pairs = first.select("a", F.explode(F.slice("own", F.col("at") + 1, F.size("own") - F.col("at"))).alias("b"))
+    values = pairs.select(F.col("a.asset").alias("asset_i"), F.col("b.asset").alias("asset_j"), F.col("a.ret").alias("x"), F.col("b.ret").alias("y"))
+    sums = values.groupBy("asset_i", "asset_j").agg(F.covar_samp("x", "y").alias("cov"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"))
+    return sums.select("asset_i", "asset_j", F.try_divide("cov", F.sqrt(F.col("vx") * F.col("vy"))).alias("correlation"), "cov")
 
 
-def pair_stats(returns: DataFrame, wide: int = WIDE, block: int = BLOCK, stripes: int = STRIPES) -> DataFrame:
+def means_of(returns: DataFrame) -> dict[str, float]:
+    """Each asset's mean return, on the driver: a number an asset."""
+    return {r["asset"]: r["mean"] for r in returns.groupBy("asset").agg(F.avg("ret").alias("mean")).collect() if r["mean"] is not None}
+
+
+def pair_stats(returns: DataFrame, few: int = FEW, block: int = BLOCK, stripes: int = STRIPES, means: dict[str, float] | None = None) -> DataFrame:
     """asset_i, asset_j, correlation and cov (daily) of every ordered pair over dates that both have; pairs without such
-    a date have no row, with one only no values, and with a series that doesn't move no correlation. A date and asset have one row at most."""
-    means = {r["asset"]: r["mean"] for r in returns.groupBy("asset").agg(F.avg("ret").alias("mean")).collect() if r["mean"] is not None}  # a row an asset
+    a date have no row, with one only no values, and with a series that doesn't move no correlation. A date and asset have
+    one row at most. means, if known, spare a job."""
+    means = means_of(returns) if means is None else means
     if not means:
         return returns.sparkSession.createDataFrame([], "asset_i string, asset_j string, correlation double, cov double")
-    half = _wide(returns, sorted(means)) if len(means) <= wide else _tiled(returns, means, block, stripes)
+    half = _listed(returns) if len(means) <= few else _tiled(returns, means, block, stripes)
     both = F.array(F.struct("asset_i", "asset_j"), F.struct(F.col("asset_j").alias("asset_i"), F.col("asset_i").alias("asset_j")))
     turned = F.when(F.col("asset_i") < F.col("asset_j"), both).otherwise(F.slice(both, 1, 1))
     return half.select(F.explode(turned).alias("pair"), "correlation", "cov").select("pair.asset_i", "pair.asset_j", "correlation", "cov")

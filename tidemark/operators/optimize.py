@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import programs, solvers, stats
-from .validation import pair_stats
+from .gram import means_of, pair_stats
 
 WEIGHTS = "portfolio string, asset string, weight double"
 
 
 def moments(returns: DataFrame, year: int = config.TRADING_DAYS) -> tuple[DataFrame, DataFrame]:
-    """asset, mu and asset_i, asset_j, cov, both for a year."""
-    mu = returns.groupBy("asset").agg((F.avg("ret") * year).alias("mu"))
-    return mu, pair_stats(returns).select("asset_i", "asset_j", (F.col("cov") * year).alias("cov"))
+    """asset, mu (computed at once: a number an asset) and asset_i, asset_j, cov, both for a year."""
+    means = means_of(returns)
+    mu = returns.sparkSession.createDataFrame([(k, v * year) for k, v in means.items()], "asset string, mu double")
+    return mu, pair_stats(returns, means=means).select("asset_i", "asset_j", (F.col("cov") * year).alias("cov"))
 
 
 def arrays(mu: DataFrame, cov: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -87,7 +87,7 @@ def validate_adf(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {WEEKLY_RETURNS}, {PAIRS} SELECT asset_i, asset_j, {r('correlation', 'correlation', 9)}, {r('cov', 'cov', 9)} FROM pairs", digits=9)
 def validate_correlation_tiled(spark: SparkSession, d: str) -> DataFrame:
     """The way that many assets take, with blocks of two."""
-    return V.pair_stats(weekly_returns(spark, d), wide=0, block=2)
+    return V.pair_stats(weekly_returns(spark, d), few=0, block=2)
 
 
 @query(f"WITH {WEEKLY_RETURNS}, {PAIRS} SELECT asset_i, asset_j, {r('correlation', 'correlation', 9)}, {r('cov', 'cov', 9)} FROM pairs", digits=9)

@@ -204,3 +204,28 @@ def test_max_sharpe_where_nothing_earns_more_than_cash(seed):
     assert abs(w.sum() - 1) < 1e-8 and (w >= -1e-9).all()
     others = [*rng.dirichlet(np.full(4, 0.4), 4000), *np.eye(4)]
     assert ratio(w) >= max(map(ratio, others)) - 1e-6
+
+
+def test_a_ruined_strategy_stays_at_nothing_across_blocks_and_rebalances(spark, monkeypatch):
+    """Prices that fall to nearly nothing and rise again, with rebalances on the first date, on an unknown date and on the
+    last one, against a loop; in short blocks and in a long one, the ruin at several places of a block, at a rebalance, and
+    never."""
+    dates = [d.date() for d in pd.date_range("2020-02-24", periods=30)]
+    for days, fall in ((4, 9), (4, 10), (4, 12), (365, 12), (4, 99)):
+        monkeypatch.setattr(backtest, "BLOCK_DAYS", days)
+        prices = [100.0 + k if k < fall else (0.2 if k < fall + 3 else 90.0 + k) for k in range(30)]
+        frame = spark.createDataFrame([(d, a, v * times) for d, v in zip(dates, prices, strict=True) for a, times in (("x", 1.0), ("y", 2.0))], "date date, asset string, price double")
+        weights = spark.createDataFrame([("s", "x", 0.25), ("s", "y", 0.75)], "strategy string, asset string, weight double")
+        flags = spark.createDataFrame([(dates[0],), (dates[12],), (dates[20],), (dates[29],), (pd.Timestamp("2021-05-05").date(),)], "date date")
+        value, want = 1000.0, []
+        for k, p in enumerate(prices):
+            now = 0.0 if any(v <= 10.0 for v, _ in want) else 1000.0 * p / prices[0]
+            want.append((now, now / value - 1 if value > 0 else 0.0))
+            value = now
+        got = backtest.rebalanced(frame, weights, flags, 1000.0).orderBy("date").collect()
+        assert [r["date"] for r in got] == dates
+        assert [(r["value"], r["ret"]) for r in got] == [pytest.approx(w, rel=1e-9, abs=1e-12) for w in want]
+        level = np.cumprod([1 + r for _, r in want])
+        found = backtest.backtest_metrics(backtest.rebalanced(frame, weights, flags, 1000.0)).first()
+        assert found["max_drawdown"] == pytest.approx(min(level / np.maximum.accumulate(level) - 1), rel=1e-9, abs=1e-12)
+        assert found["annual_vol"] == pytest.approx(np.std([r for _, r in want], ddof=1) * 252**0.5, rel=1e-9)

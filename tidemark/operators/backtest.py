@@ -1,9 +1,8 @@
 """Rebalanced strategies as plans without loops.
 
 Between two rebalances units are fixed, so a strategy's growth since the last one is the weighted sum of its assets'
-price ratios to that day's close; its value is the product of the growth of all finished segments and of the running
-one. Segments are numbered by a running count of rebalance dates before a row. All strategies are one plan, with the
-strategy in every key."""
+price ratios to that day's close; its value is the product of the growth of all finished stretches and of the running
+one. All strategies are one plan, with the strategy in every key."""
 
 from __future__ import annotations
 
@@ -17,8 +16,12 @@ def by():
     return W.partitionBy("strategy").orderBy("date")
 
 
-def upto():
-    return by().rowsBetween(W.unboundedPreceding, 0)
+#: Days of a block of a strategy's dates.
+BLOCK_DAYS = 365
+
+
+def block() -> Column:
+    return F.floor(F.unix_date("date") / BLOCK_DAYS)
 
 
 def month_end_dates(dates: DataFrame) -> DataFrame:
@@ -38,44 +41,91 @@ def normalised(weights: DataFrame, prices: DataFrame, keys: tuple[str, ...] = ("
     return known.withColumn("_total", total).filter("_total > 0").withColumn("weight", F.col("weight") / F.col("_total")).drop("_total")
 
 
+def segments(dates: DataFrame, names: DataFrame, rebalances: DataFrame) -> DataFrame:
+    """strategy, start, end, opening: a row for each stretch between rebalances. A stretch holds the dates after its start
+    up to its end; the opening one holds its start, the first date, too. Rebalances at other dates are left out."""
+    marks = rebalances.select(*(c for c in ("strategy", "date") if c in rebalances.columns)).distinct().join(dates, "date", "left_semi")
+    marks = marks.join(names, "strategy", "left_semi") if "strategy" in marks.columns else marks.crossJoin(names)
+    span = dates.agg(F.min("date").alias("start"), F.max("date").alias("_last"))
+    opening = names.crossJoin(F.broadcast(span)).withColumn("opening", F.lit(True))  # one row
+    starts = opening.unionByName(marks.select("strategy", F.col("date").alias("start"), F.lit(False).alias("opening")), allowMissingColumns=True)
+    of = W.partitionBy("strategy")  # a row a rebalance
+    end = F.coalesce(F.lead("start").over(of.orderBy("start", F.desc("opening"))), F.max("_last").over(of))
+    return starts.select("strategy", "start", end.alias("end"), "opening")
+
+
 def rebalanced(prices: DataFrame, weights: DataFrame, rebalances: DataFrame, initial: float = config.INITIAL_INVESTMENT, ruin: float = 0.01) -> DataFrame:
     """strategy, date, value and ret. weights: strategy, asset, weight and, where they change, date: those of a date hold
     from its close (the first date's also before). rebalances: date, or strategy and date. From the date on which the
-    value is at most ruin of the initial one, later values are zero. Prices must be positive at every date."""
+    value is at most ruin of the initial one, later values are zero. Prices must be positive at every date.
+
+    A stretch meets its dates by the months that it spans, the day before comes from the asset's own series, and losses are
+    followed within blocks of time and from one row a block: no strategy's dates are sorted in one task."""
     dates = prices.select("date").distinct()
-    names = weights.select("strategy").distinct()
-    flags = rebalances.withColumn("flag", F.lit(1))
-    on = [c for c in ("strategy", "date") if c in rebalances.columns]
-    days = dates.crossJoin(names).join(flags, on, "left").withColumn("flag", F.coalesce("flag", F.lit(0)))
-    days = days.withColumn("segment", F.coalesce(F.sum("flag").over(by().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    # the close at which a segment starts is the last date of the one before; the first starts at the first date
-    starts = days.groupBy("strategy", (F.col("segment") + 1).alias("segment")).agg(F.max("date").alias("start"))
-    first = days.groupBy("strategy").agg(F.min("date").alias("start")).withColumn("segment", F.lit(0).cast("long"))
-    starts = starts.unionByName(first.select("strategy", "segment", "start"))
-    if "date" in weights.columns:
-        held = weights.withColumnRenamed("date", "start")
-    else:
-        held = starts.join(weights, "strategy").select("strategy", "start", "asset", "weight")
-    base = starts.join(held, ["strategy", "start"]).join(prices.select(F.col("date").alias("start"), "asset", F.col("price").alias("base")), ["start", "asset"])
-    grown = days.join(base, ["strategy", "segment"]).join(prices, ["date", "asset"])
-    growth = grown.groupBy("strategy", "date", "segment").agg(F.sum(F.col("weight") * F.col("price") / F.col("base")).alias("growth"))
-    ends = growth.groupBy("strategy", "segment").agg(F.max_by("growth", "date").alias("end"))
-    done = F.product("end").over(W.partitionBy("strategy").orderBy("segment").rowsBetween(W.unboundedPreceding, -1))
-    chained = ends.select("strategy", "segment", F.coalesce(done, F.lit(1.0)).alias("done"))
-    valued = growth.join(chained, ["strategy", "segment"]).withColumn("value", initial * F.col("done") * F.col("growth"))
-    ruined = F.coalesce(F.min("value").over(by().rowsBetween(W.unboundedPreceding, -1)) <= ruin * initial, F.lit(False))
-    valued = valued.withColumn("value", F.when(ruined, 0.0).otherwise(F.col("value")))
-    before = F.lag("value").over(by())
-    return valued.select("strategy", "date", "value", F.when(before > 0, F.col("value") / before - 1).otherwise(0.0).alias("ret"))
+    spans = segments(dates, weights.select("strategy").distinct(), rebalances)
+    held = weights.withColumnRenamed("date", "start")
+    base = prices.select(F.col("date").alias("start"), "asset", F.col("price").alias("base"))
+    units = spans.join(held, [c for c in ("strategy", "start") if c in held.columns]).join(base, ["start", "asset"])
+    units = units.withColumn("_month", F.explode(F.sequence(F.trunc("start", "MM"), F.trunc("end", "MM"), F.expr("interval 1 month"))))
+    own = W.partitionBy("asset").orderBy("date")
+    paths = prices.select("date", "asset", "price", F.lag("price").over(own).alias("was"), F.lag("date").over(own).alias("day_before"), F.trunc("date", "MM").cast("date").alias("_month"))
+    inside = (F.col("date") > F.col("start")) | (F.col("opening") & (F.col("date") == F.col("start")))
+    grown = units.join(paths, ["asset", "_month"]).filter(inside & (F.col("date") <= F.col("end")))
+    growth = grown.groupBy("strategy", "start", "opening", "date").agg(
+        F.sum(F.col("weight") * F.col("price") / F.col("base")).alias("growth"), F.sum(F.col("weight") * F.col("was") / F.col("base")).alias("before"), F.max("day_before").alias("day_before")
+    )
+    # at a rebalance's close the units are bought anew: the next day grows from one
+    new = ~F.col("opening") & (F.col("day_before") == F.col("start"))
+    growth = growth.withColumn("before", F.when(new, 1.0).otherwise(F.col("before"))).withColumn("_block", block())
+    at = ["strategy", "start", "opening", "_block"]
+    blocks = growth.groupBy(*at).agg(F.max_by("growth", "date").alias("_end"), F.min("growth").alias("_low"), F.min("before").alias("_low_before"))
+    order = W.partitionBy("strategy").orderBy("start", F.desc("opening"), "_block")  # a row a stretch and block
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    following = F.lead(F.struct("start", "opening")).over(order)
+    blocks = blocks.withColumn("_end", F.when(F.coalesce(following != F.struct("start", "opening"), F.lit(True)), F.col("_end")))
+    blocks = blocks.withColumn("done", F.coalesce(F.product("_end").over(earlier), F.lit(1.0)))
+    least, least_before = F.min(F.col("done") * F.col("_low")).over(earlier), F.min(F.col("done") * F.col("_low_before")).over(earlier)
+    carried = blocks.select(*at, "done", least.alias("_least"), least_before.alias("_least_before"))
+    within = W.partitionBy(*at).orderBy("date").rowsBetween(W.unboundedPreceding, -1)
+    valued = growth.withColumns({"_low": F.min("growth").over(within), "_low_before": F.min("before").over(within)}).join(carried, at)
+    over, was_over = (F.coalesce(F.least(f"_least{k}", F.col("done") * F.col(f"_low{k}")) <= ruin, F.lit(False)) for k in ("", "_before"))
+    change = F.when(was_over | ~(F.coalesce("before", F.lit(0.0)) > 0), 0.0).when(over, -1.0).otherwise(F.col("growth") / F.col("before") - 1)
+    value = F.when(over, 0.0).otherwise(initial * F.col("done") * F.col("growth"))
+    return valued.select("strategy", "date", value.alias("value"), change.alias("ret"))
+
+
+def highest(values: DataFrame, column: str, name: str) -> DataFrame:
+    """values with the greatest value of column up to each date: within blocks of time, and from one row a block of those
+    before."""
+    blocks = values.withColumn("_block", block())
+    within = W.partitionBy("strategy", "_block").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("strategy").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # a row a block
+    tops = blocks.groupBy("strategy", "_block").agg(F.max(column).alias("_top"))
+    carried = tops.select("strategy", "_block", F.max("_top").over(before).alias("_carried"))
+    return blocks.withColumn("_own", F.max(column).over(within)).join(carried, ["strategy", "_block"]).withColumn(name, F.greatest("_own", "_carried")).drop("_block", "_own", "_carried")
 
 
 def backtest_metrics(values: DataFrame, rf: float = config.RISK_FREE_RATE) -> DataFrame:
-    """total_return, annual_return (over calendar years, a tenth at least), annual_vol, sharpe, max_drawdown, final_value."""
-    level = F.product(1 + F.col("ret")).over(upto())
-    dd = values.withColumn("level", level).withColumn("dd", F.try_divide("level", F.max("level").over(upto())) - 1)
-    base = dd.groupBy("strategy").agg(
-        F.min_by("value", "date").alias("first"), F.max_by("value", "date").alias("final_value"), F.datediff(F.max("date"), F.min("date")).alias("days"),
-        (F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("annual_vol"), F.min("dd").alias("max_drawdown"),
+    """total_return, annual_return (over calendar years, a tenth at least), annual_vol, sharpe, max_drawdown, final_value.
+
+    Blocks of time are summed up alone and merged, a row a block: in a block the level falls either from a peak of its own
+    or from the greatest level before it, and the lowest point of both is known from the block's lowest level."""
+    within = W.partitionBy("strategy", "_block").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    levels = values.withColumn("_block", block()).withColumn("_level", F.product(1 + F.col("ret")).over(within))
+    levels = levels.withColumn("_dd", F.try_divide("_level", F.max("_level").over(within)) - 1)
+    blocks = levels.groupBy("strategy", "_block").agg(
+        F.min_by("value", "date").alias("first"), F.max_by("value", "date").alias("last"), F.min("date").alias("d0"), F.max("date").alias("d1"),
+        F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.var_pop("ret").alias("spread"),
+        F.max_by("_level", "date").alias("whole"), F.max("_level").alias("top"), F.min("_level").alias("low"), F.min("_dd").alias("dd"),
+    )
+    all_of, before = W.partitionBy("strategy"), W.partitionBy("strategy").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    merged = blocks.withColumns({"_start": F.coalesce(F.product("whole").over(before), F.lit(1.0)), "_mean": F.sum(F.col("n") * F.col("mean")).over(all_of) / F.sum("n").over(all_of)})
+    merged = merged.withColumn("_peak", F.max(F.col("_start") * F.col("top")).over(before))
+    fall = F.least("dd", F.try_divide(F.col("_start") * F.col("low"), F.col("_peak")) - 1)
+    spread = F.sum(F.col("n") * (F.col("spread") + F.pow(F.col("mean") - F.col("_mean"), 2)))
+    base = merged.groupBy("strategy").agg(
+        F.min_by("first", "d0").alias("first"), F.max_by("last", "d1").alias("final_value"), F.datediff(F.max("d1"), F.min("d0")).alias("days"),
+        F.sqrt(252.0 * F.try_divide(spread, F.nullif(F.sum("n") - 1, F.lit(0)))).alias("annual_vol"), F.min(fall).alias("max_drawdown"),
     )
     total = F.col("final_value") / F.col("first") - 1
     years = F.greatest(F.col("days") / config.CALENDAR_DAYS, F.lit(0.1))
@@ -92,11 +142,12 @@ def rolling_metrics(values: DataFrame, rows: int = 252) -> DataFrame:
 
 
 def growth_of_one(values: DataFrame) -> DataFrame:
-    return values.select("strategy", "date", F.try_divide("value", F.first("value").over(upto())).alias("growth"))
+    first = values.groupBy("strategy").agg(F.min_by("value", "date").alias("_first"))
+    return values.join(first, "strategy").select("strategy", "date", F.try_divide("value", "_first").alias("growth"))
 
 
 def strategy_drawdowns(values: DataFrame) -> DataFrame:
-    return values.select("strategy", "date", (F.try_divide("value", F.max("value").over(upto())) - 1).alias("drawdown"))
+    return highest(values, "value", "_top").select("strategy", "date", (F.try_divide("value", "_top") - 1).alias("drawdown"))
 
 
 def monthly_heatmap(values: DataFrame) -> DataFrame:
@@ -202,9 +253,9 @@ def month_starts(dates: DataFrame) -> DataFrame:
 
 def clipped_returns(values: DataFrame, sigmas: float = 5.0) -> DataFrame:
     """values with ret within sigmas deviations of its strategy's mean."""
-    own = W.partitionBy("strategy")
-    mean, std = F.avg("ret").over(own), F.stddev_samp("ret").over(own)
-    return values.withColumn("ret", F.greatest(F.least("ret", mean + sigmas * std), mean - sigmas * std))
+    spread = values.groupBy("strategy").agg(F.avg("ret").alias("_mean"), (sigmas * F.stddev_samp("ret")).alias("_width"))
+    low, high = F.col("_mean") - F.col("_width"), F.col("_mean") + F.col("_width")
+    return values.join(spread, "strategy").withColumn("ret", F.greatest(F.least("ret", high), low)).drop("_mean", "_width")
 
 
 def compared(metrics: DataFrame, benchmark: str) -> DataFrame:

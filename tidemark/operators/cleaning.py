@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import quantiles
 from ..sources.files import staged
 
 
@@ -71,7 +72,7 @@ def rolling_z(returns: DataFrame, rows: int = 20, least: int = 5) -> DataFrame:
 def winsorized(returns: DataFrame, threshold: float = config.OUTLIER_THRESHOLD, tail: float = 0.005) -> DataFrame:
     """returns with ret clipped to its series' tail quantiles if any series has a rolling |z| above threshold."""
     fires = rolling_z(returns).agg(F.coalesce(F.max(F.abs("z")) > threshold, F.lit(False)).alias("_fires"))
-    bounds = returns.groupBy("asset").agg(F.percentile("ret", F.lit(tail)).alias("_low"), F.percentile("ret", F.lit(1 - tail)).alias("_high"))
+    bounds = quantiles.aggregated(returns, "asset", "ret", {"_low": tail, "_high": 1 - tail})
     clipped = F.greatest(F.least("ret", "_high"), "_low")
     joined = returns.join(bounds, "asset").crossJoin(F.broadcast(fires))  # one row
     return joined.withColumn("ret", F.when(F.col("_fires"), clipped).otherwise(F.col("ret"))).drop("_low", "_high", "_fires")

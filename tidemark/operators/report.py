@@ -18,6 +18,20 @@ def sampled(frame: DataFrame, most: int, key: str, seed: str = "sample") -> Data
     return frame.orderBy(F.md5(F.concat_ws("-", F.lit(seed), F.col(key).cast("string")).cast("binary")), key).limit(most)
 
 
+def frontier_points(random: DataFrame, curve: DataFrame, most: int = 1000) -> DataFrame:
+    """kind (random or curve), expected_return and volatility of at most most random portfolios and of all the curve's
+    points; portfolio and sharpe are null along the curve, point among random ones."""
+    points = curve.groupBy("point").agg(F.first("expected_return").alias("expected_return"), F.first("volatility").alias("volatility"))
+    return union_tagged({"random": sampled(random, most, "portfolio"), "curve": points}, "kind")
+
+
+def performance_rows(metrics: DataFrame) -> DataFrame:
+    """A comparison's metrics under the names of the performance extract."""
+    names = {"annual_return": "annualized_return", "annual_vol": "volatility", "sharpe": "sharpe_ratio"}
+    kept = "strategy", "total_return", "annual_return", "annual_vol", "sharpe", "max_drawdown", "final_value"
+    return metrics.select(*(F.col(c).alias(names.get(c, c)) for c in kept))
+
+
 def portfolio_weights(weights: DataFrame) -> DataFrame:
     """weights with an equal_weight portfolio over all their assets."""
     names = weights.select("asset").distinct()

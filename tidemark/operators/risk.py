@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions import stats
+from ..functions import quantiles, stats
 from .cleaning import series
 
 #: The standard normal quantile of 5 %.
@@ -63,15 +63,8 @@ def tail_risk(returns: DataFrame) -> DataFrame:
     the bracket times the quantile, as this operator has always had it), the standard expansion, skewness, kurtosis
     and the greatest loss."""
     r = F.col("ret")
-    base = returns.groupBy("asset").agg(
-        (-F.percentile(r, F.lit(0.05))).alias("var_95"),
-        (-F.percentile(r, F.lit(0.01))).alias("var_99"),
-        F.avg(r).alias("mu"),
-        F.stddev_samp(r).alias("sigma"),
-        stats.skew(r).alias("skew"),
-        stats.excess_kurtosis(r).alias("kurtosis"),
-        (-F.min(r)).alias("max_loss"),
-    )
+    moments = F.avg(r).alias("mu"), F.stddev_samp(r).alias("sigma"), stats.skew(r).alias("skew"), stats.excess_kurtosis(r).alias("kurtosis"), (-F.min(r)).alias("max_loss")
+    base = quantiles.aggregated(returns, "asset", "ret", {"q05": 0.05, "q01": 0.01}, *moments).withColumns({"var_95": -F.col("q05"), "var_99": -F.col("q01")})
     beyond = returns.join(base.select("asset", "var_95", "var_99"), "asset").groupBy("asset")
     cvar = beyond.agg(*((-F.avg(F.when(r <= -F.col(f"var_{p}"), r))).alias(f"cvar_{p}") for p in (95, 99)))
     s, k, z = F.col("skew"), F.col("kurtosis"), F.lit(Z05)
@@ -165,13 +158,8 @@ def portfolio_metrics(returns: DataFrame, weights: DataFrame, rf: float = config
     w = series("portfolio")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     own = portfolio_returns(returns, weights).withColumn("level", F.product(1 + r).over(upto)).withColumn("dd", F.try_divide("level", F.max("level").over(upto)) - 1)
-    base = own.groupBy("portfolio").agg(
-        (F.avg(r) * year).alias("annual_return"),
-        (F.stddev_samp(r) * root).alias("annual_vol"),
-        F.min("dd").alias("max_drawdown"),
-        (F.stddev_samp(F.when(r < 0, r)) * root).alias("down"),
-        (-F.percentile(r, F.lit(0.05))).alias("var_95"),
-    )
+    moments = (F.avg(r) * year).alias("annual_return"), (F.stddev_samp(r) * root).alias("annual_vol"), F.min("dd").alias("max_drawdown"), (F.stddev_samp(F.when(r < 0, r)) * root).alias("down")
+    base = quantiles.aggregated(own, "portfolio", "ret", {"q05": 0.05}, *moments).withColumn("var_95", -F.col("q05"))
     cvar = own.join(base.select("portfolio", "var_95"), "portfolio").groupBy("portfolio").agg((-F.avg(F.when(r <= -F.col("var_95"), r))).alias("cvar_95"))
     extra = F.col("annual_return") - rf
     return base.join(cvar, "portfolio").select(
@@ -180,6 +168,22 @@ def portfolio_metrics(returns: DataFrame, weights: DataFrame, rf: float = config
     )
 
 
+def panel(returns: DataFrame, prices: DataFrame, rf: float = config.RISK_FREE_RATE, year: int = config.TRADING_DAYS) -> DataFrame:
+    """asset, annual_return (arithmetic), annual_vol, sharpe, sortino, downside_vol, var_95, cvar_95 and max_drawdown of each
+    asset by itself. Where no spread of losses is known (fewer than two), downside_vol is 0 and sortino infinite."""
+    root, ret = F.sqrt(F.lit(float(year))), F.col("ret")
+    moments = (F.avg(ret) * year).alias("annual_return"), (F.stddev_samp(ret) * root).alias("annual_vol"), (F.stddev_samp(F.when(ret < 0, ret)) * root).alias("down")
+    base = quantiles.aggregated(returns, "asset", "ret", {"q05": 0.05}, *moments)
+    cvar = returns.join(base.select("asset", "q05"), "asset").groupBy("asset").agg((-F.avg(F.when(ret <= F.col("q05"), ret))).alias("cvar_95"))
+    worst = drawdown_series(prices).groupBy("asset").agg(F.min("drawdown").alias("max_drawdown"))
+    extra, down = F.col("annual_return") - rf, F.coalesce("down", F.lit(0.0))
+    sortino = F.when(down > 0, extra / down).otherwise(F.lit(float("inf")))
+    return base.join(cvar, "asset").join(worst, "asset").select(
+        "asset", "annual_return", "annual_vol", F.try_divide(extra, F.col("annual_vol")).alias("sharpe"), sortino.alias("sortino"), down.alias("downside_vol"),
+        (-F.col("q05")).alias("var_95"), "cvar_95", "max_drawdown",
+    )
+
+
 def simple_summary(returns: DataFrame, rf: float = config.RISK_FREE_RATE, year: int = config.TRADING_DAYS) -> DataFrame:
     """asset, annual_return, annual_vol and sharpe, all arithmetic, with each asset's place by sharpe."""
     base = returns.groupBy("asset").agg((F.avg("ret") * year).alias("annual_return"), (F.stddev_samp("ret") * F.sqrt(F.lit(float(year)))).alias("annual_vol"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import quantiles, stats
 from .cleaning import complete_dates, series
 from .gram import pair_stats
 from .stationarity import adf  # noqa: F401
@@ -103,8 +103,9 @@ def asset_macro(returns: DataFrame, macro: DataFrame) -> DataFrame:
 def describe(panel: DataFrame, key: str = "asset", value: str = "price") -> DataFrame:
     """Count, mean, deviation, least, exact quartiles and greatest."""
     v = F.col(value)
-    quarters = [F.percentile(v, F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
-    return panel.groupBy(key).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *quarters, F.max(v).alias("max"))
+    rest = F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
+    found = quantiles.aggregated(panel, key, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, *rest)
+    return found.select(key, "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(returns: DataFrame, bins: int = 50) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -633,6 +634,52 @@ def test_fit_turns_back_where_the_negatives_risk_is_below_zero():
     assert negative > -0.5 and np.abs(model.weights).max() < 20
 
 
+@pytest.mark.parametrize("share", [0.15, 0.5, 0.85])
+def test_class_prior_of_known_mixtures(share):
+    """The estimate sees no label of the mixture, and comes near its share of positives."""
+    rng = np.random.default_rng(11)
+    width = len(quality.NAMES)
+    good, bad = (lambda n: rng.normal(0.7, 1, (n, width))), (lambda n: rng.normal(-0.7, 1, (n, width)))
+    n = 3000
+    mixture = np.concatenate([good(int(n * share)), bad(n - int(n * share))])
+    assert abs(quality.class_prior(good(1500), rng.permutation(mixture)) - share) < 0.06
+    assert quality.class_prior(good(2), mixture) == quality.class_prior(good(0), mixture) == 0.5
+
+
+def test_best_bin_equals_counting():
+    rng = np.random.default_rng(2)
+    p, u = np.round(rng.normal(1, 1, 90), 1), np.round(np.concatenate([rng.normal(1, 1, 80), rng.normal(-2, 1, 120)]), 1)
+    spread = sum(math.sqrt(math.log(4 / quality.DOUBT) / (2 * len(x))) for x in (p, u))
+    bins = []
+    for least in sorted(set(p)):
+        own, other = sum(x >= least for x in p) / len(p), sum(x >= least for x in u) / len(u)
+        bins.append(((other + spread) / own, other / own))
+    near = min(b for b, _ in bins) * (1 + quality.NEAR)
+    assert math.isclose(quality.best_bin(p, u), min(next(e for b, e in bins if b <= near), 1.0))
+
+
+def test_quality_query_equals_scoring_row_by_row(spark):
+    """The whole query anew: the sample from all held-in rows, the estimated prior, the fit, and each text's score; and the
+    labels of held-out rows and labels other than 1 change nothing."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs}
+    values = {r["doc_id"]: quality.features((r["text"] or "").encode()) for r in docs}
+    positive = np.array(sorted(values[k] for k in values if not held[k] and labels.get(k) == 1))
+    unlabelled = np.array(sorted(values[k] for k in values if not held[k]))
+    model = quality.fit(positive, unlabelled, quality.class_prior(positive, unlabelled))
+    got = {r["doc_id"]: r for r in quality.op10_quality_classifier(spark, d).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        score = float(model.scores(np.array([v]))[0])
+        assert abs(got[k]["score"] - score) < 1e-8 and got[k]["held_out"] == held[k] and got[k]["predicted"] == int(got[k]["score"] >= 0.7)
+    frame = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    other = frame.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1).when(F.col("quality") != 1, None).otherwise(F.col("quality")))
+    again = quality.train(spark.read.parquet(f"{d}/documents.parquet"), other)
+    assert np.allclose(again.weights, model.weights, rtol=0, atol=1e-9)
+
+
 # --- what they share
 
 

@@ -1,8 +1,10 @@
 """A quality classifier by positive-unlabelled learning.
 
 Trusted positives are rows labelled 1; unlabelled rows are web text whatever its label. The class prior is estimated
-from the share of label 1 among held-in labelled rows. A logistic model over text statistics minimises the
-non-negative unbiased risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
+from the texts of both alone: the share of good rows in unlabelled text is at most the ratio of the two kinds' shares above
+any score, and near it where hardly any other row scores as high (mixture proportions by the best bin). A logistic model
+over text statistics minimises the non-negative unbiased risk
+prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
 
 Only the fit sees a sample, bounded by MAX_POSITIVE and MAX_UNLABELLED rows (those with the least hash of doc_id, of
 rows that repeat one those with the least statistics); its statistics are computed by executors, and the driver gets one short vector a row. Every document is scored."""
@@ -11,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -22,9 +24,11 @@ from pyspark.sql import types as T
 
 from .common import release, scratch, slices, texts
 
-#: Rows that the fit may see; the prior is counted over all labelled rows.
+#: Rows that the fit and the prior's estimate may see.
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 THRESHOLD, STEPS, RATE, DECAY = 0.7, 600, 0.05, 1e-4
+#: The prior's bound fails with this chance at most; of bounds this near the least one the widest bin's is taken.
+DOUBT, NEAR = 0.1, 0.02
 #: Bytes of text that are looked at together; a longer text stays whole, alone.
 TEXT_BYTES = 4 << 20
 
@@ -100,31 +104,81 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
 
 
+def _descended(size: int, slope: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Weights after STEPS of Adam down a slope, with a small decay of all but the constant. Deterministic."""
+    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    for step in range(1, STEPS + 1):
+        g = slope(w) + DECAY * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def _scaled(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    both = np.concatenate([positive, unlabelled])
+    return Model(both.mean(0), both.std(0) + 1e-9, np.zeros(2 * both.shape[1] + 1))
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives in unlabelled, from scores of both that order them.
+
+    For the bin of all scores from a positive's on, unlabelled's share in it over positive's is the estimate, and with the
+    deviations of both shares an upper bound of it; the bin of the least bound counts, or the widest of those near it."""
+    p, u = np.sort(positive), np.sort(unlabelled)
+    own = 1 - np.searchsorted(p, p, "left") / len(p)
+    other = 1 - np.searchsorted(u, p, "left") / len(u)
+    spread = sum(math.sqrt(math.log(4 / DOUBT) / (2 * n)) for n in (len(p), len(u)))
+    bound = (other + spread) / own
+    place = int(np.argmax(bound <= (1 + NEAR) * bound.min()))  # positives ascend: the first is the widest
+    return min(float(other[place] / own[place]), 1.0)
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of rows like positive among unlabelled, between 0.01 and 0.99: each half of both is scored by a model that
+    tells the kinds apart and was fitted on the other half, then best_bin. One half with fewer than four rows of a kind."""
+    width = len(NAMES)
+    positive, unlabelled = positive.reshape(-1, width), unlabelled.reshape(-1, width)
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    model = _scaled(positive, unlabelled)
+    kinds = model.inputs(positive), model.inputs(unlabelled)
+    margins = [np.zeros(len(x)) for x in kinds]
+    for half in (0, 1):
+        own = [np.arange(len(x)) % 2 == half for x in kinds]
+        p, u = (x[~o] for x, o in zip(kinds, own, strict=True))
+
+        def slope(w: np.ndarray, p: np.ndarray = p, u: np.ndarray = u) -> np.ndarray:
+            (fp, dp), (fu, du) = _sums(p, w), _sums(u, w)
+            return du.T @ (1 / (1 + np.exp(-fu))) / len(u) - dp.T @ (1 / (1 + np.exp(fp))) / len(p)
+
+        w = _descended(2 * width + 1, slope)
+        for found, x, o in zip(margins, kinds, own, strict=True):
+            found[o] = _sums(x[o], w)[0]
+    return min(max(best_bin(*margins), 0.01), 0.99)
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     """Minimises the non-negative unbiased risk with logistic loss by Adam; where the risk of the negatives falls
     below zero, the step goes against it, which keeps the estimate from overfitting. Deterministic.
 
     Without positives or unlabelled rows the model scores the prior."""
     width = len(NAMES)
-    both = np.concatenate([positive.reshape(-1, width), unlabelled.reshape(-1, width)])
+    positive, unlabelled = positive.reshape(-1, width), unlabelled.reshape(-1, width)
     if not len(positive) or not len(unlabelled):
         w = np.zeros(2 * width + 1)
         w[-1] = math.log(prior / (1 - prior))
         return Model(np.zeros(width), np.ones(width), w)
-    model = Model(both.mean(0), both.std(0) + 1e-9, np.zeros(2 * width + 1))
+    model = _scaled(positive, unlabelled)
     p, u = model.inputs(positive), model.inputs(unlabelled)
-    w, m, v = model.weights, np.zeros(2 * width + 1), np.zeros(2 * width + 1)
-    for step in range(1, STEPS + 1):
-        fp, dp = _sums(p, w)
-        fu, du = _sums(u, w)
+
+    def slope(w: np.ndarray) -> np.ndarray:
+        (fp, dp), (fu, du) = _sums(p, w), _sums(u, w)
         sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        slope = du.T @ su / len(u) - prior * (dp.T @ sp) / len(p)
-        g = -slope if negative < 0 else prior * (dp.T @ (sp - 1)) / len(p) + slope
-        g = g + DECAY * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model.weights = w
+        down = du.T @ su / len(u) - prior * (dp.T @ sp) / len(p)
+        return -down if negative < 0 else prior * (dp.T @ (sp - 1)) / len(p) + down
+
+    model.weights = _descended(2 * width + 1, slope)
     return model
 
 
@@ -137,12 +191,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """The model of docs (doc_id, text) and labels (doc_id, quality), held-out rows left aside.
 
-    Null qualities count as no label; without labels the prior is one half."""
-    known = labels.select("doc_id", "quality").filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
-    share = known.agg(F.avg(F.col("quality").cast("double")).alias("share")).first()["share"]
-    prior = min(max(0.5 if share is None else share, 0.01), 0.99)
+    Only rows labelled 1 are used, nulls and other qualities are not; without them every text scores one half."""
+    known = labels.select("doc_id", "quality").filter(~held_out(F.col("doc_id")) & (F.col("quality") == 1))
     order = F.xxhash64("doc_id"), F.col("doc_id")
-    trusted = known.filter("quality = 1").select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_semi")
+    trusted = known.select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_semi")
     trusted = trusted.orderBy(*order).limit(max_positive).withColumn("positive", F.lit(True))
     web = docs.select("doc_id").filter(~held_out(F.col("doc_id"))).distinct().orderBy(*order).limit(max_unlabelled).withColumn("positive", F.lit(False))
     picked = F.broadcast(trusted.unionByName(web))  # at most max_positive + max_unlabelled ids
@@ -156,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     release(rows)
     # in an order of their own, so that sums don't depend on how tasks end
     positive, unlabelled = (np.array(sorted(values[k]), float).reshape(-1, len(NAMES)) for k in (True, False))
-    return fit(positive, unlabelled, prior)
+    return fit(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

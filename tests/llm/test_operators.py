@@ -395,6 +395,39 @@ def test_classes_of_chains_and_large_groups(spark, monkeypatch):
     assert bag(got, "doc_id", "n_shingles", "component_id") == plain_classes(rows)
 
 
+def largest_join(spark, run):
+    """The most rows that any join of the plans that run executes gives."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    first = store.executionsList().size()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most, done = 0, store.executionsList()
+    for k in range(first, done.size()):
+        number = done.apply(k).executionId()
+        nodes, values = store.planGraph(number).allNodes(), store.executionMetrics(number)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_a_family_that_does_not_link_meets_by_groups(spark, monkeypatch):
+    """Hundreds of near copies, some just below the threshold, in many groups: no join has a row for each set, group and
+    token, or more rows than the sets have tokens."""
+    monkeypatch.setattr(near_dup, "PART", 16)
+    rows, rng = [], np.random.default_rng(5)
+    for k in range(240):
+        words = [f"w{i}" for i in range(300)]
+        for j, place in enumerate(rng.choice(59, 5 if k % 3 else 2, replace=False).tolist()):
+            words[5 * place + 2] = f"new{k}x{j}"
+        rows.append((k, " ".join(words)))
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string"), []
+    most = largest_join(spark, lambda: got.extend(bag(near_dup.classes(docs), "doc_id", "n_shingles", "component_id")))
+    assert got == plain_classes(rows)
+    assert 0 < most <= sum(n for _, n, _ in got)
+
+
 def test_classes_of_near_copies_without_ids(spark):
     """A text with a null doc_id links with its near copies, and carries a chain whose ends don't link."""
     w = [[f"w{k}x{i}" for i in range(60)] for k in range(3)]

@@ -13,13 +13,15 @@ similarity reaches a percentage. Equal sets are one set from the start. Then:
 3. Matrix. The parts of the first order are the groups: similar sets stand together, linked or not. The union of each
    group's tokens is a table of (group, token), with the components that hold the token there; tokens of one component
    alone can't make a link and are left out. Sets have been compared within their own group; each queries the groups
-   after it with its rarest tokens, more of them than may be missing from a partner. For the groups met, its overlap
-   with the stored union is counted, and only where that reaches the percentage is the group opened: its members are
-   fetched and compared.
+   after it with its rarest tokens, more of them than may be missing from a partner. Groups meet as groups: what all
+   sets of one ask for is one row a token, and which of its sets find enough in another is counted in a task that holds
+   the one group's sets and what they share with a bounded lot of others. For the groups met, a set's overlap with the
+   stored union is counted, and only where that reaches the percentage is the group opened: its members are fetched and
+   compared.
 4. Links between components are joined by pointer jumping over Spark tables.
 
-No step makes the pairs within a group as rows, and no part or group that one task holds grows with the input. A token that
-many sets hold is dealt by set to as many tasks as it needs."""
+No step makes the pairs within a group as rows, or a row for each set, group and token, and no part or group that one
+task holds grows with the input. A token that many groups hold is dealt by group to as many tasks as it needs."""
 
 from __future__ import annotations
 
@@ -196,21 +198,38 @@ def _parts(sets: DataFrame, percent: int) -> DataFrame:
     return found.filter("set != root").select(F.col("set").alias("a"), F.col("root").alias("b"))
 
 
+def _hits(queries: pa.Table, union: pa.Table) -> np.ndarray:
+    """How many tokens of each query are in a union, as far as other components hold them there."""
+    if not len(queries) or not len(union):
+        return np.zeros(len(queries), np.int64)
+    order = np.argsort(union.column("token").to_numpy())
+    token, low, high = (union.column(c).to_numpy()[order] for c in ("token", "low", "high"))
+    tokens = queries.column("tokens").combine_chunks()
+    ends = tokens.offsets.to_numpy().astype(np.int64) - tokens.offsets[0].as_py()
+    flat, comp = tokens.flatten().to_numpy(), queries.column("comp").to_numpy()
+    at = np.minimum(np.searchsorted(token, flat), len(token) - 1)
+    of = np.repeat(comp, np.diff(ends))
+    hit = (token[at] == flat) & ~((low[at] == of) & (high[at] == of))
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    return sums[ends[1:]] - sums[ends[:-1]]
+
+
+MET = "set long, n long, other long, other_part long"
+
+
+def _met(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """For each other group that a group's sets meet, those of them that find enough there."""
+    names, n, need = (sets.column(c).to_numpy() for c in ("set", "n", "need"))
+    met = [_hits(sets, pa.Table.from_struct_array(seen.values)) >= need for seen in pairs.column("seen")]
+    which = [np.flatnonzero(x) for x in met]
+    of, own = np.repeat(np.arange(len(which)), list(map(len, which))), np.concatenate([np.zeros(0, np.int64), *which])
+    other, other_part = (pairs.column(c).to_numpy()[of] for c in ("other", "other_part"))
+    return pa.table({"set": names[own], "n": n[own], "other": other, "other_part": other_part})
+
+
 def _bounded(queries: pa.Table, union: pa.Table, percent: int) -> pa.Table:
     """The queries whose overlap with a group's stored union, as far as other components hold it, may make a link."""
-    keep = np.zeros(len(queries), bool)
-    if len(queries) and len(union):
-        order = np.argsort(union.column("token").to_numpy())
-        token, low, high = (union.column(c).to_numpy()[order] for c in ("token", "low", "high"))
-        tokens = queries.column("tokens").combine_chunks()
-        ends = tokens.offsets.to_numpy().astype(np.int64) - tokens.offsets[0].as_py()
-        flat, comp = tokens.flatten().to_numpy(), queries.column("comp").to_numpy()
-        at = np.minimum(np.searchsorted(token, flat), len(token) - 1)
-        of = np.repeat(comp, np.diff(ends))
-        hit = (token[at] == flat) & ~((low[at] == of) & (high[at] == of))
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        keep = sums[ends[1:]] - sums[ends[:-1]] >= least(queries.column("n").to_numpy(), percent)
-    return queries.filter(pa.array(keep))
+    return queries.filter(pa.array(_hits(queries, union) >= least(queries.column("n").to_numpy(), percent)))
 
 
 def _open(queries: pa.Table, members: pa.Table, percent: int) -> pa.Table:
@@ -238,44 +257,59 @@ def _matrix_links(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     tokens = dealt.select("set", "comp", "group", "part", "n", F.explode("shared.token").alias("token"))
     # the matrix: each group's union, without tokens that one component alone holds
     union = scratch(tokens.groupBy("group", "part", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("holders")), "unions")
-    spread = union.groupBy("token").agg(F.count("*").alias("spread"), F.sum("holders").alias("asking"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
-    spread = scratch(spread.select("token", "spread", "asking"), "contested")
+    spread = union.groupBy("token").agg(F.count("*").alias("spread"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high")
+    spread = scratch(spread.select("token", "spread"), "contested")
     renamed = [F.col("group").alias("other"), F.col("part").alias("other_part"), "low", "high"]
-    matrix = scratch(union.join(spread.select("token", "asking"), "token").select("token", *renamed, "asking"), "matrix")
+    matrix = scratch(union.join(spread, "token").select("token", *renamed, "spread"), "matrix")
     # queries: of a set's contested tokens the rarest, so many that a partner must hold 1 + extra of them
-    own = F.sort_array(F.collect_list(F.struct("spread", "token", "asking"))).alias("own")
+    own = F.sort_array(F.collect_list(F.struct("spread", "token"))).alias("own")
     asks = scratch(tokens.join(spread, "token").groupBy("set", "comp", "group", "part", "n").agg(own), "contested-sets")
     may = asks.filter(F.size("own") >= least(F.col("n"), percent))
     extra = F.floor(F.col("n") / MORE).cast("int")
     first = F.slice("own", F.lit(1), F.least(F.size("own"), (F.size("own") - least(F.col("n"), percent) + 1 + extra).cast("int")))
-    salts = F.ceil(F.col("asking") / HOT_ROWS).cast("int")
-    probes = may.select("set", "comp", "group", "part", "n", F.explode(first).alias("s")).select("set", "comp", "group", "part", "n", "s.token", "s.asking")
-    probes = probes.withColumn("salt", F.pmod(F.xxhash64("set"), salts).cast("int")).drop("asking")
-    salted = matrix.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("asking")
-    after = (F.struct("group", "part") < F.struct("other", "other_part")) & ~((F.col("low") == F.col("comp")) & (F.col("high") == F.col("comp")))
-    met = probes.join(salted, ["token", "salt"]).filter(after).groupBy("set", "n", "other", "other_part").agg(F.count("*").alias("hits"))
     # a prefix of all tokens has fewer to find than 1 + extra
-    met = scratch(met.filter(F.col("hits") >= F.least(F.lit(1) + extra, least(F.col("n"), percent))).select("set", "n", "other", "other_part"), "met")
+    need = F.least(F.lit(1) + extra, least(F.col("n"), percent)).alias("need")
+    may = may.select("set", "comp", "group", "part", "n", need, first.alias("first"))
+    # groups meet by the tokens that any of their sets asks for
+    one, group = ["group", "part"], ["other", "other_part"]
+    probes = may.select("comp", *one, "need", F.explode("first").alias("s")).groupBy(*one, "s.token", "s.spread")
+    probes = probes.agg(F.min("comp").alias("own_low"), F.max("comp").alias("own_high"), F.min("need").alias("need"))
+    salts = F.ceil(F.col("spread") / HOT_ROWS).cast("int")
+    probes = probes.withColumn("salt", F.pmod(F.xxhash64(*one), salts).cast("int")).drop("spread")
+    salted = matrix.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("spread")
+    alone = (F.col("low") == F.col("high")) & (F.col("own_low") == F.col("own_high")) & (F.col("low") == F.col("own_low"))
+    after = (F.struct(*one) < F.struct(*group)) & ~alone
+    seen = F.collect_list(F.struct("token", "low", "high")).alias("seen")
+    pairs = probes.join(salted, ["token", "salt"]).filter(after).groupBy(*one, *group).agg(seen, F.min("need").alias("need"))
+    pairs = scratch(pairs.filter(F.size("seen") >= F.col("need")).drop("need"), "group-pairs")
+
+    def each_lot(lots: DataFrame, left: DataFrame, right: DataFrame, run, schema: str) -> DataFrame:
+        """run on each lot of left and, beside every lot of its group, the rows of right."""
+        key = lots.columns
+        right = lots.join(right, key[:-1])
+        left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
+
+    def lots_of(sums: DataFrame, by: list[str]) -> DataFrame:
+        return sums.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"))
+
+    # a group that meets many others meets a bounded lot of them at a time
+    meeting = scratch(pairs.groupBy(*one).agg(_parts_of(F.count("*"), F.sum(F.size("seen"))).alias("lots"), F.count("*").alias("rows")), "meeting")
+    dealt_pairs = join_hot(pairs, meeting, one, "rows", "other").withColumn("lot", _part(F.xxhash64(*group), F.col("lots"))).drop("lots")
+    own_sets = may.select(*one, "set", "comp", "n", "need", F.col("first.token").alias("tokens"))
+    met = scratch(each_lot(lots_of(meeting, one), dealt_pairs, own_sets, _met, MET), "met")
     # a group that many sets query meets a bounded lot of them at a time
-    group = ["other", "other_part"]
-    key = [*group, "lot"]
     asking = scratch(met.groupBy(*group).agg(_parts_of(F.count("*"), F.sum("n")).alias("lots"), F.count("*").alias("rows")), "asking")
     plain = asks.select("set", "comp", "n", F.sort_array("own.token").alias("tokens"))
     asked = join_hot(met.drop("n"), asking, group, "rows", "set").withColumn("lot", _part(F.col("set"), F.col("lots"))).join(plain, "set")
-    lots = asking.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).select(*key)
-
-    def each_lot(left: DataFrame, right: DataFrame, run, schema: str) -> DataFrame:
-        right = lots.join(right, group)
-        left, right = left.toDF(*left.columns), right.toDF(*right.columns)
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
-
+    lots = lots_of(asking, group)
     # the bound, on the stored unions; only groups that some query reaches are opened, for those queries alone
     columns = [x.split()[0] for x in ASKED.split(", ")]
-    qualifying = scratch(each_lot(asked.select(*columns), matrix.drop("asking"), lambda a, b: _bounded(a, b, percent), ASKED), "qualifying")
+    qualifying = scratch(each_lot(lots, asked.select(*columns), matrix.drop("spread"), lambda a, b: _bounded(a, b, percent), ASKED), "qualifying")
     members = dealt.select(F.col("group").alias("other"), F.col("part").alias("other_part"), "set").join(plain, "set").drop("set")
     members = qualifying.select(*group).distinct().join(members, group)
-    found = scratch(each_lot(qualifying, members, lambda a, b: _open(a, b, percent), "a long, b long").distinct(), "component-links")
-    for done in (known, dealt, union, spread, matrix, asks, met, asking, qualifying):
+    found = scratch(each_lot(lots, qualifying, members, lambda a, b: _open(a, b, percent), "a long, b long").distinct(), "component-links")
+    for done in (known, dealt, union, spread, matrix, asks, pairs, meeting, met, asking, qualifying):
         release(done)
     return found
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontaminate, license_scan, line_dedup, media, mixing, near_dup, quality, suffix_dedup, token_counts, token_output
 from tidemark.llm.common import scratch_path
-from tidemark.llm.tokens import TOKENIZER, load
+from tidemark.llm.tokens import TOKENIZER, TokenCache, load
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -152,6 +152,16 @@ def test_store_round_trip(spark, docs):
         assert token_output.read_document(spark, small, doc_id) in of_id
 
 
+def test_words_are_turned_into_letters_in_one_go():
+    """Ids of many words by the model alone are those of the whole tokenizer, in order."""
+    cache = TokenCache()
+    words = ["Straße", " naïve", "a", " Ġ", "слово", " 漢字", "ĊĊ", " the", "unbelievably", " ÿ", "İstanbul"]
+    want = [cache.tokenizer.encode(x, add_special_tokens=False).ids for x in words]
+    assert [ids for ids, _ in zip(cache._words(words), words, strict=True)] == want
+    assert cache._ids([*words, "a1", " x,"]) == [np.array(x, "<u4").tobytes() for x in want + [cache.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a1", " x,")]]
+    assert cache._ids([]) == [] and cache._ids(["7"]) == [np.array(cache.tokenizer.encode("7").ids, "<u4").tobytes()]
+
+
 # --- 4: mixing
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that a worker remembers, the first it meets; the others are encoded each time, so its memory stays bounded.
@@ -52,10 +53,13 @@ class TokenCache:
     def _ids(self, texts: list[str]) -> list[bytes]:
         plain = [self.direct and (x[1:] if x[:1] == " " else x).isalpha() for x in texts]
         rest = iter(self.tokenizer.encode_batch_fast([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [array("I", self._word(x) if p else next(rest).ids).tobytes() for x, p in zip(texts, plain, strict=True)]
+        words = self._words([x for x, p in zip(texts, plain, strict=True) if p])
+        return [array("I", next(words) if p else next(rest).ids).tobytes() for x, p in zip(texts, plain, strict=True)]
 
-    def _word(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+    def _words(self, pieces: list[str]) -> Iterator[list[int]]:
+        """The ids of pieces without line ends, whose bytes are turned into letters in one go."""
+        letters, tokenize = "\n".join(pieces).encode().decode("latin-1").translate(self.letters), self.model.tokenize
+        return ([t.id for t in tokenize(x)] for x in letters.split(self.letters[10]))
 
     def _new(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of pieces that aren't known; a closing full stop or comma after a letter or digit is cut off first."""

@@ -360,6 +360,14 @@ def test_windows_of_long_documents_are_each_in_one_segment(monkeypatch):
     assert sum(len(s.windows(np.arange(len(s.low)))[0]) for s in [whole]) == 651
 
 
+def test_a_segment_names_all_places_without_looking_each_up(monkeypatch):
+    text = " ".join(f"w{i * i % 97}" for i in range(300)).encode()
+    plain = suffix_dedup.Segment([text], [0], 0, 50)
+    want = plain.name(plain.at, plain.k)
+    monkeypatch.delattr(suffix_dedup.Segment, "name")
+    assert suffix_dedup.Segment([text], [0], 0, 50).keys.tolist() == want.tolist()
+
+
 # --- 7: similar sets
 
 

@@ -102,7 +102,7 @@ class Segment:
         if n <= 0:
             return
         # the order of anchors is that of the upper bits, of equal ones the left first; the lower bits say where
-        hashes = self.name(np.arange(len(data) - k + 1), k)
+        hashes = mix((self.sums[k:] - self.sums[:-k]) * self.down[: len(data) - k + 1])
         least, width, span = hashes & ~_LOW | np.arange(len(hashes), dtype=np.uint64), 1, length - k + 1
         while width * 2 <= span:
             least = np.minimum(least[:-width], least[width:])

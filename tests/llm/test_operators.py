@@ -6,8 +6,10 @@ import math
 import re
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,6 +370,39 @@ def test_a_segment_names_all_places_without_looking_each_up(monkeypatch):
     assert suffix_dedup.Segment([text], [0], 0, 50).keys.tolist() == want.tolist()
 
 
+def test_anchors_are_found_once_a_text_and_later_passes_read_where_they_are(monkeypatch):
+    rng = np.random.default_rng(7)
+    long, word = (bytes(rng.integers(97, 100 + x, n, dtype=np.uint8)) for x, n in ((0, 700), (20, 90)))
+    parts = [b"", b"short", long, b"a" * 49, b"b" * 50, b"c" * 51 + word, b"ab" * 40, word + b"tail", "\u00fc".encode() * 90]
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 200)
+    monkeypatch.setattr(suffix_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*range(8), None], "text": [x.decode() for x in parts]})
+    for length in (7, 33, 50, 300):
+        found = list(suffix_dedup.segments(parts, length))
+        (slices,) = suffix_dedup._slices(iter([batch]), length)
+        (none,) = suffix_dedup._slices(iter([batch.slice(0, 1)]), length)
+        with monkeypatch.context() as m:
+            m.delattr(suffix_dedup.Segment, "_find_anchors")
+            _, ids, read = suffix_dedup._opened(slices.to_pylist()[0], length)
+            for x, y in zip(found, read, strict=True):
+                assert x.base == y.base
+                assert all(getattr(x, c).tolist() == getattr(y, c).tolist() for c in ("low", "high", "at", "doc", "keys"))
+            asked = pa.Table.from_batches(suffix_dedup._asked(iter([slices]), length, 3))
+            answers = pa.concat_tables([suffix_dedup._answered(asked.slice(i, 1)) for i in range(asked.num_rows)])
+            runs = suffix_dedup._runs(pa.Table.from_batches([slices]), answers, length)
+            empty = suffix_dedup._runs(pa.Table.from_batches([none]), answers.slice(0, 0), length)
+        assert ids.tolist() == [*range(8), suffix_dedup.NONE]
+        assert empty.to_pylist() == [{"slice": 0, "a": None, "low": None, "high": None, "kept": b"", "begins": b""}]
+        owners = {}
+        for s in found:
+            for key, doc in zip(s.keys.tolist(), s.doc.tolist(), strict=True):
+                owners.setdefault(key, set()).add(doc)
+        want = [len(owners[key]) > 1 for s in found for key in s.keys.tolist()]
+        kept = np.unpackbits(np.frombuffer(runs.column("kept")[-1].as_py(), np.uint8), count=len(want))
+        assert kept.astype(bool).tolist() == want
+        assert any(want) == (length < 90)
+
+
 # --- 7: similar sets
 
 
